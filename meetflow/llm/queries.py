@@ -1,0 +1,34 @@
+"""The registered queries of the operators in this folder, with SQL where SQL can say the same."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op2_chat_snapshot_collapse(spark, sf_dir):
+    from .chat import collapse_and_render
+
+    return collapse_and_render(_table(spark, sf_dir, "conversations"))
+
+
+def op4_mix_sources(spark, sf_dir):
+    from .mixing import mix_sources, quality_weight, word_count
+
+    return mix_sources(_table(spark, sf_dir, "documents"), size=word_count(F.col("text")), quality=quality_weight(F.col("text")))
+
+
+def op7_shard_bytes(spark, sf_dir):
+    from .sharding import balanced_shards
+
+    rows = balanced_shards(_table(spark, sf_dir, "documents"), 40)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {f.__name__: f for f in (op2_chat_snapshot_collapse, op4_mix_sources, op7_shard_bytes)}
+
+SQL: dict[str, str] = {}
