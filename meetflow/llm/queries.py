@@ -22,6 +22,21 @@ def op4_mix_sources(spark, sf_dir):
     return mix_sources(_table(spark, sf_dir, "documents"), size=word_count(F.col("text")), quality=quality_weight(F.col("text")))
 
 
+def fold(column, n):
+    """crc32 of the id as text, modulo n."""
+    column = F.col(column) if isinstance(column, str) else column
+    return F.crc32(F.encode(F.coalesce(column.cast("string"), F.lit("")), "UTF-8")) % n
+
+
+def op5_toxicity(spark, sf_dir):
+    from . import toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    params = toxicity.fit(docs, _table(spark, sf_dir, "labels"), allowed=lambda i: fold(i, 5) != 0)
+    scored = toxicity.score(docs, params, keep=["doc_id"])
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_shard_bytes(spark, sf_dir):
     from .sharding import balanced_shards
 
@@ -29,6 +44,6 @@ def op7_shard_bytes(spark, sf_dir):
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_snapshot_collapse, op4_mix_sources, op7_shard_bytes)}
+QUERIES = {f.__name__: f for f in (op2_chat_snapshot_collapse, op4_mix_sources, op5_toxicity, op7_shard_bytes)}
 
 SQL: dict[str, str] = {}
