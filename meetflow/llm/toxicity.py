@@ -165,7 +165,7 @@ def train(texts: list[str | None], labels: list[int], *, rounds: int = 14, seed:
         parts.append((Piece(words, buf, off), lo))
     for table, bits, field in (("word", WORD_BITS, "word"), ("char", CHAR_BITS, "gram")):
         total = np.array([np.sum(y == 0), np.sum(y == 1)]) + 1.0
-        seen = np.repeat(2 * total[:, None] / total.sum(), 1 << bits, axis=1)  # an unseen bucket says nothing
+        seen = np.repeat(6 * total[:, None] / total.sum(), 1 << bits, axis=1)  # an unseen bucket says nothing
         for part, lo in parts:
             real = part.ids < len(part.word)
             doc, code = np.broadcast_to(part.doc[:, None], part.ids.shape)[real], part.ids[real]
@@ -184,6 +184,7 @@ def train(texts: list[str | None], labels: list[int], *, rounds: int = 14, seed:
     weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()) * 256
     m = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}
     step = 0
+    batch = min(256, max(32, sum(len(np.unique(part.doc)) for part, _ in parts) // 16))
     for r in range(rounds):
         rate = 0.02 if r < rounds - 4 else 0.005
         for k in rng.permutation(len(parts)):
@@ -194,10 +195,10 @@ def train(texts: list[str | None], labels: list[int], *, rounds: int = 14, seed:
             s = logits(x, part.ids, p)
             order = np.lexsort((s, part.doc))
             top = order[np.append(np.flatnonzero(np.diff(part.doc[order])), len(order) - 1)]
-            for pick in np.array_split(rng.permutation(top), max(1, len(top) // 256)):
+            for pick in np.array_split(rng.permutation(top), max(1, len(top) // batch)):
                 step += 1
                 t, w = y[lo + part.doc[pick]], weight[lo + part.doc[pick]]
-                ids = part.ids[pick]
+                ids = np.where(rng.random((len(pick), SPAN)) < 0.1, len(part.word), part.ids[pick])  # words left out at random
                 used, local = np.unique(np.append(ids.ravel(), len(part.word)), return_inverse=True)
                 g = gradients(x[used], local[:-1].reshape(ids.shape), p, lambda z: ((sigmoid(z) - t) * w).astype(np.float32))
                 dx = g.pop("x")[:-1]
@@ -210,7 +211,7 @@ def train(texts: list[str | None], labels: list[int], *, rounds: int = 14, seed:
                     sums = np.zeros((len(rows), d.shape[1]), np.float32)
                     np.add.at(sums, inv, d)
                     m[name][1][rows] += sums * sums
-                    p[name][rows] -= 0.02 * sums / (np.sqrt(m[name][1][rows]) + 1e-3)
+                    p[name][rows] -= 0.005 * sums / (np.sqrt(m[name][1][rows]) + 1e-3)
                 for name, d in g.items():
                     a, b = m[name]
                     a += 0.1 * (d - a)
