@@ -44,12 +44,18 @@ def op7_shard_bytes(spark, sf_dir):
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_minhash_components(spark, sf_dir):
+    from .minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, num=80, den=100)
+
+
 def op10_secret_formats(spark, sf_dir):
     from .credentials import secrets
 
     return secrets(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_snapshot_collapse, op4_mix_sources, op5_toxicity, op7_shard_bytes, op10_secret_formats)}
+QUERIES = {f.__name__: f for f in (op2_chat_snapshot_collapse, op4_mix_sources, op5_toxicity, op7_shard_bytes, op8_minhash_components, op10_secret_formats)}
 
 SQL: dict[str, str] = {}
