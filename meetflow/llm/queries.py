@@ -10,6 +10,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_spaced_seed_decontamination(spark, sf_dir):
+    from .decontam import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_sentence_span_dedup(spark, sf_dir):
+    from .spans import repeated_spans
+
+    return repeated_spans(_table(spark, sf_dir, "documents"))
+
+
 def op2_chat_snapshot_collapse(spark, sf_dir):
     from .chat import collapse_and_render
 
@@ -56,6 +68,6 @@ def op10_secret_formats(spark, sf_dir):
     return secrets(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_snapshot_collapse, op4_mix_sources, op5_toxicity, op7_shard_bytes, op8_minhash_components, op10_secret_formats)}
+QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op3_sentence_span_dedup, op2_chat_snapshot_collapse, op4_mix_sources, op5_toxicity, op7_shard_bytes, op8_minhash_components, op10_secret_formats)}
 
 SQL: dict[str, str] = {}
