@@ -7,28 +7,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cut import cut
+from .cut import remove, stored
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 200) -> DataFrame:
-    """(v, comp) for every node of an edge; comp is the smallest node reachable.
+def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 100) -> DataFrame:
+    """(v, comp) for every node of an edge; comp is one of the component's nodes, the same for all.
 
-    Each round takes the smallest label among the neighbours and then the label
-    of that label, so distances halve; rounds end when no label moves.  All state
-    stays in checkpointed tables; the driver sees one number a round.
+    Each round hangs every node on its smallest neighbour (or itself), goes up two
+    steps, and replaces the ends of every edge by what they hang on: edges inside
+    a tree vanish, the rest are made distinct, so tables shrink quickly and chains
+    halve.  Rounds end when no edge is left.  All state is in tables of the shared
+    folder, and the driver sees one number a round.
     """
-    both = edges.select(F.col(a).alias("v"), F.col(b).alias("w")).where("v <> w")
-    both = cut(both.unionByName(both.select(F.col("w").alias("v"), F.col("v").alias("w"))).distinct())
-    label = cut(both.groupBy("v").agg(F.min("w").alias("m")).select("v", F.least("v", "m").alias("l")))
+    spark = edges.sparkSession
+    e, e_path = stored(edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("w")).where("v < w").distinct())
+    label, label_path = stored(e.select("v").union(e.select("w")).distinct().select("v", F.col("v").alias("comp")))
     for _ in range(most_rounds):
-        near = both.join(label.select(F.col("v").alias("w"), "l"), "w").groupBy("v").agg(F.min("l").alias("m"))
-        step = cut(label.join(near, "v").select("v", F.col("l").alias("old"), F.least("l", "m").alias("l")))
-        jump = step.select(F.col("v").alias("l"), F.col("l").alias("ll"))
-        new = cut(step.join(jump, "l").select("v", "old", F.col("ll").alias("l")))
-        label = new.select("v", "l")
-        if not new.where("l <> old").limit(1).count():
-            return label.select("v", F.col("l").alias("comp"))
-    raise RuntimeError(f"components: no fixed point after {most_rounds} rounds")
+        if not e.limit(1).count():
+            remove(spark, e_path)
+            return label
+        low = e.groupBy(F.col("w").alias("x")).agg(F.min("v").alias("m"))
+        high = e.select(F.col("v").alias("x"), F.col("v").alias("m"))
+        up, up_path = stored(low.unionByName(high).groupBy("x").agg(F.min("m").alias("m")))
+        once = up.select(F.col("x").alias("m"), F.col("m").alias("mm"))
+        twice, twice_path = stored(up.join(once, "m").select("x", F.col("mm").alias("m")))
+        top = twice.join(twice.select(F.col("x").alias("m"), F.col("m").alias("mm")), "m").select("x", F.col("mm").alias("m"))
+        top, top_path = stored(top)
+        moved = e.join(top.select(F.col("x").alias("v"), F.col("m").alias("a")), "v").join(top.select(F.col("x").alias("w"), F.col("m").alias("b")), "w")
+        new_e, new_e_path = stored(moved.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("w")).where("v < w").distinct())
+        new_label, new_label_path = stored(label.join(top.select(F.col("x").alias("comp"), F.col("m")), "comp", "left").select("v", F.coalesce("m", "comp").alias("comp")))
+        remove(spark, e_path, label_path, up_path, twice_path, top_path)
+        e, e_path, label, label_path = new_e, new_e_path, new_label, new_label_path
+    raise RuntimeError(f"components: edges left after {most_rounds} rounds")
 
 
 def groups(batches, keys: list[str]):
