@@ -62,12 +62,18 @@ def op8_minhash_components(spark, sf_dir):
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, num=80, den=100)
 
 
+def op9_subspace_embedding_links(spark, sf_dir):
+    from .embed import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op10_secret_formats(spark, sf_dir):
     from .credentials import secrets
 
     return secrets(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op3_sentence_span_dedup, op2_chat_snapshot_collapse, op4_mix_sources, op5_toxicity, op7_shard_bytes, op8_minhash_components, op10_secret_formats)}
+QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op3_sentence_span_dedup, op2_chat_snapshot_collapse, op4_mix_sources, op5_toxicity, op7_shard_bytes, op8_minhash_components, op9_subspace_embedding_links, op10_secret_formats)}
 
 SQL: dict[str, str] = {}
