@@ -49,6 +49,15 @@ def op5_toxicity(spark, sf_dir):
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_kneser_ney(spark, sf_dir):
+    from . import ngram
+
+    docs = _table(spark, sf_dir, "documents")
+    model = ngram.train(docs.where(fold("doc_id", 10) != 0))
+    rows = ngram.score(docs, model, keep=["doc_id"])
+    return rows.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op7_shard_bytes(spark, sf_dir):
     from .sharding import balanced_shards
 
@@ -74,6 +83,6 @@ def op10_secret_formats(spark, sf_dir):
     return secrets(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op3_sentence_span_dedup, op2_chat_snapshot_collapse, op4_mix_sources, op5_toxicity, op7_shard_bytes, op8_minhash_components, op9_subspace_embedding_links, op10_secret_formats)}
+QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op3_sentence_span_dedup, op2_chat_snapshot_collapse, op4_mix_sources, op5_toxicity, op6_kneser_ney, op7_shard_bytes, op8_minhash_components, op9_subspace_embedding_links, op10_secret_formats)}
 
 SQL: dict[str, str] = {}
