@@ -1,11 +1,58 @@
-"""Corpus pipeline (its stages are filled in as their operators land)."""
+"""Corpus pipeline: toxicity, near-duplicates, benchmark decontamination, source mix, shards.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
+each stage's rows as Parquet in the shared folder and reads them for the next.
+Columns of documents pass unchanged through all stages but the last, which says
+for each document the mix took where it goes.  The mix repeats documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meetflow.llm import decontam, minhash, mixing, sharding, toxicity
+from meetflow.llm.cut import stored
+from meetflow.llm.queries import fold
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    params = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), allowed=lambda i: fold(i, 5) != 0)
+    return toxicity.reject(docs, params)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.keep_one(docs, shingle=5, num=80, den=100)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(docs, size=mixing.word_count(F.col("text")), quality=mixing.quality_weight(F.col("text")))
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.balanced_shards(docs, 40)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("mix", mix),
+    ("shards", shard),
+]
+
+#: SQL has no recurrent network; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs, _ = stored(docs)
     return docs

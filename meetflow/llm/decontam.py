@@ -162,11 +162,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     return found.select(id_col, F.col("_item").alias(item_id), "_b.matched", "_b.item_tokens", (-F.col("_b.col2")).alias("start"), (-F.col("_b.col3")).alias("end"))
 
 
-def clean_batches(batches, index: Index):
+def clean_batches(batches, index: Index, text_col: str):
     words = alnum_words()
     for batch in batches:
         ok = np.ones(batch.num_rows, bool)
-        for lo, _, buf, off in pieces(batch.column("text")):
+        for lo, _, buf, off in pieces(batch.column(text_col)):
             ok[[lo + x[0] for x in index.search(words(buf, off))]] = False
         yield batch.filter(pa.array(ok))
 
@@ -176,7 +176,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     """The documents that overlap with no benchmark item (see ``contaminated``), all columns as they were."""
     for index in indexes(benchmark, item_id, item_text, block_tokens):
         held = docs.sparkSession.sparkContext.broadcast(index)
-        named = docs.withColumnRenamed(text_col, "text") if text_col != "text" else docs
-        docs = named.mapInArrow(lambda it, held=held: clean_batches(it, held.value), named.schema)
-        docs = docs.withColumnRenamed("text", text_col) if text_col != "text" else docs
+        docs = docs.mapInArrow(lambda it, held=held: clean_batches(it, held.value, text_col), docs.schema)
     return docs

@@ -240,3 +240,19 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
     comp = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id"))
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"),
                       F.coalesce(F.col("_id") == comp, comp.isNull()).alias("kept"))
+
+
+#: Ids of dropped copies that are broadcast (a few MB); more are joined by shuffle.
+BROADCAST_IDS = 500_000
+
+
+def keep_one(docs: DataFrame, **how) -> DataFrame:
+    """One document of each component of near copies (the one with the smallest id), all columns as they were.
+
+    Rows with the same id are one document and stay or go together.
+    """
+    id_col = how.get("id_col", "doc_id")
+    gone = cut(near_duplicates(docs, **how).where("not kept").select(F.col(id_col).alias("_gone")).distinct())
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")

@@ -46,6 +46,35 @@ def source_targets(sized: DataFrame, weights: Sequence[float], share: float, cap
     return src.select("_src", F.col("_size").alias("source_size"), "_rows", F.least("_full", level * F.col("_w")).alias("target"))
 
 
+def document_key(id_col: str, quality: Column, seed: int) -> Column:
+    """-ln(u)/quality, u in (0, 1) from a hash of the id."""
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 11).cast("double") + 0.5) / float(2**53)
+    return -F.log(u) / quality
+
+
+def source_key(source_col: str) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n"))
+
+
+def mixed_rows(docs: DataFrame, size: Column, quality: Column, weights: Sequence[float], share: float, cap: float, seed: int,
+               id_col: str, source_col: str) -> DataFrame:
+    """Every document's key, complete epochs and times; see ``mix_sources``."""
+    base = cut(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), size.alias("size"),
+                           document_key(id_col, quality, seed).alias("_key"), source_key(source_col).alias("_src")))
+    targets = source_targets(base, weights, share, cap)
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    step = F.floor((1 - F.exp(-F.col("_key"))) * (F.floor(F.col("_rows") / STEP_ROWS) + 1))
+    rows = cut(base.drop("source").join(targets, "_src").withColumn("_epochs", epochs.cast("long")).select(
+        "_src", step.alias("_step"), "_key", "_id", "size", "source_size", "target", "_epochs",
+        (F.col("target") - F.col("_epochs") * F.col("source_size")).alias("_budget")))
+    steps = rows.groupBy("_src", "_step").agg(F.sum("size").alias("_sum"))
+    before = Window.partitionBy("_src").orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.select("_src", "_step", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_below"))
+    running = Window.partitionBy("_src", "_step").orderBy("_key", "_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    middle = F.col("_below") + F.sum("size").over(running) - F.col("size") / 2
+    return rows.join(steps, ["_src", "_step"]).withColumn("times", F.col("_epochs") + ((F.col("size") > 0) & (middle <= F.col("_budget"))).cast("long"))
+
+
 def mix_sources(docs: DataFrame, *, size: Column, quality: Column, weights: Sequence[float] = (5, 2, 1),
                 share: float = 1.5, cap: float = 2.0, seed: int = 17, id_col: str = "doc_id",
                 source_col: str = "source") -> DataFrame:
@@ -65,20 +94,28 @@ def mix_sources(docs: DataFrame, *, size: Column, quality: Column, weights: Sequ
     rows are documents like others (equal ids have equal u), a source of only
     empty documents has target 0, an empty table gives no rows.
     """
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 11).cast("double") + 0.5) / float(2**53)
-    base = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), size.alias("size"),
-                       (-F.log(u) / quality).alias("_key"))
-    base = cut(base.withColumn("_src", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))))
-    targets = source_targets(base, weights, share, cap)
-    times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    step = F.floor((1 - F.exp(-F.col("_key"))) * (F.floor(F.col("_rows") / STEP_ROWS) + 1))
-    rows = cut(base.drop("source").join(targets, "_src").withColumn("_times", times.cast("long")).select(
-        "_src", step.alias("_step"), "_key", "_id", "size", "source_size", "target", "_times",
-        (F.col("target") - F.col("_times") * F.col("source_size")).alias("_budget")))
-    steps = rows.groupBy("_src", "_step").agg(F.sum("size").alias("_sum"))
-    before = Window.partitionBy("_src").orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
-    steps = steps.select("_src", "_step", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_below"))
-    running = Window.partitionBy("_src", "_step").orderBy("_key", "_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    middle = F.col("_below") + F.sum("size").over(running) - F.col("size") / 2
-    out = rows.join(steps, ["_src", "_step"]).withColumn("times", F.col("_times") + ((F.col("size") > 0) & (middle <= F.col("_budget"))).cast("long"))
+    out = mixed_rows(docs, size, quality, weights, share, cap, seed, id_col, source_col)
     return out.select(F.col("_id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times")
+
+
+#: Sources whose thresholds (a name and two numbers) are broadcast; more are joined by shuffle.
+BROADCAST_SOURCES = 50_000
+
+
+def mix_documents(docs: DataFrame, *, size: Column, quality: Column, weights: Sequence[float] = (5, 2, 1), share: float = 1.5,
+                  cap: float = 2.0, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """The documents as the mix takes them: each ``times`` times, all columns as they were.
+
+    Within a source the documents taken beyond complete epochs are those up to a
+    key, so texts need not move: they meet one threshold a source.  Documents with
+    the threshold's very key (equal ids) are taken together.
+    """
+    rows = mixed_rows(docs, size, quality, weights, share, cap, seed, id_col, source_col)
+    limits = cut(rows.groupBy("_src").agg(F.max("_epochs").alias("_epochs"), F.max(F.when(F.col("times") > F.col("_epochs"), F.col("_key"))).alias("_limit")))
+    if limits.count() <= BROADCAST_SOURCES:
+        limits = F.broadcast(limits)
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), source_key(source_col).alias("_src"),
+                       document_key(id_col, quality, seed).alias("_key"), size.alias("_size")).join(limits, "_src")
+    more = F.coalesce((F.col("_size") > 0) & (F.col("_key") <= F.col("_limit")), F.lit(False)).cast("int")
+    taken = held.select("_row", F.explode(F.array_repeat(F.lit(1), (F.col("_epochs") + more).cast("int"))))
+    return taken.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

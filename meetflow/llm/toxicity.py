@@ -221,20 +221,30 @@ def train(texts: list[str | None], labels: list[int], *, rounds: int = 14, seed:
     return p
 
 
+def score_column(column, p: dict, words: Words) -> np.ndarray:
+    best = []
+    for _, _, buf, off in pieces(column):
+        part = Piece(words, buf, off)
+        top = np.full(part.docs, -np.inf)
+        if len(part.doc):
+            np.maximum.at(top, part.doc, logits(part.inputs(p), part.ids, p).astype(float))
+        best.append(np.where(np.isfinite(top), top, p["bias"][0]))
+    return sigmoid(np.concatenate(best)) if best else np.zeros(0)
+
+
 def score_batches(batches, p: dict, text: str, keep: list[str]):
     words = Words()
     for batch in batches:
-        column, best = batch.column(text), []
-        for _, _, buf, off in pieces(column):
-            part = Piece(words, buf, off)
-            top = np.full(part.docs, -np.inf)
-            if len(part.doc):
-                np.maximum.at(top, part.doc, logits(part.inputs(p), part.ids, p).astype(float))
-            best.append(np.where(np.isfinite(top), top, p["bias"][0]))
-        score = sigmoid(np.concatenate(best)) if best else np.zeros(0)
+        score = score_column(batch.column(text), p, words)
         yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(score, pa.float64())], [*keep, "score"])
 
 
+def reject_batches(batches, p: dict, text: str, limit: float):
+    words = Words()
+    for batch in batches:
+        yield batch.filter(pa.array(score_column(batch.column(text), p, words) < limit))
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, allowed: Column, most: tuple[int, int] = (5000, 2500), id_col: str = "doc_id",
         text_col: str = "text", label_col: str = "toxic", seed: int = 5) -> dict:
     """Trains on at most ``most`` clean and toxic labelled documents (those with the smallest hashes of their ids).
@@ -264,3 +274,9 @@ def score(docs: DataFrame, params: dict, *, keep: list[str], text_col: str = "te
     src = docs.select(*keep, F.col(text_col).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name in keep) + ", score double"
     return src.mapInArrow(lambda batches: score_batches(batches, held.value, "_text", keep), schema)
+
+
+def reject(docs: DataFrame, params: dict, *, limit: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The documents that score below ``limit``, all columns as they were."""
+    held = docs.sparkSession.sparkContext.broadcast(params)
+    return docs.mapInArrow(lambda batches: reject_batches(batches, held.value, text_col, limit), docs.schema)
