@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .cut import cut
 from .graph import components, groups
 
-BLOCKS = 8
+BLOCKS = 4
 #: Vectors of a cell compared in one task at once; a larger cell is split, and pairs of its parts meet.
 PART_ROWS = 8192
 TILE = (512, 4096)
@@ -190,7 +190,7 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.9, id_col: str = "vec_i
     """Links of vectors with a cosine of at least ``least``, counted, and their components.
 
     Equal arrays are one class that counts for all its rows.  Unit vectors are
-    rotated to the principal axes of all rows and split into 8 blocks; each block
+    rotated to the principal axes of all rows and split into 4 blocks; each block
     gets a share of the squared distance 2 - 2*least, proportional to its variance, and
     vectors at most that far apart overall are within the share in some block.
     Each block is range-joined on cells of its first coordinate, as wide as the
