@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cut import cut
 from .text import U64, Words, mix, pieces
 
 #: Words a run must have.
@@ -58,6 +59,8 @@ def sentence_runs(batches, id_col: str, least: int):
             order = np.lexsort((first, h, doc))  # a run that its own document has before
             again = np.zeros(len(h), np.int64)
             again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
+            # it is cut whatever others have: a hash of its own keeps it from meeting them
+            h = np.where(again == 1, mix(h + mix((lo + doc).astype(U64) << U64(32) | first.astype(U64))), h)
             out[0].append(h.view(np.int64))
             out[1].append(lo + doc)
             out[2].append((a << 32 | size << 1 | again).astype(np.int64))
@@ -89,9 +92,10 @@ def repeated_spans(docs: DataFrame, *, least_words: int = LEAST_WORDS, id_col: s
     hashed (several sentences; a sentence of 25 words or more is a run of its
     own, so long passages of few sentences count).  Words compare with A-Z lowered and any
     white space between.  Of equal runs the first in order of id and place stays;
-    all others are cut.  Runs are counted with the smallest id first and then
-    joined back, so a run in a third of all documents meets only in partial sums
-    and in a join whose skewed side can be split.
+    all others are cut.  A run that its own document has before is cut without
+    meeting others.  The rest are counted with the smallest id and then joined
+    back, so a run in a third of all documents meets only in partial sums and in a
+    join whose skewed side can be split.
 
     Returns a row for each document that loses something: id, n_spans, removed
     (code points), starts and ends (arrays of code points, end exclusive).  Null
@@ -101,9 +105,9 @@ def repeated_spans(docs: DataFrame, *, least_words: int = LEAST_WORDS, id_col: s
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = src.schema["_id"].dataType.simpleString()
     runs = src.mapInArrow(lambda it: sentence_runs(it, "_id", least_words), f"h long, _id {kind}, place long")
-    known = runs.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("d")).where("n > 1").select("h", "d")
-    later = F.coalesce(F.col("_id") != F.col("d"), F.col("d").isNotNull()) | (F.col("place").bitwiseAND(1) == 1)
-    cuts = runs.join(known, "h").where(later).select("_id", "place")
+    known = cut(runs.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("d")).where("n > 1").select("h", "d", F.lit(True).alias("met")))
+    later = F.col("met") & F.coalesce(F.col("_id") != F.col("d"), F.col("d").isNotNull())
+    cuts = runs.join(known, "h", "left").where(F.coalesce(later, F.lit(False)) | (F.col("place").bitwiseAND(1) == 1)).select("_id", "place")
     cuts = cuts.groupBy("_id").agg(F.collect_list("place").alias("places"))
     out = cuts.mapInArrow(merge_places, f"_id {kind}, n_spans long, removed long, starts array<long>, ends array<long>")
     return out.withColumnRenamed("_id", id_col)
