@@ -235,7 +235,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
     linked = components(links).select(F.col("v").alias("c"), "comp").join(classes.select("c", "rep"), "c")
     least = linked.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = linked.join(least, "comp").select("c", "component_id")
-    named = classes.select("c", "rep").join(named, "c", "left").select("c", F.coalesce("component_id", "rep").alias("component_id"))
+    # a table of its own, so that the join with all rows can split a class of many copies
+    named = cut(classes.select("c", "rep").join(named, "c", "left").select("c", F.coalesce("component_id", "rep").alias("component_id")))
     out = signed.join(named.withColumnRenamed("c", "s1"), "s1", "left")
     comp = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id"))
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"),
