@@ -10,7 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,10 +28,11 @@ class Tables:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.top = spark, f"{shared_dir(spark)}/rounds-{uuid.uuid4().hex}"
 
-    def put(self, df: DataFrame) -> tuple[DataFrame, str]:
-        path = f"{self.top}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path), path
+    def put(self, df: DataFrame, counted: str = "true") -> tuple[DataFrame, str, int]:
+        """The table, its path and how many of its rows meet ``counted``, from one job."""
+        path, seen = f"{self.top}/{uuid.uuid4().hex}", Observation()
+        df.observe(seen, F.count_if(F.expr(counted)).alias("n")).write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), path, seen.get["n"]
 
     def read(self, schema, paths: Sequence[str]) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*paths)
@@ -51,10 +52,10 @@ def close_rows(seed: DataFrame, step: Callable[[DataFrame], DataFrame], most_rou
     """
     t = Tables(seed.sparkSession)
     names = seed.columns
-    delta, path = t.put(seed.distinct())
+    delta, path, n = t.put(seed.distinct())
     paths = [path]
     for _ in range(most_rounds):
-        if not delta.limit(1).count():
+        if not n:
             return t.read(seed.schema, paths)
         known = t.read(seed.schema, paths)
         same = None
@@ -63,7 +64,7 @@ def close_rows(seed: DataFrame, step: Callable[[DataFrame], DataFrame], most_rou
         for c in names:
             ok = cand[c].eqNullSafe(k[f"_k_{c}"])
             same = ok if same is None else same & ok
-        delta, path = t.put(cand.join(k, same, "left_anti"))
+        delta, path, n = t.put(cand.join(k, same, "left_anti"))
         paths.append(path)
     raise RuntimeError(f"no fixed point after {most_rounds} rounds")
 
@@ -82,12 +83,12 @@ def close_values(seed: DataFrame, keys: Sequence[str], values: Sequence[str], me
     """
     t = Tables(seed.sparkSession)
     keys, values = list(keys), list(values)
-    facts, facts_path = t.put(seed.groupBy(*keys).agg(*meet).select(*keys, *values))
-    changed, changed_path = t.put(facts.select(*keys))
+    merged, path, moves = t.put(seed.groupBy(*keys).agg(*meet).select(*keys, *values, F.lit(True).alias("_moved")), "_moved")
     for n in range(most_rounds):
-        if not changed.limit(1).count():
+        facts = merged.select(*keys, *values)
+        if not moves:
             return facts
-        both = step(facts, changed).select(*keys, *values).unionByName(facts).groupBy(*keys).agg(*meet)
+        both = step(facts, merged.where("_moved").select(*keys)).select(*keys, *values).unionByName(facts).groupBy(*keys).agg(*meet)
         old = facts.select(*keys, *[F.col(v).alias(f"old_{v}") for v in values], F.lit(True).alias("_had"))
         both = both.join(old, keys, "left")
         if widen and n >= widen_after:
@@ -95,8 +96,7 @@ def close_values(seed: DataFrame, keys: Sequence[str], values: Sequence[str], me
         moved = F.col("_had").isNull()
         for v in values:
             moved = moved | ~F.col(v).eqNullSafe(F.col(f"old_{v}"))
-        merged, merged_path = t.put(both.select(*keys, *values, moved.alias("_moved")))
-        t.drop(facts_path, changed_path)
-        facts, facts_path = merged.select(*keys, *values), merged_path
-        changed, changed_path = t.put(merged.where("_moved").select(*keys))
+        done = path
+        merged, path, moves = t.put(both.select(*keys, *values, moved.alias("_moved")), "_moved")
+        t.drop(done)
     raise RuntimeError(f"no fixed point after {most_rounds} rounds")
