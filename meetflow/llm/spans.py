@@ -122,5 +122,7 @@ def cut_spans(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text
         lambda acc, x: F.struct(F.concat(acc["t"], F.substring("_text", (acc["p"] + 1).cast("int"), (x["starts"] - acc["p"]).cast("int"))).alias("t"), x["ends"].alias("p")),
         lambda acc: F.concat(acc["t"], F.substring("_text", (acc["p"] + 1).cast("int"), F.lit(2**31 - 1))),
     )
-    joined = docs.withColumnRenamed(text_col, "_text").join(s, F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    return joined.withColumn(text_col, F.when(F.col("starts").isNull(), F.col("_text")).otherwise(kept)).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_key"), F.col(text_col).alias("_text"))
+    joined = rows.join(s, F.col("_key").eqNullSafe(F.col("_id")), "left")
+    text = F.when(F.col("starts").isNull(), F.col("_text")).otherwise(kept)
+    return joined.select(*[text.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns])

@@ -158,8 +158,8 @@ def train(texts: list[str | None], labels: list[int], *, rounds: int = 14, seed:
     p, y = initial(rng), np.asarray(labels, np.float32)
     if not len(y) or y.min() == y.max():
         p["out"][:] = 0
-        p["bias"][:] = 0 if not len(y) else 4 * (2 * y[0] - 1)
-        return p
+        p["bias"][:] = p["none"] = 0 if not len(y) else 4 * (2 * y[0] - 1)
+        return {k: np.atleast_1d(v) for k, v in p.items()}
     words, parts, at = Words(), [], 0
     for lo, hi, buf, off in pieces(pa.array(texts, pa.large_string())):
         parts.append((Piece(words, buf, off), lo))
@@ -218,7 +218,7 @@ def train(texts: list[str | None], labels: list[int], *, rounds: int = 14, seed:
                     b += 0.01 * (d * d - b)
                     p[name] -= (rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
                 x = part.inputs(p) if step % 8 == 0 else x
-    return p
+    return p | {"none": np.array([-4.0])}  # a text without words holds nothing toxic
 
 
 def score_column(column, p: dict, words: Words) -> np.ndarray:
@@ -228,7 +228,7 @@ def score_column(column, p: dict, words: Words) -> np.ndarray:
         top = np.full(part.docs, -np.inf)
         if len(part.doc):
             np.maximum.at(top, part.doc, logits(part.inputs(p), part.ids, p).astype(float))
-        best.append(np.where(np.isfinite(top), top, p["bias"][0]))
+        best.append(np.where(np.isfinite(top), top, p["none"][0]))
     return sigmoid(np.concatenate(best)) if best else np.zeros(0)
 
 
@@ -267,7 +267,7 @@ def score(docs: DataFrame, params: dict, *, keep: list[str], text_col: str = "te
     """Adds ``score``: the toxicity of a text's most toxic window, 0 to 1.
 
     All windows of 32 words, each 24 words after the last, are scored over the
-    whole text.  Empty and null texts get the score of no words at all.  Only
+    whole text.  Empty and null texts score 0.018 (0.5 if nothing was learned).  Only
     ``keep`` and the text are read; an empty table gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(params)  # about 2 MB, whatever the input
