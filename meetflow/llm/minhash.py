@@ -233,7 +233,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
     whole = blocks(sets.join(sized, "c").dropDuplicates(["c"]), "nb", "c", ["cluster"])
     links = whole.select("cluster", "_i", "_j", "c", "set").mapInArrow(lambda it: exact_links(it, num, den), "a long, b long")
     linked = components(links).select(F.col("v").alias("c"), "comp").join(classes.select("c", "rep"), "c")
-    least = linked.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    least = cut(linked.groupBy("comp").agg(F.min("rep").alias("component_id")))  # joined by a key that a large component shares
     named = linked.join(least, "comp").select("c", "component_id")
     # a table of its own, so that the join with all rows can split a class of many copies
     named = cut(classes.select("c", "rep").join(named, "c", "left").select("c", F.coalesce("component_id", "rep").alias("component_id")))
