@@ -233,7 +233,8 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.9, id_col: str = "vec_i
     sums = found.where("kind = 0").groupBy(F.col("a").alias("c")).agg(F.sum("b").alias("n"))
     comp = components(found.where("kind = 1").select("a", "b")).select(F.col("v").alias("c"), "comp")
     comp = comp.join(classes.select("c", "rep"), "c")
-    comp = comp.join(comp.groupBy("comp").agg(F.min("rep").alias("least")), "comp").select("c", "least")
+    least = cut(comp.groupBy("comp").agg(F.min("rep").alias("least")))  # joined by a key that a large component shares
+    comp = comp.join(least, "comp").select("c", "least")
     named = classes.select("c", "c2", "mult", "rep", _usable("v").alias("ok")).join(sums, "c", "left").join(comp, "c", "left").select(
         "c", "c2", F.when(F.col("ok"), F.coalesce("n", F.lit(0)) + F.col("mult") - 1).otherwise(0).alias("n_links"),
         F.when(F.col("ok"), F.coalesce("least", "rep")).alias("component_id"))
