@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.kinds import ExprKind as X
 from ..operators import ranges
 from .rounds import close_rows, close_values
+from .views import cascade
 
 
 def reach(e: DataFrame, start: DataFrame, fn: Sequence[str] = (), *, backward: bool = False, through: DataFrame | None = None) -> DataFrame:
@@ -117,7 +118,7 @@ def points_to(address: DataFrame, copy: DataFrame, load: DataFrame | None = None
 
 
 def interval(assigns: DataFrame, e: DataFrame, fn: Sequence[str] = (), *, entry: DataFrame, full: tuple[int, int],
-             widen_after: int = 8, refine: Callable | None = None) -> DataFrame:
+             widen_after: int = 8, refine: Callable | None = None, reached: DataFrame | None = None) -> DataFrame:
     """(fn, node, var, lo, hi): ranges after each node, forward; missing rows are top.
 
     ``assigns``: (fn, node, var, xkind, a_var, a_const, b_var, b_const, weak): var =
@@ -126,11 +127,14 @@ def interval(assigns: DataFrame, e: DataFrame, fn: Sequence[str] = (), *, entry:
     outside ``full`` widen to ``full`` (C leaves overflow open).  ``entry``: (fn,
     node, var, lo, hi) before entry nodes.  ``refine`` may narrow what flows
     along an edge: it gets rows (fn, src, dst, label, var, lo, hi) and returns them.
+    ``reached`` (fn, node): the only nodes that take part, if given.
     The transfer of operators follows C on bounds; what the domain cannot say is ``full``.
     """
     fn = list(fn)
     lo_all, hi_all = F.lit(full[0]).cast("long"), F.lit(full[1]).cast("long")
     node = [*fn, "node"]
+    if reached is not None:
+        assigns, e = assigns.join(reached, node, "left_semi"), cascade(e, reached, fn)
     assigned = assigns.where("not weak").select(*node, "var").distinct()
     nodes_in = e.select(*fn, "src", F.col("dst"), *(["label"] if "label" in e.columns else []))
 

@@ -47,3 +47,33 @@ def contexts(call_edges: DataFrame, entry: str, depth: int = 2) -> DataFrame:
     e = call_edges.select(F.col("caller").alias("function"), F.col("site").cast("string").alias("_s"), "callee")
     push = F.slice(F.concat(F.array("_s"), "context"), 1, depth)
     return close_rows(seed, lambda d: d.join(e, "function").select(F.col("callee").alias("function"), push.alias("context")))
+
+
+def supergraph(e: DataFrame, calls: DataFrame, bounds: DataFrame, *, main: str, depth: int = 0, skip_calls: bool = False) -> tuple[DataFrame, DataFrame]:
+    """One graph of all functions, cloned by call strings of at most ``depth`` sites.
+
+    e: (function, src, dst, label) within functions; calls: (function, node, callee);
+    bounds: (function, entry, exit).  Returns edges (src, dst, label) over node
+    names and the nodes (id, function, context, node).  A call node leads to its
+    callees' entries and their exits lead to what follows the call; with
+    ``skip_calls`` control also passes over it.  Calls to functions without bounds
+    are passed over in any case.
+    """
+    known = calls.join(bounds.select(F.col("function").alias("callee")), "callee", "left_semi")
+    site = F.concat_ws(":", "function", F.col("node").cast("string"))
+    ctx = contexts(known.select(F.col("function").alias("caller"), site.alias("site"), "callee"), main, depth) if depth else None
+    if ctx is None:
+        ctx = bounds.select("function", F.array().cast("array<string>").alias("context"))
+    name = lambda f, c, n: F.concat(f, F.lit("@"), F.array_join(c, "/"), F.lit("#"), n.cast("string"))
+    inner = e if skip_calls else e.join(known.select("function", F.col("node").alias("src")).distinct(), ["function", "src"], "left_anti")
+    inner = inner.join(ctx, "function").select(name(F.col("function"), F.col("context"), F.col("src")).alias("src"), name(F.col("function"), F.col("context"), F.col("dst")).alias("dst"), "label")
+    pushed = F.slice(F.concat(F.array(site), "context"), 1, depth) if depth else F.col("context")
+    at = known.join(ctx, "function").select("function", "node", "callee", "context", pushed.alias("_inner"))
+    at = at.join(bounds.select(F.col("function").alias("callee"), "entry", "exit"), "callee")
+    zero = F.lit(0).cast(e.schema["label"].dataType).alias("label")
+    go = at.select(name(F.col("function"), F.col("context"), F.col("node")).alias("src"), name(F.col("callee"), F.col("_inner"), F.col("entry")).alias("dst"), zero)
+    after = e.select("function", F.col("src").alias("node"), F.col("dst").alias("_next"))
+    back = at.join(after, ["function", "node"]).select(name(F.col("callee"), F.col("_inner"), F.col("exit")).alias("src"), name(F.col("function"), F.col("context"), F.col("_next")).alias("dst"), zero)
+    nodes = e.select("function", F.col("src").alias("node")).union(e.select("function", "dst")).union(bounds.select("function", "entry")).union(bounds.select("function", "exit")).distinct()
+    nodes = nodes.join(ctx, "function").select(name(F.col("function"), F.col("context"), F.col("node")).alias("id"), "function", "context", "node")
+    return inner.unionByName(go).unionByName(back).distinct(), nodes

@@ -43,5 +43,6 @@ def current(facts: DataFrame, fn: Sequence[str], version: str) -> DataFrame:
 
 def windowed_counts(events: DataFrame, time: str, keys: Sequence[str], every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events per window and key with a watermark: how many functions of each kind arrive."""
+    events = events.withColumn(time, F.col(time).cast("timestamp"))  # watermarks want instants
     return events.withWatermark(time, late).groupBy(F.window(time, every), *keys).agg(F.count(F.lit(1)).alias("n")).select(
         F.col("window.start").alias("window_start"), *keys, "n")
