@@ -43,6 +43,10 @@ class Tables:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Tables of known rows that are read together before they are joined into one.
+PATHS = 12
+
+
 def close_rows(seed: DataFrame, step: Callable[[DataFrame], DataFrame], most_rounds: int = 10_000) -> DataFrame:
     """Least set of rows that holds ``seed`` and is closed under ``step`` (semi-naive).
 
@@ -57,6 +61,10 @@ def close_rows(seed: DataFrame, step: Callable[[DataFrame], DataFrame], most_rou
     for _ in range(most_rounds):
         if not n:
             return t.read(seed.schema, paths)
+        if len(paths) > PATHS:  # the last is delta, which is still read
+            joined = t.put(t.read(seed.schema, paths[:-1]))[1]
+            t.drop(*paths[:-1])
+            paths = [joined, paths[-1]]
         known = t.read(seed.schema, paths)
         same = None
         cand = step(delta).select(*names).distinct()
