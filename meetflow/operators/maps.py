@@ -108,3 +108,38 @@ def point_meet_all(name: str) -> Column:
 def pair(op: Callable[[Column, Column], Column], a_in: Column, a_out: Column, b_in: Column, b_out: Column) -> Column:
     """An operation on both sides of (in, out) pairs."""
     return F.struct(op(a_in, b_in).alias("in"), op(a_out, b_out).alias("out"))
+
+
+def scoped(m: DataFrame, scope: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The map without keys outside a scope."""
+    return m.join(scope.select(*key).distinct(), list(key), "left_semi")
+
+
+def with_default(m: DataFrame, wanted: DataFrame, keys: Sequence[str], default: dict) -> DataFrame:
+    """Values of wanted keys, a default for those the map lacks."""
+    return wanted.join(m, list(keys), "left").fillna(default)
+
+
+def chained(local: Column, parent: Column) -> Column:
+    """A local value over its parent's."""
+    return F.coalesce(local, parent)
+
+
+# sorted stores in one row: keys with values, each key once
+
+def store_put(store: Column, key: Column, value: Column) -> Column:
+    """A map column with a key added or overwritten."""
+    return F.map_concat(F.map_filter(store, lambda k, v: k != key), F.create_map(key, value))
+
+
+def store_remove(store: Column, key: Column) -> Column:
+    return F.map_filter(store, lambda k, v: k != key)
+
+
+def store_get(store: Column, key: Column) -> Column:
+    return F.try_element_at(store, key)
+
+
+def store_meet(a: Column, b: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Keys of both stores; values of common keys combined, others as they are."""
+    return F.map_zip_with(a, b, lambda k, x, y: F.when(x.isNull(), y).when(y.isNull(), x).otherwise(combine(x, y)))
