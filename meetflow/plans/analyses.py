@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kinds import ExprKind as X
 from ..operators import ranges
-from .rounds import close_rows, close_values
+from .rounds import Tables, close_rows, close_values
 from .views import cascade
 
 
@@ -24,7 +24,9 @@ def reach(e: DataFrame, start: DataFrame, fn: Sequence[str] = (), *, backward: b
     hop = e.select(*fn, F.col(a).alias("node"), F.col(b).alias("_next")).distinct()
     if through is not None:
         hop = hop.join(through.select(*fn, "node"), [*fn, "node"], "left_anti")
-    return close_rows(start.select(*fn, "node"), lambda d: d.join(hop, [*fn, "node"]).select(*fn, F.col("_next").alias("node")))
+    with Tables(e.sparkSession) as t:
+        hop = t.keep(hop)
+        return close_rows(start.select(*fn, "node"), lambda d: d.join(hop, [*fn, "node"]).select(*fn, F.col("_next").alias("node")))
 
 
 def block_liveness(uses: DataFrame, e: DataFrame, fn: Sequence[str], *, exit_live: DataFrame | None = None) -> DataFrame:
@@ -43,7 +45,9 @@ def block_liveness(uses: DataFrame, e: DataFrame, fn: Sequence[str], *, exit_liv
     if exit_live is not None:
         seed = seed.unionByName(exit_live.select(*fn, "bb", "var").join(kills, [*fn, "bb", "var"], "left_anti"))
     back = lambda d: d.join(hop, [*fn, "bb"]).select(*fn, F.col("_prev").alias("bb"), "var").join(kills, [*fn, "bb", "var"], "left_anti")
-    return close_rows(seed, back)
+    with Tables(e.sparkSession) as t:
+        hop, kills = t.keep(hop), t.keep(kills)
+        return close_rows(seed, back)
 
 
 def liveness(insn: DataFrame, uses: DataFrame, e: DataFrame, fn: Sequence[str], *, exit_live: DataFrame | None = None) -> DataFrame:
@@ -90,7 +94,9 @@ def strong_liveness(effects: DataFrame, e: DataFrame, fn: Sequence[str] = (), *,
 
     if exit_live is not None:
         seed = seed.unionByName(before(exit_live.select(*fn, "node", "var")))
-    return close_rows(seed, lambda d: before(d.join(hop, [*fn, "node"]).select(*fn, F.col("_prev").alias("node"), "var")))
+    with Tables(e.sparkSession) as t:
+        hop, kill_one, kill_all, feed = (t.keep(x) for x in (hop, kill_one, kill_all, feed))
+        return close_rows(seed, lambda d: before(d.join(hop, [*fn, "node"]).select(*fn, F.col("_prev").alias("node"), "var")))
 
 
 def points_to(address: DataFrame, copy: DataFrame, load: DataFrame | None = None, store: DataFrame | None = None) -> DataFrame:
@@ -103,7 +109,9 @@ def points_to(address: DataFrame, copy: DataFrame, load: DataFrame | None = None
     """
     if load is None and store is None:
         hop = copy.select("p", F.col("q").alias("_q")).distinct()
-        return close_rows(address.select("p", "x"), lambda d: d.withColumnRenamed("p", "_q").join(hop, "_q").select("p", "x"))
+        with Tables(address.sparkSession) as t:
+            hop = t.keep(hop)
+            return close_rows(address.select("p", "x"), lambda d: d.withColumnRenamed("p", "_q").join(hop, "_q").select("p", "x"))
     found = points_to(address, copy)
     while True:
         more = copy.select("p", "q")
@@ -135,6 +143,8 @@ def interval(assigns: DataFrame, e: DataFrame, fn: Sequence[str] = (), *, entry:
     node = [*fn, "node"]
     if reached is not None:
         assigns, e = assigns.join(reached, node, "left_semi"), cascade(e, reached, fn)
+    tables = Tables(e.sparkSession)
+    assigns, e = tables.keep(assigns), tables.keep(e)
     assigned = assigns.where("not weak").select(*node, "var").distinct()
     nodes_in = e.select(*fn, "src", F.col("dst"), *(["label"] if "label" in e.columns else []))
 
@@ -167,7 +177,8 @@ def interval(assigns: DataFrame, e: DataFrame, fn: Sequence[str] = (), *, entry:
 
     start = entry.select(*node).unionByName(assigns.select(*node)).distinct()
     seed = after(entry.groupBy(*node, "var").agg(*ranges.meet_all("lo", "hi")), start)
-    return close_values(seed, [*node, "var"], ["lo", "hi"], ranges.meet_all("lo", "hi"), step, widen=widen, widen_after=widen_after)
+    with tables:
+        return close_values(seed, [*node, "var"], ["lo", "hi"], ranges.meet_all("lo", "hi"), step, widen=widen, widen_after=widen_after)
 
 
 def range_of(x: Column, alo: Column, ahi: Column, blo: Column, bhi: Column, lo_all: Column, hi_all: Column) -> tuple[Column, Column]:

@@ -28,6 +28,16 @@ class Tables:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.top = spark, f"{shared_dir(spark)}/rounds-{uuid.uuid4().hex}"
 
+    def __enter__(self) -> "Tables":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(self.top)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The rows as a table: what every round reads again is computed once."""
+        return self.put(df)[0]
+
     def put(self, df: DataFrame, counted: str = "true") -> tuple[DataFrame, str, int]:
         """The table, its path and how many of its rows meet ``counted``, from one job."""
         path, seen = f"{self.top}/{uuid.uuid4().hex}", Observation()

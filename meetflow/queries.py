@@ -252,13 +252,13 @@ def cfg_invalid(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {P_SQL}, r(node) AS (SELECT src FROM pe WHERE src <= 20 UNION SELECT dst FROM pe JOIN r ON src = node) SELECT node FROM r")
 def reach_forward(spark, sf_dir):
-    e = parts_graph(spark, sf_dir).cache()
+    e = parts_graph(spark, sf_dir)
     return analyses.reach(e, e.where("src <= 20").select(F.col("src").alias("node")))
 
 
 @query(f"WITH RECURSIVE {P_SQL}, r(node) AS (SELECT dst FROM pe WHERE dst <= 20 UNION SELECT src FROM pe JOIN r ON dst = node) SELECT node FROM r")
 def reach_backward(spark, sf_dir):
-    e = parts_graph(spark, sf_dir).cache()
+    e = parts_graph(spark, sf_dir)
     return analyses.reach(e, e.where("dst <= 20").select(F.col("dst").alias("node")), backward=True)
 
 
@@ -279,34 +279,34 @@ def live_variables(spark, sf_dir):
  SELECT src, CASE WHEN src % 3 = 0 AND var = src % 11 THEN (src // 11) % 11 ELSE var END FROM pe JOIN l ON dst = node WHERE NOT (src % 3 = 2 AND src % 5 = 0 AND var = src % 11)) SELECT node, var FROM l""")
 def strong_live_variables(spark, sf_dir):
     """Node n: n mod 3 = 0 assigns x(n mod 11) = y, 1 uses x, 2 with n mod 5 = 0 assigns a constant to x."""
-    e = parts_graph(spark, sf_dir).cache()
+    e = parts_graph(spark, sf_dir)
     n = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
     x, y = F.expr("node % 11"), F.expr("(node div 11) % 11")
     none = F.lit(None).cast("bigint")
     eff = n.where("node % 3 = 0").select("node", x.alias("target"), y.alias("source"), F.lit(False).alias("always"))
     eff = eff.unionByName(n.where("node % 3 = 1").select("node", none.alias("target"), x.alias("source"), F.lit(True).alias("always")))
     eff = eff.unionByName(n.where("node % 3 = 2 and node % 5 = 0").select("node", x.alias("target"), none.alias("source"), F.lit(False).alias("always")))
-    return analyses.strong_liveness(eff.cache(), e)
+    return analyses.strong_liveness(eff, e)
 
 
 @query(f"""WITH RECURSIVE {P_SQL}, d AS (SELECT * FROM pe WHERE src < dst), f(node, v) AS (SELECT DISTINCT n, n % 97 FROM (SELECT src AS n FROM d UNION SELECT dst FROM d) x WHERE n % 5 = 0 UNION
  SELECT dst, least(v + 1, 1000) FROM d JOIN f ON src = node WHERE dst % 5 <> 0) SELECT node, min(v) AS lo, max(v) AS hi FROM f GROUP BY node""")
 def interval_forward(spark, sf_dir):
     """On forward edges: n mod 5 = 0 sets x = n mod 97, other nodes add 1."""
-    e = parts_graph(spark, sf_dir).where("src < dst").cache()
+    e = parts_graph(spark, sf_dir).where("src < dst")
     n = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
     const, var, none = F.expr("node % 97"), F.lit("x"), F.lit(None)
     cols = lambda op, a_var, a, b: [F.lit(int(op)).alias("xkind"), a_var.cast("string").alias("a_var"), a.cast("bigint").alias("a_const"), none.cast("string").alias("b_var"), b.cast("bigint").alias("b_const"), F.lit(False).alias("weak")]
     a = n.where("node % 5 = 0").select("node", var.alias("var"), *cols(ExprKind.VAL, none, const, none))
     a = a.unionByName(n.where("node % 5 <> 0").select("node", var.alias("var"), *cols(ExprKind.ADD, var, none, F.lit(1))))
     entry = spark.createDataFrame([], "node bigint, var string, lo bigint, hi bigint")
-    return analyses.interval(a.cache(), e, entry=entry, full=(-(2**31), 2**31 - 1), widen_after=1000).select("node", "lo", "hi")
+    return analyses.interval(a, e, entry=entry, full=(-(2**31), 2**31 - 1), widen_after=1000).select("node", "lo", "hi")
 
 
 @query(f"WITH RECURSIVE {P_SQL}, t(p, x) AS (SELECT DISTINCT n, n FROM (SELECT src AS n FROM pe UNION SELECT dst FROM pe) y WHERE n % 50 = 0 UNION SELECT dst, x FROM pe JOIN t ON src = p) SELECT p, x FROM t")
 def points_to(spark, sf_dir):
     """Every fiftieth part's address is taken; edges copy."""
-    e = parts_graph(spark, sf_dir).cache()
+    e = parts_graph(spark, sf_dir)
     n = e.select(F.col("src").alias("p")).union(e.select("dst")).distinct().where("p % 50 = 0")
     return analyses.points_to(n.select("p", F.col("p").alias("x")), e.select(F.col("dst").alias("p"), F.col("src").alias("q")))
 
@@ -346,7 +346,7 @@ def view_condition(spark, sf_dir):
  SELECT src, dst FROM c WHERE src IN (SELECT node FROM r) AND dst IN (SELECT node FROM r)""")
 def cascade_cut(spark, sf_dir):
     """A condition view cuts the graph, reachability over what is left cuts it again."""
-    e = parts_graph(spark, sf_dir).where("not (src % 4 = 0 and dst % 2 = 0)").cache()
+    e = parts_graph(spark, sf_dir).where("not (src % 4 = 0 and dst % 2 = 0)")
     return views.cascade(e, analyses.reach(e, e.where("src <= 20").select(F.col("src").alias("node"))))
 
 
