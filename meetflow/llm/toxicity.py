@@ -161,7 +161,7 @@ def train(texts: list[str | None], labels: list[int], *, rounds: int = 14, seed:
         p["bias"][:] = p["none"] = 0 if not len(y) else 4 * (2 * y[0] - 1)
         return {k: np.atleast_1d(v) for k, v in p.items()}
     words, parts, at = Words(), [], 0
-    for lo, hi, buf, off in pieces(pa.array(texts, pa.large_string())):
+    for lo, hi, buf, off in pieces(pa.array(texts, pa.large_string()), 1 << 19):
         parts.append((Piece(words, buf, off), lo))
     for table, bits, field in (("word", WORD_BITS, "word"), ("char", CHAR_BITS, "gram")):
         total = np.array([np.sum(y == 0), np.sum(y == 1)]) + 1.0
@@ -245,7 +245,7 @@ def reject_batches(batches, p: dict, text: str, limit: float):
         yield batch.filter(pa.array(score_column(batch.column(text), p, words) < limit))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, allowed: Column, most: tuple[int, int] = (5000, 2500), id_col: str = "doc_id",
+def fit(docs: DataFrame, labels: DataFrame, *, allowed: Column, most: tuple[int, int] = (3000, 1500), id_col: str = "doc_id",
         text_col: str = "text", label_col: str = "toxic", seed: int = 5) -> dict:
     """Trains on at most ``most`` clean and toxic labelled documents (those with the smallest hashes of their ids).
 
