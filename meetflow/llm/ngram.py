@@ -21,9 +21,9 @@ from .text import U64, Words, mix, owner, pieces
 ID = U64((1 << 48) - 1)
 END, START = U64(1), U64(2)
 #: Training tokens a bucket of pairs holds on average; words are in an eighth as many buckets.
-BUCKET_TOKENS = 2_500_000
+BUCKET_TOKENS = 1_500_000
 #: Tokens counted in a task before its sums go to the buckets.
-TASK_TOKENS = 4_000_000
+TASK_TOKENS = 2_000_000
 
 
 def tokens(w: Words, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -335,7 +335,7 @@ def train(docs: DataFrame, *, text_col: str = "text", bucket_tokens: int = BUCKE
     sorted distinct pairs to hash buckets; each bucket becomes two arrays (sorted
     64-bit pair hashes, counts) and passes on, by word, how often and after how
     many different words it occurs and how many followers occur once, twice and
-    more.  Buckets hold some 2.5 million tokens, however many there are; a frequent
+    more.  Buckets hold some 1.5 million tokens, however many there are; a frequent
     word's followers are spread over several.  The driver gets 13 sums.
     """
     spark = docs.sparkSession
