@@ -1,7 +1,8 @@
 """Registered queries of the analysis engine over the test tables, each with its SQL.
 
 Graph E: a user's events in order of time.  Graph P: parts that follow each other
-in an order, of returned lines of more than 30 pieces.
+in an order, of returned lines of more than 30 pieces.  Moduli of ids stand for
+what an instruction does or which set an id is in; all rows of a graph take part.
 """
 
 from __future__ import annotations
