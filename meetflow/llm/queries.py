@@ -85,4 +85,20 @@ def op10_secret_formats(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op3_sentence_span_dedup, op2_chat_snapshot_collapse, op4_mix_sources, op5_toxicity, op6_kneser_ney, op7_shard_bytes, op8_minhash_components, op9_subspace_embedding_links, op10_secret_formats)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_chat_snapshot_collapse": """WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM conversations),
+ c AS (SELECT conv_id, count(*) AS n, list(coalesce(role, chr(1)) || chr(2) || coalesce(text, chr(1)) ORDER BY k) AS turns,
+ string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY k) AS text FROM t GROUP BY conv_id),
+ i AS (SELECT turns, unnest(generate_series(1, n - 1)) AS m FROM c), p AS (SELECT DISTINCT list_slice(turns, 1, m) AS pre FROM i)
+ SELECT min(conv_id) AS conv_id, CAST(n AS INT) AS n_turns, text FROM c LEFT JOIN p ON turns = pre WHERE pre IS NULL GROUP BY turns, n, text""",
+    "op8_minhash_components": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS v FROM documents),
+ i AS (SELECT doc_id, v, unnest(generate_series(1, greatest(len(v) - 1, least(len(v), 1)))) AS k FROM w), s AS (SELECT DISTINCT doc_id, CASE WHEN len(v) = 1 THEN v[1] ELSE v[k] || ' ' || v[k + 1] END AS sh FROM i),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), m AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ l AS (SELECT x, y FROM m JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 80 * (p.n + q.n - k)), e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+ r(doc_id, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.y = e.x), g AS (SELECT doc_id, min(y) AS component_id FROM r GROUP BY doc_id)
+ SELECT g.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, g.doc_id = component_id AS kept FROM g LEFT JOIN n ON n.doc_id = g.doc_id""",
+    "op9_subspace_embedding_links": """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS u FROM embeddings),
+ e AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.u, b.u) >= 0.9),
+ r(vec_id, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, e.y FROM r JOIN e ON r.y = e.x), g AS (SELECT vec_id, min(y) AS component_id FROM r GROUP BY vec_id),
+ k AS (SELECT x, count(*) AS n FROM e GROUP BY x) SELECT g.vec_id, coalesce(k.n, 0) AS n_links, component_id, g.vec_id = component_id AS kept FROM g LEFT JOIN k ON k.x = g.vec_id""",
+}
