@@ -100,7 +100,8 @@ def repeated_spans(docs: DataFrame, *, least_words: int = LEAST_WORDS, id_col: s
     Returns a row for each document that loses something: id, n_spans, removed
     (code points), starts and ends (arrays of code points, end exclusive).  Null
     and blank texts lose nothing; rows with the same id count as one document;
-    documents without an id come after all others; an empty table gives no rows.
+    documents without an id keep all they have, and what they repeat is not counted
+    as first elsewhere; an empty table gives no rows.
     """
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = src.schema["_id"].dataType.simpleString()
@@ -108,7 +109,7 @@ def repeated_spans(docs: DataFrame, *, least_words: int = LEAST_WORDS, id_col: s
     known = cut(runs.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("d")).where("n > 1").select("h", "d", F.lit(True).alias("met")))
     later = F.col("met") & F.coalesce(F.col("_id") != F.col("d"), F.col("d").isNotNull())
     cuts = runs.join(known, "h", "left").where(F.coalesce(later, F.lit(False)) | (F.col("place").bitwiseAND(1) == 1)).select("_id", "place")
-    cuts = cuts.groupBy("_id").agg(F.collect_list("place").alias("places"))
+    cuts = cuts.where("_id is not null").groupBy("_id").agg(F.collect_list("place").alias("places"))
     out = cuts.mapInArrow(merge_places, f"_id {kind}, n_spans long, removed long, starts array<long>, ends array<long>")
     return out.withColumnRenamed("_id", id_col)
 

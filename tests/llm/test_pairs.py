@@ -166,12 +166,13 @@ def test_spans(spark, docs, empty):
     passage = ". ".join(prose(rng, 18).rstrip(".") for _ in range(4)) + "."
     texts = {i: prose(rng, 60).rstrip(".") + ". " + (passage + " " if i % 3 == 0 else "") + prose(rng, 40) for i in range(12)}
     texts |= {20: passage + "\n" + passage, 21: None, 22: "", 23: "é ü. " * 40, 24: "short line."}
-    d = spark.createDataFrame([(i, t, "en", "s", None, "x", 0.0) for i, t in texts.items()], DOCS).repartition(3)
+    d = spark.createDataFrame([(i, t, "en", "s", None, "x", 0.0) for i, t in [*texts.items(), (None, passage + "\n" + passage)]], DOCS).repartition(3)
     want = brute_spans(texts, 25)
     spans = repeated_spans(d)
     got = {r["doc_id"]: set(x for s, e in zip(r["starts"], r["ends"]) for x in range(s, e)) for r in spans.collect()}
     assert got == want and {3, 6, 9, 20, 23} <= set(got) and not {0, 1, 2, 21, 22, 24} & set(got)
     clean = {r["doc_id"]: r["text"] for r in cut_spans(d, spans).collect()}
+    assert clean.pop(None) == passage + "\n" + passage
     for i, t in texts.items():
         assert clean[i] == (t and "".join(c for k, c in enumerate(t) if k not in want.get(i, ())))
     assert repeated_spans(empty).count() == 0
