@@ -120,12 +120,21 @@ def is_bit_set(x: Column, bit: int) -> Column:
     return F.getbit(x, F.lit(bit)) == 1
 
 
+def _bit(bit: int) -> int:
+    return 1 << bit if bit < 63 else -(1 << 63)
+
+
 def set_bit(x: Column, bit: int) -> Column:
-    return x.bitwiseOR(1 << bit)
+    return x.bitwiseOR(_bit(bit))
 
 
 def clear_bit(x: Column, bit: int) -> Column:
-    return x.bitwiseAND(~(1 << bit))
+    return x.bitwiseAND(~_bit(bit))
+
+
+def with_top_bits(e: Column, value: Column) -> Column:
+    """The id with its two spare bits set."""
+    return true_id(e).bitwiseOR(F.shiftleft(value.cast("long").bitwiseAND(3), ID_BITS))
 
 
 def is_data_type(k: Column) -> Column:

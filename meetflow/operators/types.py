@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kinds import EntityKind, Qualifier, ValueKind
-from ..functions.scalars import fits_immediate, is_array, is_literal, is_pointer, is_record, is_function_type, is_variable, literal_text, lookup, type_class
+from ..functions.scalars import fits_immediate, is_array, is_literal, is_pointer, is_record, is_function_type, is_variable, kind_prefix32, literal_text, lookup, type_class
 
 E = EntityKind
 
@@ -62,6 +62,15 @@ def labels(entity: DataFrame) -> DataFrame:
     return entity.where(F.col("ekind") == int(E.LABEL)).select("tu_id", "eid", name.alias("name"))
 
 
+def assign_internal_ids(entity: DataFrame, data_type: DataFrame) -> DataFrame:
+    """(tu_id, eid, id): packed ids for all entities, then for types that are no entities, numbered within kind and sub-kind."""
+    e = entity.select("tu_id", "eid", "ekind", "vkind", F.lit(0).alias("_o"))
+    t = data_type.select("tu_id", F.col("type_id").alias("eid"), F.lit(int(E.DATA_TYPE)).alias("ekind"), "vkind", F.lit(1).alias("_o"))
+    rows = e.unionByName(t.join(e, ["tu_id", "eid"], "left_anti")).withColumn("_p", kind_prefix32(F.col("ekind"), F.coalesce("vkind", F.lit(0))))
+    n = F.row_number().over(Window.partitionBy("tu_id", "_p").orderBy("_o", "eid"))
+    return rows.select("tu_id", "eid", F.col("_p").bitwiseOR(n.cast("long")).alias("id"))
+
+
 def internal_ids(used: DataFrame, known: DataFrame) -> DataFrame:
     """The wire ids in use with their internal ids (tu_id, eid, id); 0 and 1 stand for themselves, an unknown id raises."""
     j = used.select("tu_id", "eid").distinct().join(known.select("tu_id", "eid", "id"), ["tu_id", "eid"], "left")

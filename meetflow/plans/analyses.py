@@ -77,13 +77,13 @@ def strong_liveness(effects: DataFrame, e: DataFrame, fn: Sequence[str] = (), *,
     ``effects``: (fn, node, target, source, always).  A row with ``always`` makes
     its source live (uses, returns, conditions, stores, arguments); a row with a
     target makes its source live only if the target is live after the node, and
-    the target's own fact ends there (source null: kill alone, target ``*``: kill
-    everything).  ``exit_live``: (fn, node, var) live after exit nodes.
+    the target's own fact ends there (source null: kill alone, target ``*`` or -1:
+    kill everything).  ``exit_live``: (fn, node, var) live after exit nodes.
     """
     fn = list(fn)
     kill = effects.where("target is not null").select(*fn, "node", F.col("target").alias("var")).distinct()
-    kill_all = kill.where("cast(var as string) = '*'").select(*fn, "node").distinct()
-    kill_one = kill.where("cast(var as string) <> '*'")
+    kill_all = kill.where("cast(var as string) in ('*', '-1')").select(*fn, "node").distinct()
+    kill_one = kill.where("cast(var as string) not in ('*', '-1')")
     feed = effects.where("target is not null and source is not null and not always").select(*fn, "node", F.col("target").alias("var"), F.col("source").alias("_src")).distinct()
     seed = effects.where("always and source is not null").select(*fn, "node", F.col("source").alias("var"))
     hop = e.select(*fn, F.col("dst").alias("node"), F.col("src").alias("_prev")).distinct()
