@@ -1,7 +1,7 @@
 """Vectorised text handling over Arrow string columns: bytes, words, hashes.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; every step works on the
-UTF-8 bytes of many documents at once, in pieces of about 2 MB (a single longer
+UTF-8 bytes of many documents at once, in pieces of about 1 MB (a single longer
 document is a piece of its own), so memory follows the longest document.
 """
 
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 20
 U64 = np.uint64
 
 
