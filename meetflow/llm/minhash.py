@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cut import cut
+from .cut import cut, stored
 from .graph import blocks, components, groups, spanning
 from .text import U64, Words, constants, mix, ngrams, pieces
 
@@ -243,17 +243,26 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
                       F.coalesce(F.col("_id") == comp, comp.isNull()).alias("kept"))
 
 
-#: Ids of dropped copies that are broadcast (a few MB); more are joined by shuffle.
-BROADCAST_IDS = 500_000
+#: Dropped rows whose numbers are broadcast (a few MB); more are joined by shuffle.
+BROADCAST_ROWS = 500_000
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """One document of each component of near copies (the one with the smallest id), all columns as they were.
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
+    """One row of each component of near copies, all columns as they were.
 
-    Rows with the same id are one document and stay or go together.
+    The row with the smallest id stays; rows without an id come after all others,
+    and among equal ids one row is taken.  Rows are judged by their own text,
+    whatever other rows have the same id or none; rows without shingles all stay.
+    The rows are first written to a table, so that a row has the same number in
+    every pass.
     """
-    id_col = how.get("id_col", "doc_id")
-    gone = cut(near_duplicates(docs, **how).where("not kept").select(F.col(id_col).alias("_gone")).distinct())
-    if gone.count() <= BROADCAST_IDS:
+    row = "_row"
+    while row.lower() in map(str.lower, docs.columns):
+        row += "_"
+    rows, _ = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    found = near_duplicates(rows.withColumn(row, key), id_col=row, **how)
+    gone = cut(found.where("not kept").select(F.col(f"{row}.row").alias("_gone")))
+    if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    return rows.join(gone, rows[row] == gone["_gone"], "left_anti").drop(row)

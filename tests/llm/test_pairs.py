@@ -76,6 +76,22 @@ def test_near_duplicates_in_parts(docs, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, shingle=2).collect()} == whole
 
 
+def test_keep_one_by_row(spark):
+    """Null and repeated ids: a row is judged by its own text, and one row of each group stays."""
+    rng = random.Random(21)
+    t = [prose(rng, 60) for _ in range(8)]
+    rows = [(1, t[0]), (None, t[0]), (None, t[1]), (None, t[2])]  # a copy without an id, and unrelated rows without one
+    rows += [(2, t[0]), (2, t[3])]  # an id with a copy and a text of its own
+    rows += [(3, t[4]), (3, t[4]), (None, t[5]), (None, t[5] + " end"), (5, t[6]), (4, t[6] + " end")]  # copies that share an id or lack one
+    rows += [(None, None), (None, ""), (6, None), (6, None)]
+    d = spark.createDataFrame([(i, x, "en", "s", k, "clash", 0.0) for k, (i, x) in enumerate(rows)], DOCS).repartition(3)
+    kept = keep_one(d)
+    assert kept.columns == d.columns
+    got = sorted(r["n_chars"] for r in kept.collect())
+    assert [k for k in got if k not in (6, 7, 8, 9)] == [0, 2, 3, 5, 11, 12, 13, 14, 15]
+    assert len({6, 7} & set(got)) == 1 and len({8, 9} & set(got)) == 1
+
+
 def test_near_duplicates_empty(empty):
     assert near_duplicates(empty).count() == 0 and keep_one(empty).count() == 0
 
