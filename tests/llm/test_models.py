@@ -183,6 +183,28 @@ def test_secrets(spark, empty):
     assert credentials.secrets(empty).count() == 0
 
 
+def test_secret_background_of_all_candidates(spark, monkeypatch):
+    """Background and threshold come from every different candidate, of which there are more than 4,000."""
+    rng = random.Random(12)
+    key = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    texts = ["AKIA" + key(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(30)] + [key(rng.randint(16, 24), "ghijklmnopqrstu+/") for _ in range(6000)]
+    d = spark.createDataFrame([(t,) for t in texts], "_text string").repartition(3)
+    monkeypatch.setattr(credentials, "BINS", 8)
+    monkeypatch.setattr(credentials, "FEW", 20)
+    got = credentials.fit(d)
+    S, n = len(credentials.CLASSES), np.full((len(credentials.CLASSES) + 1,) * 2, 0.1)
+    others = {c for t in texts[30:] for c in [t]}
+    for t in others:
+        row = [S, *credentials.SYMBOL[list(t.encode())], S]
+        np.add.at(n, (row[:-1], row[1:]), 1)
+    n /= n.sum(axis=1, keepdims=True)
+    assert np.allclose(got["background"]["p"], np.log(n[:, :S])) and np.allclose(got["background"]["stop"], np.log(n[:, S]))
+    scores = spark.createDataFrame([(float(x),) for x in [5.0] * 300 + [rng.gauss(0, 9) for _ in range(700)]], "score double")
+    values = [r["score"] for r in scores.collect()]
+    for q in (0, 0.3, 0.77, 0.9999, 1):
+        assert credentials.quantile(scores, q) == pytest.approx(np.quantile(values, q), abs=1e-12)
+
+
 def test_automaton_is_a_distribution():
     strings = ["ab", "abab", "ababab", "ab12"] * 20
     m = credentials.learn_automaton(strings)
