@@ -183,11 +183,27 @@ def test_secrets(spark, empty):
     assert credentials.secrets(empty).count() == 0
 
 
+def test_secrets_glued_and_short(spark):
+    """Credentials of a learned format behind a prefix, before a suffix, beside a base span, and of 8 to 15 characters."""
+    rng = random.Random(13)
+    key = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    hexa, tight, plain = "0123456789abcdef", "0123456789ABCDEF", "0123456789abcdefghijklmnopqrstuvwxyzGHJKLMN"
+    texts = [prose(rng, 40) + f" token={key(10, tight)} and " + key(32, hexa) + " " + " ".join(key(rng.randint(8, 20), plain) for _ in range(5)) for _ in range(80)]
+    long, short = key(24, hexa), key(10, tight)
+    planted = [("client_id=", long, ""), ("path/", long, ""), ("", long, ".file"), ("", short, ""), ("auth=", short, ""), ("AKIA" + key(16, "ABC234") + "/", long, "")]
+    d = spark.createDataFrame([(i, t, "en", "s", None, "x", 0.0) for i, t in enumerate(texts + [f"é see {a}{b}{c} here" for a, b, c in planted])], DOCS).repartition(3)
+    got = {r["doc_id"]: r["spans"] for r in credentials.secrets(d).collect()}
+    for i, (a, b, _) in enumerate(planted):
+        at = len("é see " + a)
+        assert f"format:{at}:{at + len(b)}" in got[len(texts) + i].split(","), (planted[i], got[len(texts) + i])
+    assert not any("format" in got[i] for i in range(len(texts)))
+
+
 def test_secret_background_of_all_candidates(spark, monkeypatch):
     """Background and threshold come from every different candidate, of which there are more than 4,000."""
     rng = random.Random(12)
     key = lambda n, a: "".join(rng.choice(a) for _ in range(n))
-    texts = ["AKIA" + key(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(30)] + [key(rng.randint(16, 24), "ghijklmnopqrstu+/") for _ in range(6000)]
+    texts = ["AKIA" + key(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(30)] + [key(rng.randint(16, 24), "ghijklmnopqrstu+") for _ in range(6000)]
     d = spark.createDataFrame([(t,) for t in texts], "_text string").repartition(3)
     monkeypatch.setattr(credentials, "BINS", 8)
     monkeypatch.setattr(credentials, "FEW", 20)
