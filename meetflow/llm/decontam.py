@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,6 +43,22 @@ def seeds(h: np.ndarray, first: np.ndarray, mask: str) -> tuple[np.ndarray, np.n
     return mix(out[at]), at
 
 
+def whole_masks(n: int) -> list[str]:
+    """Masks that find a whole item of n tokens whichever tokens differ of those that may.
+
+    The item is split in five parts, and each mask leaves out as many parts as
+    tokens may differ: however these lie, some mask looks at none of them.
+    """
+    parts = np.array_split(np.arange(n), 5)
+    differ = int(n - np.ceil(AGREE * n - 1e-9))
+    out = []
+    for gone in combinations(parts, differ):
+        mask = np.full(n, "1")
+        mask[np.concatenate([[], *gone]).astype(int)] = "0"
+        out.append("".join(mask))
+    return out
+
+
 class Index:
     """Sorted seed hashes of benchmark items, with a table of their leading bits before them."""
 
@@ -53,9 +71,10 @@ class Index:
             tokens.append(w.hash)
             first += (first[-1] + w.first[1:]).tolist()
         self.tokens, self.first = np.concatenate(tokens), np.array(first)
-        # items shorter than a mask are searched whole
+        # items shorter than an overlap are searched whole
         size = np.diff(self.first)
-        self.masks = [*MASKS, *("1" * n for n in sorted({int(x) for x in size if 0 < x < max(map(len, MASKS))}))]
+        short = sorted({int(x) for x in size if 0 < x < OVERLAP})
+        self.masks = list(dict.fromkeys([*MASKS, *(m for n in short for m in whole_masks(n))]))
         self.seed, self.item, self.place, self.bits = [], [], [], []
         doc = owner(self.first)
         for mask in self.masks:

@@ -2,15 +2,18 @@
 
 import random
 import re
+from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from meetflow.llm import embed, minhash
+from meetflow.llm import decontam, embed, minhash
 from meetflow.llm.decontam import contaminated, decontaminate
 from meetflow.llm.graph import components
 from meetflow.llm.minhash import keep_one, near_duplicates
 from meetflow.llm.spans import cut_spans, repeated_spans
+from meetflow.llm.text import pieces
 
 from .conftest import DOCS, WORDS, prose
 
@@ -92,6 +95,19 @@ def test_keep_one_by_row(spark):
     assert len({6, 7} & set(got)) == 1 and len({8, 9} & set(got)) == 1
 
 
+@pytest.mark.parametrize("n", range(1, 14))
+def test_short_items_with_substitutions(n):
+    """Whole items of up to 13 tokens: every allowed choice of changed tokens is found, one more is not."""
+    item, fill = [f"w{i}" for i in range(n)], ["x", "y", "z"] * 3
+    index = decontam.Index(["i"], [" ".join(item)])
+    allowed = max(k for k in range(n + 1) if 5 * (n - k) >= 4 * n)
+    for k in range(allowed + 2):
+        texts = [" ".join(fill + ["other" if i in gone else w for i, w in enumerate(item)] + fill) for gone in combinations(range(n), min(k, n))]
+        for _, _, buf, off in pieces(pa.array(texts)):
+            found = {x[0] for x in index.search(decontam.alnum_words()(buf, off))}
+            assert found == (set(range(len(texts))) if k <= allowed else set())
+
+
 def test_near_duplicates_empty(empty):
     assert near_duplicates(empty).count() == 0 and keep_one(empty).count() == 0
 
