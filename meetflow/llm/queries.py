@@ -19,7 +19,7 @@ def op1_spaced_seed_decontamination(spark, sf_dir):
 def op3_sentence_span_dedup(spark, sf_dir):
     from .spans import repeated_spans
 
-    return repeated_spans(_table(spark, sf_dir, "documents"))
+    return repeated_spans(_table(spark, sf_dir, "documents"), tails=True)
 
 
 def op2_chat_snapshot_collapse(spark, sf_dir):

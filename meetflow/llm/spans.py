@@ -30,8 +30,8 @@ def sentences(w: Words, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, n
     return begin, np.searchsorted(begin, w.first)
 
 
-def sentence_runs(batches, id_col: str, least: int):
-    """(hash, id, packed place) of every run: the sentences from one on until they have ``least`` words."""
+def sentence_runs(batches, id_col: str, least: int, tails: bool):
+    """(hash, id, packed place) of every run: the sentences from one on, or (tails) back from one, until they have ``least`` words."""
     words = Words()
     cont = np.zeros(256, bool)
     cont[128:192] = True
@@ -49,7 +49,12 @@ def sentence_runs(batches, id_col: str, least: int):
             first = begin[:-1]
             stop = np.searchsorted(begin, first + least)  # the sentence after the run
             ok = stop <= sfirst[doc + 1]
-            first, stop, doc = first[ok], begin[stop[ok]], doc[ok]
+            # with tails, also the shortest run that ends with the sentence
+            back = np.searchsorted(begin, begin[1:] - least, "right") - 1
+            tail = (begin[1:] >= least) & (back >= sfirst[doc]) & tails
+            both = np.unique(np.concatenate([first[ok] << 32 | begin[stop[ok]], begin[back[tail]] << 32 | begin[1:][tail]]))
+            first, stop = both >> 32, both & 0xFFFFFFFF
+            doc = np.searchsorted(w.first, first, "right") - 1
             total = np.zeros(n + 1, U64)
             np.cumsum(w.hash * np.cumprod(np.full(n, base, U64)), out=total[1:])
             h = mix((total[stop] - total[first]) * np.cumprod(np.full(n, down, U64))[first] + (stop - first).astype(U64))
@@ -85,12 +90,13 @@ def merge_places(batches):
                                           pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))], ["_id", "n_spans", "removed", "starts", "ends"])
 
 
-def repeated_spans(docs: DataFrame, *, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, *, least_words: int = LEAST_WORDS, tails: bool = False, id_col: str = "doc_id",
+                   text_col: str = "text") -> DataFrame:
     """What to cut from each document: sentences covered by a run that stands somewhere before.
 
-    From every sentence on, the run of consecutive sentences up to 25 words is
-    hashed (several sentences; a sentence of 25 words or more is a run of its
-    own, so long passages of few sentences count).  Words compare with A-Z lowered and any
+    From every sentence on (with ``tails`` also back from every sentence), the run of consecutive
+    sentences up to 25 words is hashed (several sentences; a sentence of 25 words
+    or more is a run of its own, so long passages of few sentences count).  Words compare with A-Z lowered and any
     white space between.  Of equal runs the first in order of id and place stays;
     all others are cut.  A run that its own document has before is cut without
     meeting others.  The rest are counted with the smallest id and then joined
@@ -105,7 +111,7 @@ def repeated_spans(docs: DataFrame, *, least_words: int = LEAST_WORDS, id_col: s
     """
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = src.schema["_id"].dataType.simpleString()
-    runs = src.mapInArrow(lambda it: sentence_runs(it, "_id", least_words), f"h long, _id {kind}, place long")
+    runs = src.mapInArrow(lambda it: sentence_runs(it, "_id", least_words, tails), f"h long, _id {kind}, place long")
     known = cut(runs.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("d")).where("n > 1").select("h", "d", F.lit(True).alias("met")))
     later = F.col("met") & F.coalesce(F.col("_id") != F.col("d"), F.col("d").isNotNull())
     cuts = runs.join(known, "h", "left").where(F.coalesce(later, F.lit(False)) | (F.col("place").bitwiseAND(1) == 1)).select("_id", "place")

@@ -108,6 +108,18 @@ def test_short_items_with_substitutions(n):
             assert found == (set(range(len(texts))) if k <= allowed else set())
 
 
+def test_spans_tail_sentence(spark):
+    """A shared passage of a 30-word and a 20-word sentence goes whole, though what follows it differs."""
+    rng = random.Random(8)
+    say = lambda n: " ".join(rng.choice(WORDS) for _ in range(n)) + "."
+    passage = say(30) + " " + say(20)
+    texts = [f"{say(40)} {passage} {say(40)}" for _ in range(3)]
+    d = spark.createDataFrame([(i, t, "en", "s", None, "x", 0.0) for i, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: list(zip(r["starts"], r["ends"])) for r in repeated_spans(d, tails=True).collect()}
+    at = {i: texts[i].index(passage) for i in (1, 2)}
+    assert {i: (x[0][0], x[-1][1]) for i, x in got.items()} == {i: (a, a + len(passage)) for i, a in at.items()}
+
+
 def test_near_duplicates_empty(empty):
     assert near_duplicates(empty).count() == 0 and keep_one(empty).count() == 0
 
