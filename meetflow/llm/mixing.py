@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from .cut import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Mean number of documents of a source between two steps of its prefix sums.
-STEP_ROWS = 2000
-
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -52,27 +49,40 @@ def document_key(id_col: str, quality: Column, seed: int) -> Column:
     return -F.log(u) / quality
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """A hash of all columns; those with maps, which have no hash, as JSON."""
+    return F.xxhash64(*[F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema])
+
+
 def source_key(source_col: str) -> Column:
     return F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n"))
 
 
+#: What orders the documents of a source: the key, then whatever tells rows of one key apart.
+ORDER = ["_key", "_id", "size", "_tie"]
+
+
 def mixed_rows(docs: DataFrame, size: Column, quality: Column, weights: Sequence[float], share: float, cap: float, seed: int,
                id_col: str, source_col: str) -> DataFrame:
-    """Every document's key, complete epochs and times; see ``mix_sources``."""
+    """Every document's key, complete epochs and times; see ``mix_sources``.
+
+    ``_part``, the partition a row was read in, is the last of the range columns,
+    so rows that are equal in everything still spread over many ranges.
+    """
     base = cut(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), size.alias("size"),
-                           document_key(id_col, quality, seed).alias("_key"), source_key(source_col).alias("_src")))
-    targets = source_targets(base, weights, share, cap)
+                           document_key(id_col, quality, seed).alias("_key"), source_key(source_col).alias("_src"),
+                           whole_row(docs).alias("_tie"), F.spark_partition_id().alias("_part")))
+    targets = cut(source_targets(base, weights, share, cap))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    step = F.floor((1 - F.exp(-F.col("_key"))) * (F.floor(F.col("_rows") / STEP_ROWS) + 1))
-    rows = cut(base.drop("source").join(targets, "_src").withColumn("_epochs", epochs.cast("long")).select(
-        "_src", step.alias("_step"), "_key", "_id", "size", "source_size", "target", "_epochs",
-        (F.col("target") - F.col("_epochs") * F.col("source_size")).alias("_budget")))
-    steps = rows.groupBy("_src", "_step").agg(F.sum("size").alias("_sum"))
-    before = Window.partitionBy("_src").orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
-    steps = steps.select("_src", "_step", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_below"))
-    running = Window.partitionBy("_src", "_step").orderBy("_key", "_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    middle = F.col("_below") + F.sum("size").over(running) - F.col("size") / 2
-    return rows.join(steps, ["_src", "_step"]).withColumn("times", F.col("_epochs") + ((F.col("size") > 0) & (middle <= F.col("_budget"))).cast("long"))
+    targets = targets.withColumn("_epochs", epochs.cast("long")).withColumn("_budget", F.col("target") - F.col("_epochs") * F.col("source_size"))
+    rows = cut(base.drop("source").repartitionByRange("_src", *ORDER, "_part").withColumn("_pid", F.spark_partition_id()))
+    totals = rows.groupBy("_src", "_pid").agg(F.sum("size").alias("_sum"))
+    before = Window.partitionBy("_src").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_src", "_pid", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_below")).join(targets, "_src")
+    running = Window.partitionBy("_src", "_pid").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    middle = F.col("_below") + F.col("_running") - F.col("size") / 2
+    rows = rows.withColumn("_running", F.sum("size").over(running)).join(totals, ["_src", "_pid"])
+    return rows.withColumn("times", F.col("_epochs") + ((F.col("size") > 0) & (middle <= F.col("_budget"))).cast("long"))
 
 
 def mix_sources(docs: DataFrame, *, size: Column, quality: Column, weights: Sequence[float] = (5, 2, 1),
@@ -85,13 +95,15 @@ def mix_sources(docs: DataFrame, *, size: Column, quality: Column, weights: Sequ
     k times (complete epochs); what remains is a budget for the documents with
     the smallest keys: sizes are prefix-summed in key order and a document is
     taken while its middle lies within the budget, so a source misses its target
-    by at most half a document.  Prefix sums run over key ranges of about 2,000
-    rows (sums of ranges first, rows within a range after), so no source, however
-    large, is sorted in one task.
+    by at most half a document.  Rows are range-partitioned by source and key
+    (then id, size, a hash of the whole row and the partition it came from, so
+    equal keys spread, too); each range's size is added up first, rows are summed
+    within a range after, so no source, however large, is sorted in one task.
 
     Returns id, size, source_size, target, taken (size times ``times``) and
     ``times`` (0, 1, 2, ...).  Null sources form a source, null ids and repeated
-    rows are documents like others (equal ids have equal u), a source of only
+    rows are documents like others (equal ids have equal u; of rows that are
+    equal in every column any may be taken), a source of only
     empty documents has target 0, an empty table gives no rows.
     """
     out = mixed_rows(docs, size, quality, weights, share, cap, seed, id_col, source_col)
@@ -106,16 +118,29 @@ def mix_documents(docs: DataFrame, *, size: Column, quality: Column, weights: Se
                   cap: float = 2.0, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The documents as the mix takes them: each ``times`` times, all columns as they were.
 
-    Within a source the documents taken beyond complete epochs are those up to a
-    key, so texts need not move: they meet one threshold a source.  Documents with
-    the threshold's very key (equal ids) are taken together.
+    Within a source the documents taken beyond complete epochs are those up to one
+    place in the order of ``mix_sources``, so texts need not move: they meet one
+    threshold a source.  Only rows equal to the threshold in every column can be
+    on both sides of it; one such row is taken as often as the mix takes of them,
+    so targets are met whatever ids repeat or lack.  Nulls, ties and empty tables
+    as in ``mix_sources``; columns of any names and types pass.
     """
-    rows = mixed_rows(docs, size, quality, weights, share, cap, seed, id_col, source_col)
-    limits = cut(rows.groupBy("_src").agg(F.max("_epochs").alias("_epochs"), F.max(F.when(F.col("times") > F.col("_epochs"), F.col("_key"))).alias("_limit")))
+    rows = cut(mixed_rows(docs, size, quality, weights, share, cap, seed, id_col, source_col).select("_src", *ORDER, "times", "_epochs"))
+    place = F.struct(*ORDER)
+    limits = rows.groupBy("_src").agg(F.max("_epochs").alias("_epochs"), F.max(F.when(F.col("times") > F.col("_epochs"), place)).alias("_limit"))
+    again = rows.join(limits.select("_src", "_limit"), "_src").where(place == F.col("_limit"))
+    again = again.groupBy("_src").agg(F.sum(F.col("times") - F.col("_epochs")).alias("_again"))
+    limits = cut(limits.join(again, "_src", "left"))
     if limits.count() <= BROADCAST_SOURCES:
         limits = F.broadcast(limits)
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), source_key(source_col).alias("_src"),
-                       document_key(id_col, quality, seed).alias("_key"), size.alias("_size")).join(limits, "_src")
-    more = F.coalesce((F.col("_size") > 0) & (F.col("_key") <= F.col("_limit")), F.lit(False)).cast("int")
-    taken = held.select("_row", F.explode(F.array_repeat(F.lit(1), (F.col("_epochs") + more).cast("int"))))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), source_key(source_col).alias("_src"), F.col(id_col).alias("_id"),
+                       document_key(id_col, quality, seed).alias("_key"), size.alias("size"), whole_row(docs).alias("_tie")).join(limits, "_src")
+    more = F.coalesce((F.col("size") > 0) & (place < F.col("_limit")), F.lit(False)).cast("long")
+    main = held.select("_row", (F.col("_epochs") + more).alias("_n"))
+    # the key follows from the id and the text, so it need not be computed again
+    same = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), source_key(source_col).alias("_src"), F.col(id_col).alias("_id"),
+                       whole_row(docs).alias("_tie")).join(limits, "_src")
+    same = same.where(F.col("_id").eqNullSafe(F.col("_limit._id")) & (F.col("_tie") == F.col("_limit._tie")))
+    extra = same.groupBy("_src").agg(F.first("_row").alias("_row"), F.first("_again").alias("_n")).select("_row", "_n")
+    taken = main.unionByName(extra).select("_row", F.explode(F.array_repeat(F.lit(1), F.col("_n").cast("int"))))
     return taken.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
