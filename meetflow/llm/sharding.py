@@ -2,63 +2,132 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cut import cut
+from .cut import cut, stored
 
-#: A group of equal texts stays in one shard while it is at most this part of a shard.
+#: A group of equal texts of more than this part of a shard is placed by itself; so there are at most 100 a shard.
 GROUP_PART = 100
+GROUP = ["_h", "size", "text_crc32"]
+
+
+def prefix(column: str, order: Window) -> Column:
+    return F.coalesce(F.sum(column).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def shard_at(place: Column, fills: list[float]) -> Column:
+    """The last shard whose fill begins at or before a place, by halving."""
+    n, begins = len(fills), F.array(*[F.lit(x) for x in fills])
+    steps = [1 << k for k in reversed(range(n.bit_length()))]
+    return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0),
+                       lambda at, x: F.when((at + x < n) & (F.get(begins, at + x) <= place), at + x).otherwise(at))
 
 
 def balanced_shards(docs: DataFrame, n_shards: int, *, id_col: str = "doc_id", text_col: str = "text",
                     overhead: int = 16) -> DataFrame:
-    """Contiguous shards of nearly equal bytes.
+    """Contiguous shards of nearly equal bytes that keep equal texts together.
 
-    Rows are put in the order (xxhash64(text), id) over range partitions, each
-    partition's bytes and rows are added up, the totals become offsets, and a
-    row's place among all bytes decides its shard: cuts lie at equal targets.
-    Only per-partition totals (one row a partition) and one row a shard are
-    broadcast.  Equal texts are neighbours in this order; a group of at most
-    1/100 of a shard goes where its middle lies, so cuts do not part it (but
-    where the border of a range partition does); a larger group is cut.
+    Equal texts are a group.  A group of at most one shard stays whole; a larger
+    one is cut.  Groups of more than 1/100 of a shard (at most 100 a shard, so
+    tables of them are small) are dealt out first, by size, to and fro over the
+    shards; what a shard has left is its fill.  All other groups lie in order of
+    (xxhash64(text), size, crc32) on one line of bytes: groups larger than a shard
+    first, then range partitions whose totals become offsets.  The line is cut
+    where the fills say, groups go where their middle lies, and only rows of a
+    group larger than a shard are placed one by one.
 
     Returns id, ``size`` (UTF-8 bytes + ``overhead``), ``text_crc32``, ``shard``
     and ``slot`` (0, 1, ... in each shard).  Null text counts as empty; null and
-    repeated ids are rows like any other; an empty table gives no rows; other
-    columns of the input are not looked at.
+    repeated ids are rows like any other (of rows with the same id and text any
+    may have the smaller slot); an empty table gives no rows; other columns of the
+    input are not looked at.
+    """
+    return _placed(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), n_shards, overhead).select(
+        F.col("_id").alias(id_col), "size", "text_crc32", "shard", "slot")
+
+
+def shard_documents(docs: DataFrame, n_shards: int, *, text_col: str = "text", overhead: int = 16) -> DataFrame:
+    """All columns of the documents with their ``shard`` and ``slot`` (see ``balanced_shards``).
+
+    The rows are first written to a table that numbers them, so that rows with the
+    same id, or none, keep their own places.  Columns named shard or slot are replaced.
     """
-    order = ["_h", "_id", "size"]
-    base = docs.select(
-        F.col(id_col).alias("_id"),
-        (F.coalesce(F.octet_length(text_col), F.lit(0)) + overhead).cast("long").alias("size"),
-        F.coalesce(F.crc32(F.encode(F.col(text_col), "UTF-8")), F.lit(0)).cast("long").alias("text_crc32"),
-        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_h"),
-    )
-    parts = cut(base.repartitionByRange(*order[:2]).withColumn("_pid", F.spark_partition_id()))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    totals = parts.groupBy("_pid").agg(F.sum("size").alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
-    totals = totals.select(
-        "_pid",
-        F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_byte0"),
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_row0"),
-        F.greatest(F.sum("_bytes").over(Window.partitionBy()), F.lit(1)).alias("_all"),
-    )
-    running = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    group = Window.partitionBy("_pid", "_h")
-    placed = (
-        parts.join(F.broadcast(totals), "_pid")
-        .withColumn("_start", F.col("_byte0") + F.sum("size").over(running) - F.col("size"))
-        .withColumn("_row", F.col("_row0") + F.count(F.lit(1)).over(running))
-        .withColumn("_gbytes", F.sum("size").over(group))
-        .withColumn("_gstart", F.min("_start").over(group))
-    )
-    whole = F.col("_gbytes") * (n_shards * GROUP_PART) <= F.col("_all")
-    middle = F.when(whole, 2 * F.col("_gstart") + F.col("_gbytes")).otherwise(2 * F.col("_start") + F.col("size"))
-    placed = cut(placed.withColumn("_mid", middle).select(
-        "_id", "size", "text_crc32", "_row",
-        F.least(F.expr(f"_mid * {int(n_shards)} div (2 * _all)"), F.lit(n_shards - 1)).cast("int").alias("shard"),
+    row = "_row"
+    while row.lower() in map(str.lower, docs.columns):
+        row += "_"
+    rows, _ = stored(docs.drop("shard", "slot").withColumn(row, F.monotonically_increasing_id()))
+    places = _placed(rows.select(F.col(row).alias("_id"), F.col(text_col).alias("_text")), n_shards, overhead)
+    return rows.join(places.select(F.col("_id").alias(row), "shard", "slot"), row).drop(row)
+
+
+def _placed(src: DataFrame, n: int, overhead: int) -> DataFrame:
+    """(_id, size, text_crc32, shard, slot) for rows (_id, _text)."""
+    base = cut(src.select(
+        "_id",
+        (F.coalesce(F.octet_length("_text"), F.lit(0)) + overhead).cast("long").alias("size"),
+        F.coalesce(F.crc32(F.encode("_text", "UTF-8")), F.lit(0)).cast("long").alias("text_crc32"),
+        F.xxhash64(F.coalesce("_text", F.lit(""))).alias("_h"),
+        F.spark_partition_id().alias("_part"),
     ))
-    first = placed.groupBy("shard").agg(F.min("_row").alias("_first"))
-    return placed.join(F.broadcast(first), "shard").select(
-        F.col("_id").alias(id_col), "size", "text_crc32", "shard", (F.col("_row") - F.col("_first")).cast("long").alias("slot"))
+    groups = base.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_bytes", F.col("_rows") * F.col("size"))
+    groups = cut(groups.repartitionByRange(*GROUP).withColumn("_pid", F.spark_partition_id()))
+    total = groups.agg(F.coalesce(F.sum("_bytes"), F.lit(0))).first()[0]
+    share = F.col("_bytes") * n
+    large = cut(groups.where(share * GROUP_PART > total).withColumn("_huge", share > total))
+
+    # groups of at most a shard, largest first, to and fro over the shards
+    turn = F.row_number().over(Window.orderBy(F.desc("_bytes"), *GROUP)) - 1
+    lap, at = F.floor(turn / n), turn % n
+    dealt = large.where("not _huge").withColumn("shard", F.when(lap % 2 == 0, at).otherwise(n - 1 - at).cast("int"))
+    dealt = cut(dealt.withColumn("_row0", prefix("_rows", Window.partitionBy("shard").orderBy(F.desc("_bytes"), *GROUP))))
+    held = {r["shard"]: r for r in dealt.groupBy("shard").agg(F.sum("_bytes").alias("b"), F.sum("_rows").alias("n")).collect()}  # a row a shard
+    room = [max(total / n - (held[k]["b"] if k in held else 0), 0.0) for k in range(n)]
+    line = total - sum(r["b"] for r in held.values())
+    fills = [x * (line / sum(room) if sum(room) else 1.0) for x in accumulate(room, initial=0.0)][:n]
+    first = large.where("_huge").agg(F.coalesce(F.sum("_bytes"), F.lit(0))).first()[0]
+
+    # small groups: totals of range partitions, then places inside
+    small = groups.where(share * GROUP_PART <= total)
+    totals = small.groupBy("_pid").agg(F.sum("_bytes").alias("_sum"))
+    totals = totals.select("_pid", prefix("_sum", Window.orderBy("_pid")).alias("_byte0"))
+    middle = first + F.col("_byte0") + prefix("_bytes", Window.partitionBy("_pid").orderBy(*GROUP)) + F.col("_bytes") / 2
+    small = small.join(F.broadcast(totals), "_pid").withColumn("_mid", middle)
+    small = cut(small.select(*GROUP, "_rows", "_pid", shard_at(F.col("_mid"), fills).alias("shard")))
+    counts = small.groupBy("shard", "_pid").agg(F.sum("_rows").alias("_n"))
+    nsmall = counts.groupBy("shard").agg(F.sum("_n").alias("_nsmall"))
+    counts = counts.select("shard", "_pid", prefix("_n", Window.partitionBy("shard").orderBy("_pid")).alias("_row0"))
+    inside = prefix("_rows", Window.partitionBy("_pid", "shard").orderBy(*GROUP))
+    small = small.withColumn("_slot0", inside).join(counts, ["shard", "_pid"]).select(*GROUP, "shard", (F.col("_row0") + F.col("_slot0")).alias("_slot0"))
+
+    # rows of small groups meet their group; each group is at most 1/100 of a shard
+    names = F.broadcast(large.select(*GROUP, "_huge"))
+    nth = F.row_number().over(Window.partitionBy(*GROUP).orderBy("_id")) - 1
+    few = base.join(names, GROUP, "left_anti").withColumn("_nth", nth).join(small, GROUP)
+    few = few.select("_id", "size", "text_crc32", "shard", (F.col("_slot0") + F.col("_nth")).alias("slot"))
+
+    # rows of large groups: the place in a group by range partitions of it
+    many = cut(base.join(names, GROUP).repartitionByRange(*GROUP, "_id", "_part").withColumn("_pid", F.spark_partition_id()))
+    part = many.groupBy(*GROUP, "_pid").agg(F.count(F.lit(1)).alias("_n"))
+    part = part.select(*GROUP, "_pid", prefix("_n", Window.partitionBy(*GROUP).orderBy("_pid")).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy(*GROUP, "_pid").orderBy("_id")) - 1
+    many = many.withColumn("_in", nth).join(part, [*GROUP, "_pid"]).withColumn("_nth", F.col("_before") + F.col("_in"))
+    above = src.sparkSession.createDataFrame([(k, held[k]["n"] if k in held else 0) for k in range(n)], "shard int, _nheld long")
+    above = above.join(nsmall, "shard", "left").withColumn("_nsmall", F.coalesce("_nsmall", F.lit(0)))
+    above = F.broadcast(cut(above.withColumn("_above", F.col("_nsmall") + F.col("_nheld"))))
+    single = many.where("not _huge").join(F.broadcast(dealt.select(*GROUP, "shard", "_row0")), GROUP).join(above, "shard")
+    single = single.select("_id", "size", "text_crc32", "shard", (F.col("_nsmall") + F.col("_row0") + F.col("_nth")).alias("slot"))
+    huge = large.where("_huge").select(*GROUP, prefix("_bytes", Window.orderBy(*GROUP)).alias("_byte0"))
+    cutup = many.where("_huge").join(F.broadcast(huge), GROUP)
+    cutup = cut(cutup.withColumn("shard", shard_at(F.col("_byte0") + (F.col("_nth") + F.lit(0.5)) * F.col("size"), fills)).select(
+        "_id", "size", "text_crc32", *[F.col(c).alias(f"_{c}") for c in GROUP], "_nth", "shard"))
+    mine = ["__h", "_size", "_text_crc32"]
+    first = cutup.groupBy("shard", *mine).agg(F.min("_nth").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    first = first.withColumn("_over", prefix("_n", Window.partitionBy("shard").orderBy(*mine))).drop("_n")
+    cutup = cutup.join(F.broadcast(first), ["shard", *mine]).join(above, "shard")
+    cutup = cutup.select("_id", "size", "text_crc32", "shard", (F.col("_above") + F.col("_over") + F.col("_nth") - F.col("_first")).alias("slot"))
+    out = few.unionByName(single).unionByName(cutup)
+    return out.withColumn("shard", F.col("shard").cast("int")).withColumn("slot", F.col("slot").cast("long"))
+
