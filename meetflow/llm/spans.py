@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .cut import cut
 from .text import U64, Words, mix, pieces
 
-#: Words a run must have.
-LEAST_WORDS = 25
+#: Sentences and words a run must have, and words that make a sentence a run of its own.
+LEAST_SENTENCES, LEAST_WORDS, LONG_SENTENCE = 2, 8, 25
 
 
 def sentences(w: Words, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -30,8 +30,8 @@ def sentences(w: Words, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, n
     return begin, np.searchsorted(begin, w.first)
 
 
-def sentence_runs(batches, id_col: str, least: int, tails: bool):
-    """(hash, id, packed place) of every run: the sentences from one on, or (tails) back from one, until they have ``least`` words."""
+def sentence_runs(batches, id_col: str, sentences_: int, least: int, long: int):
+    """(hash, id, packed place) of every run: the shortest from each sentence on and back from each, and long sentences."""
     words = Words()
     cont = np.zeros(256, bool)
     cont[128:192] = True
@@ -46,13 +46,13 @@ def sentence_runs(batches, id_col: str, least: int, tails: bool):
                 continue
             begin, sfirst = sentences(w, buf, off)
             doc = np.repeat(np.arange(hi - lo), np.diff(sfirst))
-            first = begin[:-1]
-            stop = np.searchsorted(begin, first + least)  # the sentence after the run
-            ok = stop <= sfirst[doc + 1]
-            # with tails, also the shortest run that ends with the sentence
-            back = np.searchsorted(begin, begin[1:] - least, "right") - 1
-            tail = (begin[1:] >= least) & (back >= sfirst[doc]) & tails
-            both = np.unique(np.concatenate([first[ok] << 32 | begin[stop[ok]], begin[back[tail]] << 32 | begin[1:][tail]]))
+            here = np.arange(len(begin) - 1)
+            stop = np.maximum(here + sentences_, np.searchsorted(begin, begin[:-1] + least))  # the sentence after the run
+            on = stop <= sfirst[doc + 1]
+            back = np.minimum(here + 1 - sentences_, np.searchsorted(begin, begin[1:] - least, "right") - 1)  # the run's first
+            off_ = (back >= sfirst[doc]) & (begin[1:] >= least)
+            alone = np.diff(begin) >= long
+            both = np.unique(np.concatenate([begin[here[on]] << 32 | begin[stop[on]], begin[back[off_]] << 32 | begin[1:][off_], begin[:-1][alone] << 32 | begin[1:][alone]]))
             first, stop = both >> 32, both & 0xFFFFFFFF
             doc = np.searchsorted(w.first, first, "right") - 1
             total = np.zeros(n + 1, U64)
@@ -90,18 +90,20 @@ def merge_places(batches):
                                           pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))], ["_id", "n_spans", "removed", "starts", "ends"])
 
 
-def repeated_spans(docs: DataFrame, *, least_words: int = LEAST_WORDS, tails: bool = False, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, *, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS,
+                   long_sentence: int = LONG_SENTENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """What to cut from each document: sentences covered by a run that stands somewhere before.
 
-    From every sentence on (with ``tails`` also back from every sentence), the run of consecutive
-    sentences up to 25 words is hashed (several sentences; a sentence of 25 words
-    or more is a run of its own, so long passages of few sentences count).  Words compare with A-Z lowered and any
-    white space between.  Of equal runs the first in order of id and place stays;
-    all others are cut.  A run that its own document has before is cut without
-    meeting others.  The rest are counted with the smallest id and then joined
-    back, so a run in a third of all documents meets only in partial sums and in a
-    join whose skewed side can be split.
+    A run is several (``least_sentences``, at least 2) consecutive sentences of
+    together at least ``least_words`` words; a sentence of ``long_sentence`` words
+    is a run, too, since passages may be one long sentence.  From every sentence
+    on, and back from every sentence, the shortest run is hashed: any longer run
+    that two texts share is covered by these.  Words compare with A-Z lowered and
+    any white space between.  Of equal runs the first in order of id and place
+    stays; all others are cut.  A run that its own document has before is cut
+    without meeting others.  The rest are counted with the smallest id and then
+    joined back, so a run in a third of all documents meets only in partial sums
+    and in a join whose skewed side can be split.
 
     Returns a row for each document that loses something: id, n_spans, removed
     (code points), starts and ends (arrays of code points, end exclusive).  Null
@@ -111,7 +113,7 @@ def repeated_spans(docs: DataFrame, *, least_words: int = LEAST_WORDS, tails: bo
     """
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = src.schema["_id"].dataType.simpleString()
-    runs = src.mapInArrow(lambda it: sentence_runs(it, "_id", least_words, tails), f"h long, _id {kind}, place long")
+    runs = src.mapInArrow(lambda it: sentence_runs(it, "_id", max(2, least_sentences), least_words, long_sentence), f"h long, _id {kind}, place long")
     known = cut(runs.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("d")).where("n > 1").select("h", "d", F.lit(True).alias("met")))
     later = F.col("met") & F.coalesce(F.col("_id") != F.col("d"), F.col("d").isNotNull())
     cuts = runs.join(known, "h", "left").where(F.coalesce(later, F.lit(False)) | (F.col("place").bitwiseAND(1) == 1)).select("_id", "place")
@@ -121,7 +123,12 @@ def repeated_spans(docs: DataFrame, *, least_words: int = LEAST_WORDS, tails: bo
 
 
 def cut_spans(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without their repeated spans; all columns as they were."""
+    """The documents without their repeated spans; all columns as they were.
+
+    Rows of one id lose the same places; rows without an id, null texts and
+    documents without spans stay whole; empty tables give no rows.  Columns of any
+    names pass.
+    """
     s = spans.select(F.col(id_col).alias("_id"), "starts", "ends")
     kept = F.aggregate(
         F.arrays_zip("starts", "ends"),
