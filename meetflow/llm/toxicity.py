@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .text import U64, Words, pieces
 
 #: Words a window, words between the starts of two windows.
-SPAN, STRIDE = 32, 24
+SPAN, STRIDE = 32, 16
+#: Windows scored at once, whatever the length of the text.
+CHUNK = 8192
 WORD_BITS, CHAR_BITS, WORD_DIM, CHAR_DIM, HIDDEN = 15, 15, 6, 6, 8
 GATES = 3 * HIDDEN
 
@@ -46,12 +48,22 @@ class Piece:
         distinct, index, code = np.unique(w.hash, return_index=True, return_inverse=True)
         self.word = (distinct & U64((1 << WORD_BITS) - 1)).astype(np.int64)
         self.gram, self.begin = char_grams(buf, w.start[index], w.end[index], w.lower)
-        begin, self.doc = window_starts(w.first)
-        code = np.append(code, np.full(SPAN, len(distinct))).astype(np.int32)
-        place = begin[:, None] + np.arange(SPAN)
-        ids = code[np.minimum(place, len(code) - 1)]
-        ids[place >= w.first[self.doc + 1][:, None]] = len(distinct)
-        self.ids, self.docs = ids, len(off) - 1
+        self.start, self.doc = window_starts(w.first)
+        self.code = np.append(code, np.full(SPAN, len(distinct))).astype(np.int32)
+        self.stop, self.docs = w.first[self.doc + 1], len(off) - 1
+
+    def windows(self, pick) -> np.ndarray:
+        """The words of some windows; pad after a document's end."""
+        place = self.start[pick][:, None] + np.arange(SPAN)
+        ids = self.code[np.minimum(place, len(self.code) - 1)]
+        ids[place >= self.stop[pick][:, None]] = len(self.word)
+        return ids
+
+    def logits(self, p: dict) -> np.ndarray:
+        """Of every window, some thousand at a time."""
+        x = self.inputs(p)
+        parts = [logits(x, self.windows(slice(k, k + CHUNK)), p) for k in range(0, len(self.doc), CHUNK)]
+        return np.concatenate(parts) if parts else np.zeros(0)
 
     def inputs(self, p: dict) -> np.ndarray:
         """Word vector beside the sum of its grams' vectors over the root of their number."""
@@ -145,7 +157,7 @@ def initial(rng: np.random.Generator) -> dict:
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
-def train(texts: list[str | None], labels: list[int], *, rounds: int = 14, seed: int = 5) -> dict:
+def train(texts: list[str | None] | pa.ChunkedArray, labels, *, rounds: int = 14, seed: int = 5) -> dict:
     """Parameters fitted to labelled texts.
 
     A text counts as toxic by its most toxic window: in each round all windows
@@ -161,14 +173,16 @@ def train(texts: list[str | None], labels: list[int], *, rounds: int = 14, seed:
         p["bias"][:] = p["none"] = 0 if not len(y) else 4 * (2 * y[0] - 1)
         return {k: np.atleast_1d(v) for k, v in p.items()}
     words, parts, at = Words(), [], 0
-    for lo, hi, buf, off in pieces(pa.array(texts, pa.large_string()), 1 << 19):
+    texts = texts if isinstance(texts, pa.ChunkedArray) else pa.array(texts, pa.large_string())
+    for lo, hi, buf, off in pieces(texts, 1 << 19):
         parts.append((Piece(words, buf, off), lo))
     for table, bits, field in (("word", WORD_BITS, "word"), ("char", CHAR_BITS, "gram")):
         total = np.array([np.sum(y == 0), np.sum(y == 1)]) + 1.0
         seen = np.repeat(6 * total[:, None] / total.sum(), 1 << bits, axis=1)  # an unseen bucket says nothing
         for part, lo in parts:
-            real = part.ids < len(part.word)
-            doc, code = np.broadcast_to(part.doc[:, None], part.ids.shape)[real], part.ids[real]
+            ids = part.windows(slice(None))
+            real = ids < len(part.word)
+            doc, code = np.broadcast_to(part.doc[:, None], ids.shape)[real], ids[real]
             if field == "gram":
                 pair = np.unique(doc.astype(np.int64) * len(part.word) + code)
                 doc, code = pair // len(part.word), pair % len(part.word)
@@ -192,13 +206,13 @@ def train(texts: list[str | None], labels: list[int], *, rounds: int = 14, seed:
             if not len(part.doc):
                 continue
             x = part.inputs(p)
-            s = logits(x, part.ids, p)
+            s = part.logits(p)
             order = np.lexsort((s, part.doc))
             top = order[np.append(np.flatnonzero(np.diff(part.doc[order])), len(order) - 1)]
             for pick in np.array_split(rng.permutation(top), max(1, len(top) // batch)):
                 step += 1
                 t, w = y[lo + part.doc[pick]], weight[lo + part.doc[pick]]
-                ids = np.where(rng.random((len(pick), SPAN)) < 0.1, len(part.word), part.ids[pick])  # words left out at random
+                ids = np.where(rng.random((len(pick), SPAN)) < 0.1, len(part.word), part.windows(pick))  # words left out at random
                 used, local = np.unique(np.append(ids.ravel(), len(part.word)), return_inverse=True)
                 g = gradients(x[used], local[:-1].reshape(ids.shape), p, lambda z: ((sigmoid(z) - t) * w).astype(np.float32))
                 dx = g.pop("x")[:-1]
@@ -227,7 +241,7 @@ def score_column(column, p: dict, words: Words) -> np.ndarray:
         part = Piece(words, buf, off)
         top = np.full(part.docs, -np.inf)
         if len(part.doc):
-            np.maximum.at(top, part.doc, logits(part.inputs(p), part.ids, p).astype(float))
+            np.maximum.at(top, part.doc, part.logits(p).astype(float))
         best.append(np.where(np.isfinite(top), top, p["none"][0]))
     return sigmoid(np.concatenate(best)) if best else np.zeros(0)
 
@@ -245,7 +259,7 @@ def reject_batches(batches, p: dict, text: str, limit: float):
         yield batch.filter(pa.array(score_column(batch.column(text), p, words) < limit))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, allowed: Column, most: tuple[int, int] = (3000, 1500), id_col: str = "doc_id",
+def fit(docs: DataFrame, labels: DataFrame, *, allowed: Column, most: tuple[int, int] = (5000, 2500), id_col: str = "doc_id",
         text_col: str = "text", label_col: str = "toxic", seed: int = 5) -> dict:
     """Trains on at most ``most`` clean and toxic labelled documents (those with the smallest hashes of their ids).
 
@@ -259,14 +273,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, allowed: Column, most: tuple[int,
     picked = [lab.where(F.col("_y") == y).orderBy(order, "_i").limit(most[y]) for y in (0, 1)]
     picked = picked[0].unionByName(picked[1])
     text = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_x"))
-    rows = text.join(F.broadcast(picked), "_i").groupBy("_i").agg(F.min("_x").alias("_x"), F.max("_y").alias("_y")).orderBy("_i").collect()
-    return train([r["_x"] for r in rows], [r["_y"] for r in rows], seed=seed)
+    rows = text.join(F.broadcast(picked), "_i").groupBy("_i").agg(F.min("_x").alias("_x"), F.max("_y").alias("_y")).orderBy("_i").select("_x", "_y").toArrow()
+    return train(rows.column("_x"), rows.column("_y").to_numpy(), seed=seed)
 
 
 def score(docs: DataFrame, params: dict, *, keep: list[str], text_col: str = "text") -> DataFrame:
     """Adds ``score``: the toxicity of a text's most toxic window, 0 to 1.
 
-    All windows of 32 words, each 24 words after the last, are scored over the
+    All windows of 32 words, each 16 words after the last, are scored over the
     whole text.  Empty and null texts score 0.018 (0.5 if nothing was learned).  Only
     ``keep`` and the text are read; an empty table gives no rows.
     """
@@ -277,6 +291,11 @@ def score(docs: DataFrame, params: dict, *, keep: list[str], text_col: str = "te
 
 
 def reject(docs: DataFrame, params: dict, *, limit: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The documents that score below ``limit``, all columns as they were."""
+    """The documents that score below ``limit``, all columns as they were.
+
+    Null and empty texts stay (they score 0.018; 0.5, and so go, only if nothing
+    was learned); repeated rows and null ids are judged by their text; an empty
+    table gives no rows.
+    """
     held = docs.sparkSession.sparkContext.broadcast(params)
     return docs.mapInArrow(lambda batches: reject_batches(batches, held.value, text_col, limit), docs.schema)
