@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import math
+import io
 import os
-import tempfile
 import uuid
 import zlib
 
@@ -37,15 +36,14 @@ def tokens(w: Words, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Layout:
-    """Buckets: pairs by (context, word), so that one context's followers are spread; words by id."""
+    """Buckets: pairs by the hash of the pair, so that no frequent word fills one; words by id."""
 
     def __init__(self, n: int) -> None:
-        self.cols = max(1, math.isqrt(n) // 2)
-        self.rows = -(-n // self.cols)
+        self.pairs = max(1, n)
         self.words = max(1, -(-n // 8))
 
     def pair(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        return part(before, self.rows) * self.cols + part(ids, self.cols)
+        return part(pair_key(before, ids) >> U64(16), self.pairs)
 
     def word(self, ids: np.ndarray) -> np.ndarray:
         return part(ids, self.words)
@@ -150,7 +148,7 @@ def save(folder: str, name: str, array: np.ndarray) -> None:
 
 
 def load(folder: str, name: str) -> np.ndarray:
-    """Maps an array of the shared folder; empty if there is none.  From other stores a copy is fetched, mapped and unlinked."""
+    """Maps an array of the shared folder; empty if there is none.  Stores that cannot be mapped are read into memory."""
     path = local(folder)
     if path is not None:
         path = f"/{path.lstrip('/')}/{name}.npy"
@@ -160,11 +158,8 @@ def load(folder: str, name: str) -> np.ndarray:
     store, top = fs.FileSystem.from_uri(folder)
     if store.get_file_info(f"{top}/{name}.npy").type == fs.FileType.NotFound:
         return np.zeros(0, U64)
-    with tempfile.NamedTemporaryFile(suffix=".npy") as f, store.open_input_stream(f"{top}/{name}.npy") as src:
-        while chunk := src.read(1 << 24):
-            f.write(chunk)
-        f.flush()
-        return np.load(f.name, mmap_mode="r")
+    with store.open_input_file(f"{top}/{name}.npy") as src:
+        return np.load(io.BytesIO(src.read()))
 
 
 def sums(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -260,16 +255,26 @@ class Model:
         self.rest = rest / self.pairs if self.pairs else 1.0
 
     def open(self) -> None:
-        self.word = [[load(self.folder, f"word-{k}"), *(load(self.folder, f"word-{k}-{a}") for a in WORD_ARRAYS)] for k in range(self.layout.words)]
-        self.pair = [None] * (self.layout.rows * self.layout.cols)
+        self.word: dict = {}
+        self.pair: dict = {}
+
+    def held(self, kept: dict, k: int, *names: str) -> tuple:
+        """Arrays of a bucket.  Mapped ones stay open; of those read into memory the last 16 buckets."""
+        if k not in kept:
+            if local(self.folder) is None and len(kept) >= 16:
+                kept.pop(next(iter(kept)))
+            kept[k] = tuple(load(self.folder, x) for x in names)
+        return kept[k]
 
     def words(self, ids: np.ndarray) -> np.ndarray:
         """(5, ids) of WORD_ARRAYS; ids sorted."""
         out = np.zeros((5, len(ids)), np.int64)
         edge = np.searchsorted(self.layout.word(ids), np.arange(self.layout.words + 1))
         for k, (a, b) in enumerate(zip(edge[:-1], edge[1:])):
-            key, *values = self.word[k]
-            if a < b and len(key):
+            if a == b:
+                continue
+            key, *values = self.held(self.word, k, f"word-{k}", *(f"word-{k}-{x}" for x in WORD_ARRAYS))
+            if len(key):
                 at = np.minimum(np.searchsorted(key, ids[a:b]), len(key) - 1)
                 hit = np.flatnonzero(key[at] == ids[a:b])
                 for row, v in zip(out, values):
@@ -284,9 +289,7 @@ class Model:
         edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else []
         for a, b in zip(edge[:-1], edge[1:]):
             k = bucket[a]
-            if self.pair[k] is None:
-                self.pair[k] = load(self.folder, f"pair-{k}"), load(self.folder, f"pair-{k}-count")
-            keys, count = self.pair[k]
+            keys, count = self.held(self.pair, k, f"pair-{k}", f"pair-{k}-count")
             if len(keys):
                 q = key[order[a:b]]
                 at = np.minimum(np.searchsorted(keys, q), len(keys) - 1)
@@ -335,8 +338,10 @@ def train(docs: DataFrame, *, text_col: str = "text", bucket_tokens: int = BUCKE
     sorted distinct pairs to hash buckets; each bucket becomes two arrays (sorted
     64-bit pair hashes, counts) and passes on, by word, how often and after how
     many different words it occurs and how many followers occur once, twice and
-    more.  Buckets hold some 1.5 million tokens, however many there are; a frequent
-    word's followers are spread over several.  The driver gets 13 sums.
+    more.  A pair's bucket is its hash, so buckets are alike (some 1.5 million
+    tokens each) whatever words are frequent; a task sends a pair at most once for
+    each 2 million tokens.  The driver gets 13 sums.  Nulls count as empty texts;
+    ids are not looked at; an empty table gives a model that knows nothing.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text_col)), F.count(F.lit(1))).collect()[0]
