@@ -18,6 +18,8 @@ MASKS = ("1111011", "1010100111")
 OVERLAP, AGREE = 13, 0.8
 #: Tokens of benchmark items that are searched for at once; a larger benchmark takes several passes.
 BLOCK_TOKENS = 4_000_000
+#: Equal seeds looked at in one go: a line that all items share makes places times items of them.
+HITS = 2_000_000
 
 
 def alnum_words() -> Words:
@@ -90,32 +92,56 @@ class Index:
             bits[(s >> U64(44)).astype(np.int64)] = True
             self.bits.append(bits)
 
-    def search(self, words: Words):
-        """(document, item, tokens agreeing, first and last word) of verified overlaps, one for each document, item and diagonal."""
+    def hits(self, words: Words):
+        """Arrays (document, item, diagonal) of equal seeds, a bounded number at a time."""
         h, first = words.hash, words.first
         doc = owner(first)
-        found = []
         for mask, seed, item, place, bits in zip(self.masks, self.seed, self.item, self.place, self.bits):
             s, at = seeds(h, first, mask)
             maybe = np.flatnonzero(bits[(s >> U64(44)).astype(np.int64)])
             s, at = s[maybe], at[maybe]
             lo, hi = np.searchsorted(seed, s, "left"), np.searchsorted(seed, s, "right")
-            n = hi - lo
-            row = np.repeat(np.arange(len(s)), n)
-            k = lo[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            found.append(np.stack([doc[at[row]], item[k], at[row] - first[doc[at[row]]] - place[k]], axis=1))
-        for d, i, diagonal in np.unique(np.concatenate(found), axis=0).tolist() if found else []:
-            x, y = h[first[d] : first[d + 1]], self.tokens[self.first[i] : self.first[i + 1]]
-            a, b = max(0, diagonal), min(len(x), diagonal + len(y))
-            same = x[a:b] == y[a - diagonal : b - diagonal]
-            size = min(OVERLAP, len(y))
-            if len(same) < size:
-                continue
-            total = np.concatenate([[0], np.cumsum(same)])
-            good = np.flatnonzero(total[size:] - total[:-size] >= np.ceil(AGREE * size - 1e-9))
-            if len(good):
-                p, q = good[0], good[-1] + size
-                yield d, i, int(total[q] - total[p]), int(first[d] + a + p), int(first[d] + a + q - 1)
+            total = np.concatenate([[0], np.cumsum(hi - lo)])
+            for begin in range(0, int(total[-1]), HITS):
+                g = np.arange(begin, min(begin + HITS, int(total[-1])))
+                row = np.searchsorted(total, g, "right") - 1
+                k = lo[row] + g - total[row]
+                yield np.unique(np.stack([doc[at[row]], item[k], at[row] - first[doc[at[row]]] - place[k]], axis=1), axis=0)
+
+    def verify(self, words: Words, d: int, i: int, diagonal: int):
+        """(document, item, tokens agreeing, first and last word) of the overlap on a diagonal, or None."""
+        first = words.first
+        x, y = words.hash[first[d] : first[d + 1]], self.tokens[self.first[i] : self.first[i + 1]]
+        a, b = max(0, diagonal), min(len(x), diagonal + len(y))
+        same = x[a:b] == y[a - diagonal : b - diagonal]
+        size = min(OVERLAP, len(y))
+        if len(same) < size:
+            return None
+        total = np.concatenate([[0], np.cumsum(same)])
+        good = np.flatnonzero(total[size:] - total[:-size] >= np.ceil(AGREE * size - 1e-9))
+        if not len(good):
+            return None
+        p, q = good[0], good[-1] + size
+        return d, i, int(total[q] - total[p]), int(first[d] + a + p), int(first[d] + a + q - 1)
+
+    def search(self, words: Words):
+        """Verified overlaps, one for each document, item and diagonal."""
+        found = np.zeros((0, 3), np.int64)
+        for new in self.hits(words):
+            found = np.unique(np.concatenate([found, new]), axis=0)
+        for d, i, diagonal in found.tolist():
+            hit = self.verify(words, d, i, diagonal)
+            if hit:
+                yield hit
+
+    def hit_documents(self, words: Words) -> set[int]:
+        """Documents that overlap with some item; none is looked at again."""
+        done: set[int] = set()
+        for new in self.hits(words):
+            for d, i, diagonal in new.tolist():
+                if d not in done and self.verify(words, d, i, diagonal):
+                    done.add(d)
+        return done
 
 
 def overlaps(batches, id_col: str, index: Index, item_type: pa.DataType):
@@ -163,7 +189,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     Returns id, item id, matched (tokens agreeing, the most on one diagonal),
     item_tokens, start and end (code points, end exclusive) of the overlap.  Null
     and blank texts and items overlap with nothing; repeated rows give repeated
-    hits that fall together by id; empty tables give no rows.
+    hits that fall together by id; empty tables give no rows.  Where both tables
+    call their id the same, the item's is named ``benchmark_<name>``.
     """
     src = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("_text"))
     kind, item = src.schema[id_col].dataType.simpleString(), benchmark.schema[item_id].dataType
@@ -178,7 +205,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
         found = part if found is None else found.unionByName(part)
     best = F.max(F.struct("matched", -F.col("start"), -F.col("end"), "item_tokens")).alias("_b")
     found = found.groupBy(id_col, "_item").agg(best)
-    return found.select(id_col, F.col("_item").alias(item_id), "_b.matched", "_b.item_tokens", (-F.col("_b.col2")).alias("start"), (-F.col("_b.col3")).alias("end"))
+    return found.select(id_col, F.col("_item").alias(item_id if item_id != id_col else f"benchmark_{item_id}"), "_b.matched", "_b.item_tokens", (-F.col("_b.col2")).alias("start"), (-F.col("_b.col3")).alias("end"))
 
 
 def clean_batches(batches, index: Index, text_col: str):
@@ -186,13 +213,17 @@ def clean_batches(batches, index: Index, text_col: str):
     for batch in batches:
         ok = np.ones(batch.num_rows, bool)
         for lo, _, buf, off in pieces(batch.column(text_col)):
-            ok[[lo + x[0] for x in index.search(words(buf, off))]] = False
+            ok[[lo + d for d in index.hit_documents(words(buf, off))]] = False
         yield batch.filter(pa.array(ok))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
                   block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """The documents that overlap with no benchmark item (see ``contaminated``), all columns as they were."""
+    """The documents that overlap with no benchmark item (see ``contaminated``), all columns as they were.
+
+    Null and blank texts stay; repeated rows and null ids are judged by their
+    text; with an empty benchmark all stay; an empty table gives no rows.
+    """
     for index in indexes(benchmark, item_id, item_text, block_tokens):
         held = docs.sparkSession.sparkContext.broadcast(index)
         docs = docs.mapInArrow(lambda it, held=held: clean_batches(it, held.value, text_col), docs.schema)

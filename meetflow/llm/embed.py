@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,13 +40,23 @@ def pack(batches, dim: int):
 
 
 def moments(batches, dim: int):
-    """Sums of the vectors and of their products, a row a number."""
+    """Sums of the vectors and of their products: one packed row a task, for one of 64 groups."""
     total = np.zeros(dim + dim * dim + 1)
     for batch in batches:
         if batch.num_rows:
             u = unit(matrix(batch.column("vec"), dim))
             total += np.concatenate([u.sum(axis=0), (u.T @ u).ravel(), [len(u)]])
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["i", "x"])
+    yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 64], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["g", "x"])
+
+
+def add_moments(batches):
+    """The sums of each task's groups in one row."""
+    total = None
+    for batch in batches:
+        for x in batch.column("x").to_pylist():
+            total = np.frombuffer(x) if total is None else total + np.frombuffer(x)
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["x"])
 
 
 class Plan:
@@ -215,10 +226,8 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.9, id_col: str = "vec_i
     found = None
     for dim in sorted(r["d"] for r in classes.groupBy(F.size("v").alias("d")).count().collect()):
         rows = cut(classes.where(F.size("v") == dim).select("v", "c", "mult").mapInArrow(lambda it, dim=dim: pack(it, dim), "vec binary, c long, mult long"))
-        m = rows.mapInArrow(lambda it, dim=dim: moments(it, dim), "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
-        total = np.zeros(dim + dim * dim + 1)
-        for r in m:
-            total[r["i"]] = r["x"]
+        m = rows.mapInArrow(lambda it, dim=dim: moments(it, dim), "g int, x binary").repartition(64, "g").mapInArrow(add_moments, "x binary").collect()
+        total = np.sum([np.zeros(dim + dim * dim + 1), *(np.frombuffer(r["x"]) for r in m)], axis=0)  # at most 64 rows
         plan = Plan(total, dim, 2 - 2 * least)
         counts = rows.mapInArrow(lambda it, plan=plan, dim=dim: count_cells(it, plan, dim), "j long, cell long, n long")
         for r in counts.groupBy("j", "cell").agg(F.sum("n").alias("n")).collect():
