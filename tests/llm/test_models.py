@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from meetflow.llm import credentials, ngram, toxicity
+from meetflow.llm import credentials, decontam, ngram, toxicity
 from meetflow.llm.queries import fold
 from meetflow.llm.text import Words, ngrams, pieces
 
@@ -70,6 +70,27 @@ def test_toxicity_learns_words_and_stems(spark, empty):
     assert all(np.array_equal(params[k], again[k]) for k in params)
 
 
+def test_long_texts(spark):
+    """A text of several pieces: words at its very end count, and windows in small chunks give what one chunk gives."""
+    rng = random.Random(19)
+    body = prose(rng, 250_000)
+    assert len(body) > 1_200_000
+    p = toxicity.initial(np.random.default_rng(1)) | {"none": np.array([-4.0])}
+    column = pa.array([body, "short one", body + " zzz qqq www"])
+    whole = toxicity.score_column(column, p, Words())
+    old, toxicity.CHUNK = toxicity.CHUNK, 100
+    try:
+        assert np.allclose(whole, toxicity.score_column(column, p, Words()), atol=1e-6)
+    finally:
+        toxicity.CHUNK = old
+    d = spark.createDataFrame([(1, body + " AKIA" + "Q7" * 10), (2, body), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in credentials.secrets(d).collect()}
+    assert got[1]["n_access"] == 1 and got[1]["spans"] == f"access:{len(body) + 1}:{len(body) + 25}" and got[2]["spans"] == got[3]["spans"] == ""
+    item = " ".join(body.split()[-40:-5])
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    assert {(r["doc_id"], r["matched"]) for r in decontam.contaminated(d, bench).collect()} == {(1, 35), (2, 35)}
+
+
 def test_toxicity_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     params = toxicity.fit(docs, none, allowed=lambda i: fold(i, 5) != 0)
@@ -199,6 +220,30 @@ def test_secrets_glued_and_short(spark):
     assert not any("format" in got[i] for i in range(len(texts)))
 
 
+def test_secret_scores(spark):
+    """Every span has its log odds, base spans too; what each learned format finds of planted credentials, and what else."""
+    rng = random.Random(23)
+    key = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    hexa, upper, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    kinds = [lambda: key(40, hexa), lambda: "AKIA" + key(16, upper), lambda: "secret=" + key(32, mixed)]
+    word = lambda: "".join(rng.choice(["wor", "thy", "tal", "kin", "na", "tive", "ness", "ing", "un", "der", "sol", "ace"]) for _ in range(rng.randint(3, 7)))
+    texts = [" ".join(word() for _ in range(60)) + " " + kinds[i % 3]() + " " + prose(rng, 20) for i in range(240)]
+    planted = [key(28, hexa) for _ in range(30)] + [key(36, mixed) for _ in range(30)]
+    texts += [prose(rng, 30) + " " + x + " " + prose(rng, 30) for x in planted]
+    d = spark.createDataFrame([(i, t, "en", "s", None, "x", 0.0) for i, t in enumerate(texts)], DOCS).repartition(3)
+    right, wrong, odds = [0, 0], 0, []
+    for r in credentials.secrets(d).collect():
+        spans = [s.split(":") for s in r["spans"].split(",") if s]
+        assert len(spans) == len(r["log_odds"]) and all(math.isfinite(x) for x in r["log_odds"])
+        odds += r["log_odds"]
+        for k, a, b in spans:
+            if k == "format":
+                hit = r["doc_id"] >= 240 and texts[r["doc_id"]][int(a) : int(b)] == planted[r["doc_id"] - 240]
+                right[r["doc_id"] >= 270] += hit
+                wrong += not hit
+    assert min(right) >= 24 and wrong <= 5 and np.mean(np.array(odds) > 10) > 0.9, (right, wrong)
+
+
 def test_secret_background_of_all_candidates(spark, monkeypatch):
     """Background and threshold come from every different candidate, of which there are more than 4,000."""
     rng = random.Random(12)

@@ -1,6 +1,7 @@
 """Sharding, mixing and chat formatting against plain Python."""
 
 import collections
+import random
 import zlib
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from meetflow.llm.chat import collapse_and_render
 from meetflow.llm.mixing import mix_documents, mix_sources, quality_weight, word_count
-from meetflow.llm.sharding import balanced_shards
+from meetflow.llm.sharding import balanced_shards, shard_documents
 
 
 def test_shards(docs, empty):
@@ -26,15 +27,38 @@ def test_shards(docs, empty):
     assert balanced_shards(empty, 7).count() == 0
 
 
-def test_shards_keep_small_groups_together(spark):
-    d = spark.createDataFrame([(i, f"text {i // 3} " * 5) for i in range(3000)], "doc_id long, text string")
-    rows = balanced_shards(d, 5).collect()
-    groups = collections.defaultdict(set)
+def shards_of(d, n):
+    rows, by, groups = balanced_shards(d, n).collect(), collections.defaultdict(list), collections.defaultdict(set)
     for r in rows:
-        groups[r["doc_id"] // 3].add(r["shard"])
-    assert sum(len(s) > 1 for s in groups.values()) <= 4  # only where a range partition ends
-    sizes = collections.Counter(r["shard"] for r in rows)
-    assert max(sizes.values()) - min(sizes.values()) < 60
+        by[r["shard"]].append(r)
+        groups[r["size"], r["text_crc32"]].add(r["shard"])
+    assert len(rows) == d.count() and all(sorted(r["slot"] for r in part) == list(range(len(part))) for part in by.values())
+    return groups, [sum(r["size"] for r in by.get(k, [])) for k in range(n)]
+
+
+def test_shards_keep_groups_whole(spark):
+    d = spark.createDataFrame([(i, f"text {i // 3} " * 5) for i in range(3000)], "doc_id long, text string").repartition(7)
+    groups, sizes = shards_of(d, 5)
+    assert all(len(s) == 1 for s in groups.values()) and max(sizes) - min(sizes) <= sum(sizes) / 500
+    # groups of all sizes up to a shard, and one that fills half of all shards; ids repeat or lack
+    rng = random.Random(4)
+    texts = [t for k in range(40) for t in [f"group {k} " * rng.randint(1, 9)] * rng.randint(1, 60)] + ["hot " * 8] * 3000 + [None] * 30
+    d = spark.createDataFrame([(i % 50 if i % 3 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(6)
+    groups, sizes = shards_of(d, 8)
+    parted = [g for g, s in groups.items() if len(s) > 1]
+    assert parted == [(48, zlib.crc32(b"hot " * 8))] and max(sizes) - min(sizes) <= sum(sizes) / 8 / 20
+
+
+def test_shard_documents(spark):
+    """All columns come back with a place; rows without an id or with one that repeats have their own."""
+    rows = [(None if i % 2 else 7, f"t {i // 2}", i, i) for i in range(100)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, shard int, _row long").repartition(3)
+    out = shard_documents(d, 4)
+    assert sorted(out.columns) == ["_row", "doc_id", "shard", "slot", "text"]
+    got = out.collect()
+    assert sorted((r["doc_id"] is None, r["text"], r["_row"]) for r in got) == sorted((i is None, t, n) for i, t, _, n in rows)
+    assert sorted((r["shard"], r["slot"]) for r in got) == sorted((r["shard"], r["slot"]) for r in balanced_shards(d, 4).collect())
+    assert len({(r["shard"], r["slot"]) for r in got}) == 100
 
 
 def fill(sizes, weights, share, cap):
@@ -80,11 +104,31 @@ def test_mix(docs, empty):
     assert sum(want.values()) == pytest.approx(1.5 * sum(sizes.values()))
     assert mix_sources(empty, **how).count() == 0
     copies = collections.Counter(r["doc_id"] for r in mix_documents(docs, **how).collect())
-    ids = collections.Counter(r["doc_id"] for r in rows)
-    assert copies == +collections.Counter({r["doc_id"]: r["times"] for r in rows if ids[r["doc_id"]] == 1} | {k: copies[k] for k, n in ids.items() if n > 1})
+    times = collections.Counter()
+    for r in rows:
+        times[r["doc_id"]] += r["times"]
+    assert copies == +times
     assert mix_documents(docs, **how).columns == docs.columns
 
 
+@pytest.mark.parametrize("ids", [list(range(200)), [i if i % 2 else None for i in range(200)], [7 if i % 2 else i for i in range(200)], [None] * 200])
+@pytest.mark.parametrize("same", [False, True])
+def test_mix_of_tied_ids(spark, ids, same):
+    """One word a row, target 150 %: 300 rows whatever ids repeat or lack, also of rows equal in all columns; maps pass."""
+    how = dict(size=word_count(F.col("text")), quality=quality_weight(F.col("text")))
+    d = spark.createDataFrame([(i, "a" if same else f"w{k}", "s", {"k": 0 if same else k}) for k, i in enumerate(ids)], "doc_id long, text string, source string, m map<string,int>").repartition(3)
+    out = mix_documents(d, **how).collect()
+    assert len(out) == 300 and set(out[0].asDict()) == set(d.columns)
+    counts = collections.Counter((r["doc_id"], r["text"]) for r in out)
+    times = collections.Counter()
+    for r in mix_sources(d, **how).collect():
+        times[r["doc_id"]] += r["times"]
+    by_id = collections.Counter()
+    for (i, _), n in counts.items():
+        by_id[i] += n
+    assert by_id == +times and (same or set(counts.values()) <= {1, 2})
+
+
 def test_quality_prefers_prose(spark):
     d = spark.createDataFrame([("plain words here",), ("### 12345 $$$",), ("",), (None,)], "t string")
     q = [r[0] for r in d.select(quality_weight(F.col("t"))).collect()]
