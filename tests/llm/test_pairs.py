@@ -125,7 +125,7 @@ def test_spans_of_short_sentences(spark):
     both = "It rained over the hills. Nobody saw the riders leave town."
     texts = [f"One more thing here. {both} Then it stopped.", f"Something else began. {both} It went on.", "It rained over the hills. But not today at all.", "Yes. No. Perhaps.", "Yes. No. Never."]
     d = spark.createDataFrame([(i, t, "en", "s", None, "x", 0.0) for i, t in enumerate(texts)], DOCS)
-    got = {r["doc_id"]: list(zip(r["starts"], r["ends"])) for r in repeated_spans(d).collect()}
+    got = {r["doc_id"]: list(zip(r["starts"], r["ends"])) for r in repeated_spans(d, least_words=8).collect()}
     a = texts[1].index(both)
     assert got == {1: [(a, a + len(both))]}
 
@@ -137,8 +137,8 @@ def test_spans_random(spark):
     texts = {i: " ".join(rng.choice(pool) for _ in range(rng.randint(1, 9))) for i in range(60)}
     d = spark.createDataFrame([(i, t, "en", "s", None, "x", 0.0) for i, t in texts.items()], DOCS).repartition(4)
     ink = lambda i, places: {k for k in places if not texts[i][k].isspace()}
-    got = {r["doc_id"]: ink(r["doc_id"], (x for s, e in zip(r["starts"], r["ends"]) for x in range(s, e))) for r in repeated_spans(d).collect()}
-    assert got == {i: ink(i, x) for i, x in brute_spans(texts).items()}
+    got = {r["doc_id"]: ink(r["doc_id"], (x for s, e in zip(r["starts"], r["ends"]) for x in range(s, e))) for r in repeated_spans(d, least_words=8).collect()}
+    assert got == {i: ink(i, x) for i, x in brute_spans(texts, least=8).items()}
 
 
 def test_decontamination_of_a_common_line(monkeypatch):
@@ -228,7 +228,7 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate(d, bench.where("false")).count() == d.count()
 
 
-def brute_spans(texts, sentences=2, least=8, long=25):
+def brute_spans(texts, sentences=2, least=20, long=25):
     """Every run of ``sentences`` or more with ``least`` words or more, and every long sentence; all but the first of equal ones are cut."""
     runs = {}
     for i in sorted(texts):
