@@ -49,6 +49,8 @@ ChangeCode = IntEnum("ChangeCode", {
 ViewKind = IntEnum("ViewKind", {"NONE": 0, "BARRIER": 1, "DEAD_ASSIGN": 2, "DEREF": 3, "DEREF_LHS": 4, "DEREF_RHS": 5,
                                 "RHS_LITERAL": 6, "INDEX_LITERAL": 7, "CONDITION": 8})
 
+# Symbols, sizes and ranges of the language.
+
 #: Operator symbols by expression kind; bitwise or has its own sign.
 SYMBOLS = {
     ExprKind.ADD: "+", ExprKind.SUB: "-", ExprKind.MUL: "*", ExprKind.DIV: "/", ExprKind.MOD: "%", ExprKind.AND: "&", ExprKind.OR: "|",

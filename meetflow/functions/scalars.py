@@ -289,12 +289,26 @@ def symbol(x: Column) -> Column:
     return lookup(SYMBOLS, x, F.lit(""))
 
 
+def _wrap64(v: Column) -> Column:
+    """A decimal modulo 2^64, as 64-bit registers hold it."""
+    half = F.lit(str(2**63)).cast("decimal(38,0)")
+    return (F.pmod(v.cast("decimal(38,0)") + half, F.lit(str(2**64)).cast("decimal(38,0)")) - half).cast("long")
+
+
+def negated(a: Column) -> Column:
+    """-a; the smallest number is its own negative."""
+    return F.coalesce(F.try_subtract(F.lit(0).cast("long"), a), a)
+
+
 def evaluate(x: Column, a: Column, b: Column) -> Column:
-    """Value of a two-operand expression over BIGINT; division truncates, and division by zero is null."""
-    zero = b == 0
+    """Value of a two-operand expression over BIGINT; sums and products wrap, division truncates, and division by zero is null."""
+    zero, minus = b == 0, b == -1
+    da, db = a.cast("decimal(19,0)"), b.cast("decimal(19,0)")
     table = [
-        (X.ADD, a + b), (X.SUB, a - b), (X.MUL, a * b), (X.DIV, F.when(~zero, F.call_function("div", a, F.when(~zero, b)))),
-        (X.MOD, F.when(~zero, a % F.when(~zero, b))), (X.AND, a.bitwiseAND(b)), (X.OR, a.bitwiseOR(b)), (X.XOR, a.bitwiseXOR(b)),
+        (X.ADD, F.coalesce(F.try_add(a, b), _wrap64(da + db))), (X.SUB, F.coalesce(F.try_subtract(a, b), _wrap64(da - db))),
+        (X.MUL, F.coalesce(F.try_multiply(a, b), _wrap64(da * db))),
+        (X.DIV, F.when(minus, negated(a)).when(~zero, F.call_function("div", a, F.when(~zero & ~minus, b)))),
+        (X.MOD, F.when(minus, F.lit(0).cast("long")).when(~zero, a % F.when(~zero & ~minus, b))), (X.AND, a.bitwiseAND(b)), (X.OR, a.bitwiseOR(b)), (X.XOR, a.bitwiseXOR(b)),
         (X.SHL, F.call_function("shiftleft", a, b.cast("int"))), (X.SHR, F.call_function("shiftrightunsigned", a, b.cast("int"))),
         (X.SHRA, F.call_function("shiftright", a, b.cast("int"))), (X.EQ, (a == b).cast("long")), (X.NE, (a != b).cast("long")),
         (X.LT, (a < b).cast("long")), (X.GE, (a >= b).cast("long")),
@@ -306,7 +320,7 @@ def evaluate(x: Column, a: Column, b: Column) -> Column:
 
 
 def evaluate_unary(x: Column, a: Column) -> Column:
-    return (F.when(x == int(X.VAL), a).when(x == int(X.BIT_NOT), F.bitwise_not(a)).when(x == int(X.NEGATE), -a)
+    return (F.when(x == int(X.VAL), a).when(x == int(X.BIT_NOT), F.bitwise_not(a)).when(x == int(X.NEGATE), negated(a))
             .when(x == int(X.NOT), (a == 0).cast("long")))
 
 
@@ -402,6 +416,17 @@ def lhs(i: Column, expr1: Column) -> Column:
     return F.when(is_assign(i), expr1)
 
 
+def call_expression(expr1: Column, expr2: Column) -> Column:
+    """The half of an instruction that is a call; null if none is."""
+    return F.when(is_call_expr(expr2["xkind"]), expr2).when(is_call_expr(expr1["xkind"]), expr1)
+
+
+def branch_labels(i: Column, expr1: Column, expr2: Column) -> Column:
+    """struct<true, false>: both labels of a condition; a goto's and a label's own label twice; null for others."""
+    both = lambda a, b: F.struct(a.alias("true"), b.alias("false"))
+    return F.when(is_cond(i), both(expr2["op1"], expr2["op2"])).when(is_goto(i) | is_label_insn(i), both(expr1["op1"], expr1["op1"]))
+
+
 def rhs(i: Column, expr1: Column, expr2: Column) -> Column:
     """The right side of an assignment; calls, returns and conditions have their only expression there."""
     return F.when(is_assign(i), F.coalesce(expr2, expr1)).when(is_call(i) | is_return(i) | is_cond(i), expr1)
@@ -414,11 +439,26 @@ def operands(expr1: Column, expr2: Column) -> Column:
     return F.filter(F.concat(some, args), lambda x: x.isNotNull())
 
 
-# facts
+# facts; fixed values: the fields of a fact id
 
 FACT_BITS = {"version": (0, 15), "point": (15, 3), "entity": (18, 32), "analysis": (50, 12), "reserved": (62, 2)}
 
 
+def instance_id(analysis: Column, function: Column) -> Column:
+    """A running analysis: 12 bits of analysis above 32 bits of function; raises on an analysis that needs more."""
+    ok = analysis.between(0, (1 << 12) - 1)
+    packed = F.shiftleft(analysis.cast("long"), 32).bitwiseOR(function.cast("long").bitwiseAND((1 << 32) - 1))
+    return F.when(ok, packed).otherwise(F.raise_error(F.format_string("analysis id %s needs over 12 bits", analysis.cast("string"))).cast("long"))
+
+
+def instance_analysis(instance: Column) -> Column:
+    return F.shiftrightunsigned(instance, 32).bitwiseAND((1 << 12) - 1)
+
+
+def instance_function(instance: Column) -> Column:
+    return instance.bitwiseAND((1 << 32) - 1)
+
+
 def fact_get(fact: Column, field: str) -> Column:
     shift, bits = FACT_BITS[field]
     return F.shiftrightunsigned(fact, shift).bitwiseAND((1 << bits) - 1)

@@ -23,6 +23,12 @@ def join(a: DataFrame, b: DataFrame, keys: Sequence[str], combine: Callable[[Dat
     return combine(a.join(other, list(keys)))
 
 
+def widen(a: DataFrame, b: DataFrame, keys: Sequence[str], combine: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Keys of either side; ``combine`` gets the joined rows (b's values end in _b, null where a side lacks the key, which is top)."""
+    other = b.select(*keys, *[F.col(c).alias(f"{c}_b") for c in b.columns if c not in keys])
+    return combine(a.join(other, list(keys), "full"))
+
+
 def set_strong(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """New values replace old ones."""
     return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new)
@@ -110,6 +116,16 @@ def pair(op: Callable[[Column, Column], Column], a_in: Column, a_out: Column, b_
     return F.struct(op(a_in, b_in).alias("in"), op(a_out, b_out).alias("out"))
 
 
+def pair_update(facts: DataFrame, e: DataFrame, fn: Sequence[str], values: Sequence[str], aggs: Sequence[Column], *, backward: bool = False) -> DataFrame:
+    """(fn, node, values): the IN of nodes from the OUT of those before them (``backward``: OUT from the IN of those after).
+
+    ``facts``: (fn, node, point, values), ``e``: (fn, src, dst); several met by the aggregates.
+    """
+    fn, (near, far), point = list(fn), ("dst", "src") if backward else ("src", "dst"), "IN" if backward else "OUT"
+    side = facts.where(F.col("point") == point).select(*fn, F.col("node").alias(near), *values)
+    return e.select(*fn, "src", "dst").distinct().join(side, [*fn, near]).groupBy(*fn, F.col(far).alias("node")).agg(*aggs)
+
+
 def scoped(m: DataFrame, scope: DataFrame, key: Sequence[str]) -> DataFrame:
     """The map without keys outside a scope."""
     return m.join(scope.select(*key).distinct(), list(key), "left_semi")

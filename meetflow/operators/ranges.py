@@ -41,6 +41,20 @@ def join(alo: Column, ahi: Column, blo: Column, bhi: Column) -> tuple[Column, Co
     return F.when(some, lo), F.when(some, hi)
 
 
+def text(lo: Column, hi: Column, full_lo: Column | None = None, full_hi: Column | None = None) -> Column:
+    """``[lo, hi]``; nil_Top for the empty range, Bot for a kind's full range if its bounds are given."""
+    out = F.when(is_top(lo, hi), "nil_Top")
+    if full_lo is not None:
+        out = out.when(is_bottom(lo, hi, full_lo, full_hi), "Bot")
+    return out.otherwise(F.concat(F.lit("["), lo.cast("string"), F.lit(", "), hi.cast("string"), F.lit("]")))
+
+
+def of_kind(akind: Column, bkind: Column, value: Column) -> Column:
+    """A value from two ranges of one kind; raises where the kinds differ."""
+    return F.when(akind.eqNullSafe(bkind), value).otherwise(
+        F.raise_error(F.format_string("ranges of kinds %s and %s", akind.cast("string"), bkind.cast("string"))).cast("long"))
+
+
 def widen(alo: Column, ahi: Column, blo: Column, bhi: Column, full_lo: Column, full_hi: Column) -> tuple[Column, Column]:
     """The full range where b contains a and more, else the hull; equal ranges stay."""
     grew = ~is_top(alo, ahi) & weaker(blo, bhi, alo, ahi) & ~equal(alo, ahi, blo, bhi)

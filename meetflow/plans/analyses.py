@@ -99,30 +99,35 @@ def strong_liveness(effects: DataFrame, e: DataFrame, fn: Sequence[str] = (), *,
         return close_rows(seed, lambda d: before(d.join(hop, [*fn, "node"]).select(*fn, F.col("_prev").alias("node"), "var")))
 
 
-def points_to(address: DataFrame, copy: DataFrame, load: DataFrame | None = None, store: DataFrame | None = None) -> DataFrame:
+def points_to(address: DataFrame, copy: DataFrame, load: DataFrame | None = None, store: DataFrame | None = None, most_rounds: int = 1000) -> DataFrame:
     """(p, x): what pointers may point to, over all program points together.
 
     address (p, x): p = &x; copy (p, q): p = q, also p = q + i; load (p, q):
-    p = *q; store (p, q): *p = q.  Loads and stores read two facts at once, so
-    each round also joins new rows with all known ones through copy edges found
-    so far.
+    p = *q; store (p, q): *p = q.  Loads and stores are copy edges that what is
+    found so far opens: each round closes what the last round's new edges add.
     """
     if load is None and store is None:
         hop = copy.select("p", F.col("q").alias("_q")).distinct()
         with Tables(address.sparkSession) as t:
             hop = t.keep(hop)
             return close_rows(address.select("p", "x"), lambda d: d.withColumnRenamed("p", "_q").join(hop, "_q").select("p", "x"))
-    found = points_to(address, copy)
-    while True:
-        more = copy.select("p", "q")
-        if load is not None:
-            more = more.unionByName(load.withColumnRenamed("q", "_q").join(found.select(F.col("p").alias("_q"), F.col("x").alias("q")), "_q").select("p", "q"))
-        if store is not None:
-            more = more.unionByName(store.withColumnRenamed("p", "_p").join(found.select(F.col("p").alias("_p"), F.col("x").alias("p")), "_p").select("p", "q"))
-        grown = points_to(address, more.distinct())
-        if grown.count() == found.count():
-            return found
-        found = grown
+    with Tables(address.sparkSession) as t:
+        edges = t.keep(copy.select("p", F.col("q").alias("_q")).distinct())
+        found, known = points_to(address, copy), None
+        for _ in range(most_rounds):
+            more = edges.limit(0)
+            if load is not None:
+                more = more.unionByName(load.withColumnRenamed("q", "_p").join(found.withColumnRenamed("p", "_p"), "_p").select("p", F.col("x").alias("_q")))
+            if store is not None:
+                more = more.unionByName(store.select(F.col("p").alias("_p"), F.col("q").alias("_q")).join(found.withColumnRenamed("p", "_p"), "_p").select(F.col("x").alias("p"), "_q"))
+            added, path, n = t.put(more.distinct().join(edges, ["p", "_q"], "left_anti"))
+            if not n:
+                return found
+            edges = t.keep(edges.unionByName(added))
+            known = found
+            new = known.withColumnRenamed("p", "_q").join(added, "_q").select("p", "x")
+            found = close_rows(new, lambda d: d.withColumnRenamed("p", "_q").join(edges, "_q").select("p", "x"), known=known)
+    raise RuntimeError(f"points-to: new edges after {most_rounds} rounds")
 
 
 def interval(assigns: DataFrame, e: DataFrame, fn: Sequence[str] = (), *, entry: DataFrame, full: tuple[int, int],

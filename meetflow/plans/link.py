@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ids import numbered
+
 
 def link(units: Sequence[DataFrame], name: str, defined: str) -> DataFrame:
     """One row for each global name of all units: a definition before a declaration, then the first unit."""
@@ -20,8 +22,11 @@ def link(units: Sequence[DataFrame], name: str, defined: str) -> DataFrame:
 
 def call_arguments(calls: DataFrame, keys: Sequence[str], args: str = "args") -> DataFrame:
     """(site, pos, arg): a site for each call, numbered over the keys."""
-    w = Window.orderBy(*keys) if len(keys) == 1 else Window.partitionBy(*keys[:-1]).orderBy(keys[-1])
-    return calls.withColumn("site", F.row_number().over(w)).select(*keys, "site", F.posexplode(args).alias("pos", "arg"))
+    if len(keys) == 1:
+        sites = numbered(calls, keys, "site")
+    else:
+        sites = calls.withColumn("site", F.row_number().over(Window.partitionBy(*keys[:-1]).orderBy(keys[-1])))
+    return sites.select(*keys, "site", F.posexplode(args).alias("pos", "arg"))
 
 
 def call_graph(calls: DataFrame, address_taken: DataFrame | None = None) -> DataFrame:

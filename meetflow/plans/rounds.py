@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which all executors share; a temporary one only where none is set."""
+    """The session's checkpoint folder, which all executors share; a temporary one only where none is set and all runs on this machine."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="meetflow-"))
+        top = spark.conf.get("spark.checkpoint.dir", None)
+        if not top and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(top or tempfile.mkdtemp(prefix="meetflow-"))
     return sc.getCheckpointDir()
 
 
@@ -57,45 +60,62 @@ class Tables:
 PATHS = 12
 
 
-def close_rows(seed: DataFrame, step: Callable[[DataFrame], DataFrame], most_rounds: int = 10_000) -> DataFrame:
+#: Steps of one round of ``close_rows`` once chains prove long: rounds, and joins with known rows, are so many times fewer.
+HOPS, SHORT_ROUNDS = 4, 6
+
+
+def close_rows(seed: DataFrame, step: Callable[[DataFrame], DataFrame], most_rounds: int = 10_000, *, known: DataFrame | None = None) -> DataFrame:
     """Least set of rows that holds ``seed`` and is closed under ``step`` (semi-naive).
 
     ``step`` must distribute over union: it sees only the rows new in the last
-    round.  Right for sets of facts, where meet is union.  Raises when
+    round.  Right for sets of facts, where meet is union.  After some rounds each
+    takes several steps before new rows are set apart from known ones.  ``known``:
+    rows that are closed already, to which ``seed`` adds.  Raises when
     ``most_rounds`` do not suffice; a partial result is never returned.
     """
     t = Tables(seed.sparkSession)
     names = seed.columns
-    delta, path, n = t.put(seed.distinct())
-    paths = [path]
-    for _ in range(most_rounds):
+
+    def new(rows: DataFrame, old: DataFrame) -> DataFrame:
+        k = old.select(*[F.col(c).alias(f"_k_{c}") for c in names])
+        same = None
+        for c in names:
+            ok = rows[c].eqNullSafe(k[f"_k_{c}"])
+            same = ok if same is None else same & ok
+        return rows.join(k, same, "left_anti")
+
+    paths = [] if known is None else [t.put(known.select(*names))[1]]
+    first = seed.distinct()
+    delta, path, n = t.put(new(first, t.read(seed.schema, paths)) if paths else first)
+    paths.append(path)
+    for done in range(most_rounds):
         if not n:
             return t.read(seed.schema, paths)
         if len(paths) > PATHS:  # the last is delta, which is still read
             joined = t.put(t.read(seed.schema, paths[:-1]))[1]
             t.drop(*paths[:-1])
             paths = [joined, paths[-1]]
-        known = t.read(seed.schema, paths)
-        same = None
-        cand = step(delta).select(*names).distinct()
-        k = known.select(*[F.col(c).alias(f"_k_{c}") for c in names])
-        for c in names:
-            ok = cand[c].eqNullSafe(k[f"_k_{c}"])
-            same = ok if same is None else same & ok
-        delta, path, n = t.put(cand.join(k, same, "left_anti"))
+        cand = last = step(delta).select(*names).distinct()
+        for _ in range(HOPS - 1 if done >= SHORT_ROUNDS else 0):
+            last = step(last).select(*names).distinct()
+            cand = cand.unionByName(last)
+        if last is not cand:
+            cand = cand.distinct()
+        delta, path, n = t.put(new(cand, t.read(seed.schema, paths)))
         paths.append(path)
     raise RuntimeError(f"no fixed point after {most_rounds} rounds")
 
 
 def close_values(seed: DataFrame, keys: Sequence[str], values: Sequence[str], meet: Sequence[Column],
                  step: Callable[[DataFrame, DataFrame], DataFrame], *, widen: Callable[[DataFrame], DataFrame] | None = None,
-                 widen_after: int = 8, most_rounds: int = 10_000) -> DataFrame:
+                 widen_after: int = 8, most_rounds: int = 10_000, replace: bool = False) -> DataFrame:
     """Fixed point of values per key.  A missing key is top.
 
     ``step(facts, changed)`` gives candidate rows (keys, values) for the keys
     that depend on ``changed`` (keys whose value moved in the last round); it may
     read all ``facts``, so transfers need not distribute over meet.  Candidates
-    meet the old values by the aggregates ``meet``.  After ``widen_after`` rounds
+    meet the old values by the aggregates ``meet``, in the same pass that compares
+    them (``replace``: they take their place, candidates of one key met alone).  After ``widen_after`` rounds
     ``widen`` gets rows with values and their predecessors (``old_`` names, null
     if there were none) and returns the same columns with values widened.
     """
@@ -106,9 +126,18 @@ def close_values(seed: DataFrame, keys: Sequence[str], values: Sequence[str], me
         facts = merged.select(*keys, *values)
         if not moves:
             return facts
-        both = step(facts, merged.where("_moved").select(*keys)).select(*keys, *values).unionByName(facts).groupBy(*keys).agg(*meet)
-        old = facts.select(*keys, *[F.col(v).alias(f"old_{v}") for v in values], F.lit(True).alias("_had"))
-        both = both.join(old, keys, "left")
+        cand = step(facts, merged.where("_moved").select(*keys)).select(*keys, *values)
+        old = facts.select("*", *[F.col(v).alias(f"old_{v}") for v in values], F.lit(True).alias("_had"))
+        if replace:
+            cand = cand.groupBy(*keys).agg(*meet)
+            same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+            other = old.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[f"old_{v}" for v in values], "_had")
+            fresh = cand.join(other, same, "left").select(*keys, *values, *[f"old_{v}" for v in values], "_had")
+            gone = cand.select(*[F.col(k).alias(f"_k_{k}") for k in keys])
+            both = fresh.unionByName(old.join(gone, same, "left_anti"))
+        else:
+            rows = cand.unionByName(old, allowMissingColumns=True).groupBy(*keys)
+            both = rows.agg(*meet, *[F.first(f"old_{v}", ignorenulls=True).alias(f"old_{v}") for v in values], F.max("_had").alias("_had"))
         if widen and n >= widen_after:
             both = widen(both)
         moved = F.col("_had").isNull()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kinds import EdgeLabel, EntityKind, ExprKind, InsnKind, ValueKind
 from ..functions.scalars import is_array, is_pointer, is_record, is_variable, literal_text, lookup, simple_name, symbol
+from ..plans.rounds import Tables
 
 X, I = ExprKind, InsnKind
 
@@ -58,19 +59,33 @@ def insn_text(insn: DataFrame, operands: DataFrame) -> DataFrame:
     return out.withColumn("text", text).select(*insn.columns, "text")
 
 
-def type_text(data_type: DataFrame, depth: int = 6) -> DataFrame:
-    """(tu_id, type_id, text): types written out to ``depth`` pointers, arrays or functions; deeper ones end in ``...``."""
-    kind = lookup({m: m.name.lower() for m in ValueKind}, F.col("vkind"), F.lit("other"))
-    base = data_type.select("tu_id", "type_id", "vkind", "len", "sub_type_eid", "type_name",
-                            F.when(is_record(F.col("vkind")), F.concat_ws(" ", kind, F.col("type_name"))).otherwise(kind).alias("_own"))
-    nested = is_pointer(F.col("vkind")) | is_array(F.col("vkind"))
-    out = base.select("tu_id", "type_id", F.when(nested, F.lit("...")).otherwise(F.col("_own")).alias("text"))
-    for _ in range(depth):
-        sub = out.select("tu_id", F.col("type_id").alias("sub_type_eid"), F.col("text").alias("_sub"))
-        v, s = F.col("vkind"), F.coalesce("_sub", F.lit("int32"))  # type 0 is a 32-bit integer
-        text = F.when(is_pointer(v), F.concat(s, F.lit("*"))).when(is_array(v), F.concat(s, F.lit("["), F.coalesce(F.col("len").cast("string"), F.lit("")), F.lit("]"))).otherwise(F.col("_own"))
-        out = base.join(sub, ["tu_id", "sub_type_eid"], "left").select("tu_id", "type_id", text.alias("text"))
-    return out
+def type_text(data_type: DataFrame, depth: int = 64) -> DataFrame:
+    """(tu_id, type_id, text): types written out.
+
+    A type's text is the kind its chain of pointers and arrays ends in, and one
+    suffix for each link.  Chains are followed by doubling (after k rounds 2^k
+    links), up to ``depth`` links; longer ones, and those that lead back to
+    themselves, end in ``...``.
+    """
+    v, t = F.col("vkind"), Tables(data_type.sparkSession)
+    kind = lookup({m: m.name.lower() for m in ValueKind}, v, F.lit("other"))
+    nested = is_pointer(v) | is_array(v)
+    own = F.when(is_record(v), F.concat_ws(" ", kind, F.col("type_name"))).otherwise(kind)
+    link = F.when(is_pointer(v), F.lit("*")).when(is_array(v), F.concat(F.lit("["), F.coalesce(F.col("len").cast("string"), F.lit("")), F.lit("]")))
+    # (to): the type a chain has reached; null once it ended
+    rows = data_type.select("tu_id", "type_id", F.when(nested, F.coalesce("sub_type_eid", F.lit(0))).alias("to"),
+                            F.when(nested, link).otherwise(F.lit("")).alias("tail"), F.when(~nested, own).alias("end"))
+    rounds = max(1, (depth - 1).bit_length())
+    for _ in range(rounds + 1):
+        rows = t.keep(rows)
+        nxt = rows.select("tu_id", F.col("type_id").alias("to"), F.col("to").alias("_to"), F.col("tail").alias("_tail"), F.col("end").alias("_end"), F.lit(True).alias("_known"))
+        j = rows.join(nxt, ["tu_id", "to"], "left")
+        open_ = F.col("to").isNotNull()
+        unknown = open_ & F.col("_known").isNull()  # type 0, or a type that isn't there: a 32-bit integer
+        rows = j.select("tu_id", "type_id", F.when(open_ & ~unknown, F.col("_to")).alias("to"),
+                        F.when(open_ & ~unknown, F.concat("_tail", "tail")).otherwise(F.col("tail")).alias("tail"),
+                        F.when(unknown, F.lit("int32")).when(open_, F.col("_end")).otherwise(F.col("end")).alias("end"))
+    return rows.select("tu_id", "type_id", F.concat(F.coalesce("end", F.lit("...")), F.when(F.col("to").isNull(), F.col("tail")).otherwise(F.lit(""))).alias("text"))
 
 
 def globals_text(entity: DataFrame, named: DataFrame, types: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -22,23 +22,34 @@ def analyse_stream(rows: DataFrame, fn: Sequence[str], version: str, analyse: Ca
     ``rows`` is a streaming DataFrame of instruction rows; all rows of a function's
     version come in one batch.  Facts carry the version and the batch, so
     ``current`` picks each function's last result; functions are independent, so
-    no state but the table is kept.  A batch that is run again overwrites its own
-    folder (exactly once).
+    no state but the tables is kept.  The versions analysed go to ``target`` with
+    ``-versions`` behind it, so a version without facts counts, too.  A batch that
+    is run again overwrites its own folders (exactly once).
     """
 
     def batch(df: DataFrame, number: int) -> None:
         new = latest(df, fn, version)
-        versions = new.select(*fn, version).distinct()
+        versions = new.select(*fn, version).distinct().withColumn("batch", F.lit(number).cast("long"))
+        versions.write.mode("overwrite").parquet(f"{target}-versions/number={number}")
+        versions = versions.drop("batch")
         facts = analyse(new.drop(version)).join(versions, list(fn))
         facts.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{target}/number={number}")
 
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def current(facts: DataFrame, fn: Sequence[str], version: str) -> DataFrame:
-    """The facts of each function's newest version, from the last batch that had it."""
-    w = Window.partitionBy(*fn).orderBy(F.col(version).desc(), F.col("batch").desc())
-    return facts.withColumn("_r", F.dense_rank().over(w)).where("_r = 1").drop("_r")
+def current(facts: DataFrame, fn: Sequence[str], version: str, versions: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """The facts of each function's newest version, from the last batch that had it.
+
+    ``versions``: (fn, version, batch), all that were analysed; a newest version
+    without facts leaves the function without any.  ``gone``: (fn) of functions
+    that were deleted.
+    """
+    fn = list(fn)
+    newest = versions.groupBy(*fn).agg(F.max(F.struct(version, "batch")).alias("_m")).select(*fn, F.col(f"_m.{version}").alias(version), F.col("_m.batch").alias("batch"))
+    if gone is not None:
+        newest = newest.join(gone.select(*fn), fn, "left_anti")
+    return facts.join(newest, [*fn, version, "batch"], "left_semi")
 
 
 def windowed_counts(events: DataFrame, time: str, keys: Sequence[str], every: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -119,7 +119,7 @@ def test_stream(spark, tmp_path):
     def go():
         q = analyse_stream(spark.readStream.schema(schema).parquet(str(src)), ["fn"], "version", count, out, str(tmp_path / "cp"))
         q.awaitTermination(120)
-        return {r["fn"]: (r["version"], r["n"]) for r in current(spark.read.parquet(out), ["fn"], "version").collect()}
+        return {r["fn"]: (r["version"], r["n"]) for r in current(spark.read.parquet(out), ["fn"], "version", spark.read.parquet(out + "-versions")).collect()}
 
     write([("f", 1, i, 7) for i in range(3)] + [("g", 1, 0, 7)])
     assert go() == {"f": (1, 3), "g": (1, 1)}
