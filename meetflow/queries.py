@@ -1,8 +1,8 @@
 """Registered queries of the analysis engine over the test tables, each with its SQL.
 
 Graph E: a user's events in order of time.  Graph P: parts that follow each other
-in an order, of returned lines of more than 30 pieces.  Moduli of ids stand for
-what an instruction does or which set an id is in; all rows of a graph take part.
+in an order.  Both hold all rows of their tables.  Moduli of ids stand for what an
+instruction does or which set an id is in; searches start at parts of one size.
 """
 
 from __future__ import annotations
@@ -14,31 +14,14 @@ from .functions import scalars as S
 from .functions.kinds import SYMBOLS, ExprKind
 from .operators import graph, ids, maps, ranges, sets
 from .plans import analyses, link, views
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from .registry import QUERIES, SQL, query, table  # noqa: F401
 
 # inputs
 
 E_SQL = """ev AS (SELECT event_id, user_id, event_type, value, CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 AS var,
  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events)"""
 P_SQL = """pl AS (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst
- FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 30), pe AS (SELECT DISTINCT src, dst FROM pl WHERE dst IS NOT NULL)"""
+ FROM lineitem), st AS (SELECT p_partkey AS node FROM part WHERE p_size = 50), pe AS (SELECT DISTINCT src, dst FROM pl WHERE dst IS NOT NULL)"""
 
 
 def events_chain(spark, sf_dir) -> DataFrame:
@@ -48,11 +31,15 @@ def events_chain(spark, sf_dir) -> DataFrame:
 
 
 def parts_graph(spark, sf_dir) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity > 30")
+    li = table(spark, sf_dir, "lineitem")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
     return li.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")).where("dst is not null").distinct()
 
 
+def starts(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "part").where("p_size = 50").select(F.col("p_partkey").alias("node"))
+
+
 # range lattice
 
 @query("SELECT l_partkey, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY l_partkey")
@@ -102,12 +89,12 @@ def range_leq(spark, sf_dir):
 
 # sets
 
-SETS_SQL = """WITH a AS (SELECT DISTINCT o_orderpriority, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity > 45), x AS
+SETS_SQL = """WITH a AS (SELECT DISTINCT o_orderpriority, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey), x AS
  (SELECT l_partkey AS part FROM a WHERE o_orderpriority = '1-URGENT'), y AS (SELECT l_partkey AS part FROM a WHERE o_orderpriority = '2-HIGH') """
 
 
 def part_sets(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    j = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem").where("l_quantity > 45"), F.col("o_orderkey") == F.col("l_orderkey"))
+    j = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     return tuple(j.where(F.col("o_orderpriority") == p).select(F.col("l_partkey").alias("part")).distinct() for p in ("1-URGENT", "2-HIGH"))
 
 
@@ -156,14 +143,14 @@ def may_set_meet(spark, sf_dir):
 
 # maps
 
-MAPS_SQL = """WITH a AS (SELECT l_partkey AS part, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem WHERE l_linestatus = 'O' AND l_quantity > 20 GROUP BY 1),
- b AS (SELECT l_partkey AS part, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem WHERE l_linestatus = 'F' AND l_quantity < 30 GROUP BY 1) """
+MAPS_SQL = """WITH a AS (SELECT l_partkey AS part, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1),
+ b AS (SELECT l_partkey AS part, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1) """
 
 
 def part_maps(spark, sf_dir) -> list[DataFrame]:
     li = table(spark, sf_dir, "lineitem")
     return [li.where(c).groupBy(F.col("l_partkey").alias("part")).agg(F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"))
-            for c in ("l_linestatus = 'O' and l_quantity > 20", "l_linestatus = 'F' and l_quantity < 30")]
+            for c in ("l_linestatus = 'O'", "l_linestatus = 'F'")]
 
 
 @query(MAPS_SQL + "SELECT part, min(lo) AS lo, max(hi) AS hi FROM (SELECT * FROM a UNION ALL SELECT * FROM b) u GROUP BY part")
@@ -183,10 +170,11 @@ def map_join(spark, sf_dir):
 @query(MAPS_SQL + """SELECT coalesce(a.part, b.part) AS part, CASE WHEN a.part IS NOT NULL AND b.part IS NOT NULL AND b.lo <= a.lo AND b.hi >= a.hi AND NOT (a.lo = b.lo AND a.hi = b.hi) THEN 0.0 ELSE least(a.lo, b.lo) END AS lo,
  CASE WHEN a.part IS NOT NULL AND b.part IS NOT NULL AND b.lo <= a.lo AND b.hi >= a.hi AND NOT (a.lo = b.lo AND a.hi = b.hi) THEN 50.0 ELSE greatest(a.hi, b.hi) END AS hi FROM a FULL JOIN b ON a.part = b.part""")
 def map_widen(spark, sf_dir):
-    a, b = part_maps(spark, sf_dir)
-    j = a.join(b.select("part", F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b")), "part", "full")
-    lo, hi = ranges.widen(*[F.col(c) for c in ("lo", "hi", "lo_b", "hi_b")], F.lit(0.0), F.lit(50.0))
-    return j.select("part", lo.alias("lo"), hi.alias("hi"))
+    def combine(j):
+        lo, hi = ranges.widen(*[F.col(c) for c in ("lo", "hi", "lo_b", "hi_b")], F.lit(0.0), F.lit(50.0))
+        return j.select("part", lo.alias("lo"), hi.alias("hi"))
+
+    return maps.widen(*part_maps(spark, sf_dir), ["part"], combine)
 
 
 CUST_SQL = """WITH o AS (SELECT c_custkey AS k, c_acctbal AS lo, c_acctbal AS hi FROM customer), n AS
@@ -237,30 +225,30 @@ def cfg_blocks(spark, sf_dir):
     return graph.block_table(placed, ["user_id"]).select("user_id", "bb", F.col("first_seq").cast("bigint").alias("first_seq"), F.col("last_seq").cast("bigint").alias("last_seq"), "size")
 
 
-@query(f"WITH {P_SQL} SELECT src, dst FROM pe")
-def cfg_edges(spark, sf_dir):
-    return parts_graph(spark, sf_dir)
+@query(f"WITH RECURSIVE {P_SQL}, r(node) AS (SELECT node FROM st UNION SELECT dst FROM pe JOIN r ON src = node) SELECT node FROM r")
+def reach_forward(spark, sf_dir):
+    return analyses.reach(parts_graph(spark, sf_dir), starts(spark, sf_dir))
 
 
-@query(f"""WITH {P_SQL}, n AS (SELECT src AS node FROM pe UNION SELECT dst FROM pe) SELECT node, 'predecessor' AS lacks FROM n WHERE node NOT IN (SELECT dst FROM pe)
- UNION ALL SELECT node, 'successor' FROM n WHERE node NOT IN (SELECT src FROM pe)""")
-def cfg_invalid(spark, sf_dir):
-    e = parts_graph(spark, sf_dir)
-    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    none = nodes.where("false")
-    return graph.invalid_nodes(nodes, e, none, none, ["node"])
+@query(f"WITH RECURSIVE {P_SQL}, r(node) AS (SELECT node FROM st UNION SELECT src FROM pe JOIN r ON dst = node) SELECT node FROM r")
+def reach_backward(spark, sf_dir):
+    return analyses.reach(parts_graph(spark, sf_dir), starts(spark, sf_dir), backward=True)
 
 
-@query(f"WITH RECURSIVE {P_SQL}, r(node) AS (SELECT src FROM pe WHERE src <= 20 UNION SELECT dst FROM pe JOIN r ON src = node) SELECT node FROM r")
-def reach_forward(spark, sf_dir):
-    e = parts_graph(spark, sf_dir)
-    return analyses.reach(e, e.where("src <= 20").select(F.col("src").alias("node")))
+@query(f"""WITH RECURSIVE {P_SQL}, c AS (SELECT src, dst FROM pe WHERE src < dst AND dst - src <= 10), r(node) AS (SELECT node FROM st UNION SELECT dst FROM c JOIN r ON src = node) SELECT node FROM r""")
+def reach_chains(spark, sf_dir):
+    """Along long, thin paths: edges to a part at most ten numbers on."""
+    return analyses.reach(parts_graph(spark, sf_dir).where("src < dst and dst - src <= 10"), starts(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {P_SQL}, r(node) AS (SELECT dst FROM pe WHERE dst <= 20 UNION SELECT src FROM pe JOIN r ON dst = node) SELECT node FROM r")
-def reach_backward(spark, sf_dir):
-    e = parts_graph(spark, sf_dir)
-    return analyses.reach(e, e.where("dst <= 20").select(F.col("dst").alias("node")), backward=True)
+@query(f"WITH RECURSIVE {P_SQL}, b AS (SELECT p_partkey AS node FROM part WHERE p_size > 3), r(node) AS (SELECT node FROM st UNION SELECT dst FROM pe JOIN r ON src = node WHERE src NOT IN (SELECT node FROM b) OR src IN (SELECT node FROM st)) SELECT node FROM r")
+def reach_barrier(spark, sf_dir):
+    """Parts larger than 3 that are no starts pass nothing on."""
+    from .plans.views import barrier
+
+    e, st = parts_graph(spark, sf_dir), starts(spark, sf_dir)
+    closed = table(spark, sf_dir, "part").where("p_size > 3").select(F.col("p_partkey").alias("node")).join(st, "node", "left_anti")
+    return analyses.reach(barrier(e, closed), st)
 
 
 # analyses
@@ -290,26 +278,47 @@ def strong_live_variables(spark, sf_dir):
     return analyses.strong_liveness(eff, e)
 
 
-@query(f"""WITH RECURSIVE {P_SQL}, d AS (SELECT * FROM pe WHERE src < dst), f(node, v) AS (SELECT DISTINCT n, n % 97 FROM (SELECT src AS n FROM d UNION SELECT dst FROM d) x WHERE n % 5 = 0 UNION
- SELECT dst, least(v + 1, 1000) FROM d JOIN f ON src = node WHERE dst % 5 <> 0) SELECT node, min(v) AS lo, max(v) AS hi FROM f GROUP BY node""")
+@query(f"""WITH RECURSIVE {P_SQL}, n AS (SELECT src AS n FROM pe UNION SELECT dst FROM pe), f(node, v) AS (SELECT n, n % 8 FROM n WHERE n % 5 = 0 UNION
+ SELECT dst, unnest(CASE WHEN v < 15 THEN [v + 1] ELSE [0, 15] END) FROM pe JOIN f ON src = node WHERE dst % 5 <> 0) SELECT node, min(v) AS lo, max(v) AS hi FROM f GROUP BY node""")
 def interval_forward(spark, sf_dir):
-    """On forward edges: n mod 5 = 0 sets x = n mod 97, other nodes add 1."""
-    e = parts_graph(spark, sf_dir).where("src < dst")
+    """On the whole graph, loops and all, over four bits: n mod 5 = 0 sets x = n mod 8, other nodes add 1."""
+    e = parts_graph(spark, sf_dir)
     n = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    const, var, none = F.expr("node % 97"), F.lit("x"), F.lit(None)
+    const, var, none = F.expr("node % 8"), F.lit("x"), F.lit(None)
     cols = lambda op, a_var, a, b: [F.lit(int(op)).alias("xkind"), a_var.cast("string").alias("a_var"), a.cast("bigint").alias("a_const"), none.cast("string").alias("b_var"), b.cast("bigint").alias("b_const"), F.lit(False).alias("weak")]
     a = n.where("node % 5 = 0").select("node", var.alias("var"), *cols(ExprKind.VAL, none, const, none))
     a = a.unionByName(n.where("node % 5 <> 0").select("node", var.alias("var"), *cols(ExprKind.ADD, var, none, F.lit(1))))
     entry = spark.createDataFrame([], "node bigint, var string, lo bigint, hi bigint")
-    return analyses.interval(a, e, entry=entry, full=(-(2**31), 2**31 - 1), widen_after=1000).select("node", "lo", "hi")
+    return analyses.interval(a, e, entry=entry, full=(0, 15), widen_after=1000).select("node", "lo", "hi")
+
 
+PTR_SQL = """pv AS (SELECT user_id * 1000 + CAST(json_extract_string(props, '$.k') AS BIGINT) AS p, event_type AS t, user_id, ts, event_id FROM events),
+ pc AS (SELECT DISTINCT p, q, t FROM (SELECT p, t, lead(p) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS q FROM pv) x WHERE q IS NOT NULL)"""
 
-@query(f"WITH RECURSIVE {P_SQL}, t(p, x) AS (SELECT DISTINCT n, n FROM (SELECT src AS n FROM pe UNION SELECT dst FROM pe) y WHERE n % 50 = 0 UNION SELECT dst, x FROM pe JOIN t ON src = p) SELECT p, x FROM t")
+
+def pointers(spark, sf_dir) -> dict[str, DataFrame]:
+    """A user's variables; each event relates its variable to the next one's: views take addresses, clicks and signups copy, purchases load, errors store."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    v = table(spark, sf_dir, "events").withColumn("p", F.col("user_id") * 1000 + F.get_json_object("props", "$.k").cast("bigint"))
+    v = v.select("p", F.lead("p").over(w).alias("q"), "event_type").where("q is not null")
+    pick = lambda *types: v.where(F.col("event_type").isin(*types)).select("p", "q").distinct()
+    return {"address": pick("view").withColumnRenamed("q", "x"), "copy": pick("click", "signup"), "load": pick("purchase"), "store": pick("error")}
+
+
+@query(f"WITH RECURSIVE {PTR_SQL}, t(p, x) AS (SELECT p, q FROM pc WHERE t = 'view' UNION SELECT pc.p, x FROM pc JOIN t ON pc.q = t.p WHERE pc.t IN ('click', 'signup')) SELECT p, x FROM t")
 def points_to(spark, sf_dir):
-    """Every fiftieth part's address is taken; edges copy."""
-    e = parts_graph(spark, sf_dir)
-    n = e.select(F.col("src").alias("p")).union(e.select("dst")).distinct().where("p % 50 = 0")
-    return analyses.points_to(n.select("p", F.col("p").alias("x")), e.select(F.col("dst").alias("p"), F.col("src").alias("q")))
+    c = pointers(spark, sf_dir)
+    return analyses.points_to(c["address"], c["copy"])
+
+
+@query(f"""WITH RECURSIVE {PTR_SQL}, t(p, x) USING KEY (p, x) AS (SELECT p, q AS x FROM pc WHERE t = 'view' UNION SELECT p, x FROM (
+ SELECT c.p, a.x FROM pc c JOIN recurring.t a ON c.q = a.p WHERE c.t IN ('click', 'signup') UNION
+ SELECT c.p, b.x FROM pc c JOIN recurring.t a ON c.q = a.p JOIN recurring.t b ON a.x = b.p WHERE c.t = 'purchase' UNION
+ SELECT a.x AS p, b.x FROM pc c JOIN recurring.t a ON c.p = a.p JOIN recurring.t b ON c.q = b.p WHERE c.t = 'error') n
+ WHERE NOT EXISTS (SELECT 1 FROM recurring.t o WHERE o.p = n.p AND o.x = n.x)) SELECT p, x FROM t""")
+def points_to_memory(spark, sf_dir):
+    """With loads and stores."""
+    return analyses.points_to(**pointers(spark, sf_dir))
 
 
 # views
@@ -343,12 +352,12 @@ def view_condition(spark, sf_dir):
     return views.condition(e, known, ["src"])
 
 
-@query(f"""WITH RECURSIVE {P_SQL}, c AS (SELECT * FROM pe WHERE NOT (src % 4 = 0 AND dst % 2 = 0)), r(node) AS (SELECT src FROM c WHERE src <= 20 UNION SELECT dst FROM c JOIN r ON src = node)
+@query(f"""WITH RECURSIVE {P_SQL}, c AS (SELECT * FROM pe WHERE NOT (src % 4 = 0 AND dst % 2 = 0)), r(node) AS (SELECT node FROM st UNION SELECT dst FROM c JOIN r ON src = node)
  SELECT src, dst FROM c WHERE src IN (SELECT node FROM r) AND dst IN (SELECT node FROM r)""")
 def cascade_cut(spark, sf_dir):
     """A condition view cuts the graph, reachability over what is left cuts it again."""
     e = parts_graph(spark, sf_dir).where("not (src % 4 = 0 and dst % 2 = 0)")
-    return views.cascade(e, analyses.reach(e, e.where("src <= 20").select(F.col("src").alias("node"))))
+    return views.cascade(e, analyses.reach(e, starts(spark, sf_dir)))
 
 
 # calls and linking
@@ -438,12 +447,12 @@ def id_allocate(spark, sf_dir):
     return ids.allocate(table(spark, sf_dir, "part").select("p_brand", "p_partkey"), ["p_brand"], ["p_partkey"], 5)
 
 
-FREE_SQL = """WITH f AS (SELECT DISTINCT l_suppkey AS pool, l_partkey AS v FROM lineitem WHERE l_quantity > 10), g AS (SELECT pool, v, v - row_number() OVER (PARTITION BY pool ORDER BY v) AS i FROM f),
+FREE_SQL = """WITH f AS (SELECT DISTINCT l_suppkey AS pool, l_partkey AS v FROM lineitem), g AS (SELECT pool, v, v - row_number() OVER (PARTITION BY pool ORDER BY v) AS i FROM f),
  r AS (SELECT pool, min(v) AS lo, max(v) AS hi FROM g GROUP BY pool, i) """
 
 
 def freed(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").where("l_quantity > 10").select(F.col("l_suppkey").alias("pool"), F.col("l_partkey").alias("v"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("pool"), F.col("l_partkey").alias("v"))
 
 
 @query(FREE_SQL + "SELECT pool, lo, hi FROM r")
@@ -451,7 +460,7 @@ def id_free_ranges(spark, sf_dir):
     return ids.free_ranges(freed(spark, sf_dir), ["pool"], "v")
 
 
-@query("""WITH f AS (SELECT DISTINCT l_suppkey AS pool, l_partkey AS v FROM lineitem WHERE l_quantity > 10 AND l_partkey % 7 <> 3), g AS (SELECT pool, v, v - row_number() OVER (PARTITION BY pool ORDER BY v) AS i FROM f)
+@query("""WITH f AS (SELECT DISTINCT l_suppkey AS pool, l_partkey AS v FROM lineitem WHERE l_partkey % 7 <> 3), g AS (SELECT pool, v, v - row_number() OVER (PARTITION BY pool ORDER BY v) AS i FROM f)
  SELECT pool, min(v) AS lo, max(v) AS hi FROM g GROUP BY pool, i""")
 def id_reserve(spark, sf_dir):
     f = freed(spark, sf_dir)
@@ -478,3 +487,6 @@ def dot_graph(spark, sf_dir):
 def simple_names(spark, sf_dir):
     n = F.concat(F.lit("v:"), F.col("n_name"), F.lit(":x"), F.col("n_nationkey").cast("string"))
     return table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), S.simple_name(n).alias("short"))
+
+
+from . import program_queries  # noqa: E402, F401  registers more
