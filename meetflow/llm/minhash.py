@@ -23,6 +23,8 @@ SYMBOLS = CHUNKS * WIDTH
 SKETCH_ERRORS = 20
 #: Rows of a bucket, and rows or shingles of a cluster, compared in one task at once.
 BUCKET_ROWS, CLUSTER_ROWS, CLUSTER_SHINGLES = 1024, 512, 2_000_000
+#: Dropped rows, or hubs of large clusters, whose numbers are broadcast (a few MB); more are joined by shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def shingle_sets(words: Words, buf, off, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,6 +145,25 @@ def exact_links(batches, num: int, den: int):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
 
+def hub_links(batches, num: int, den: int):
+    """Links of a cluster's members with its hub, whose row comes first in every group (cluster, own block)."""
+    for t, begin in groups(batches, ["cluster", "_own"]):
+        c, raw = t.column("c").to_numpy(), t.column("set").to_pylist()
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo, hi in zip(begin[:-1], begin[1:]):
+            hub = np.frombuffer(raw[lo], U64)
+            size = np.array([len(x) // 8 for x in raw[lo + 1 : hi]], np.int64)
+            flat = np.concatenate([np.zeros(0, U64), *(np.frombuffer(x, U64) for x in raw[lo + 1 : hi])])
+            at = np.minimum(np.searchsorted(hub, flat), len(hub) - 1)
+            ends = np.cumsum(size)
+            total = np.concatenate([[0], np.cumsum(hub[at] == flat)])
+            shared = total[ends] - total[ends - size]
+            near = np.flatnonzero(den * shared >= num * (size + len(hub) - shared)) + lo + 1
+            a.append(c[near])
+            b.append(np.full(len(near), c[lo]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+
 def intersections(sets: list[np.ndarray], size: np.ndarray) -> np.ndarray:
     n = len(sets)
     if n == 2:
@@ -195,8 +216,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
     bucket's first member, or, in buckets where some member is far from it,
     comparing all members in blocks; only spanning links leave a task.  The
     components of these links are clusters; within a cluster all pairs are
-    compared on the whole sets (in blocks where it is large) and linked where
-    ``den*|A&B| >= num*|A|B||``; components of these exact links are the result.
+    compared on the whole sets and linked where ``den*|A&B| >= num*|A|B||``;
+    components of these exact links are the result.  In a cluster too large for
+    one task members are first compared with its hub: those near it are one
+    component already, and only the others are compared with all members, in
+    blocks, so a large group of near copies costs in proportion to its size.
     Sets are built again only for documents in clusters, found through a Bloom
     filter of at most 8 MB; nothing else is collected or broadcast.
 
@@ -230,8 +254,26 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
     total = inside.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all"))
     total = total.select("cluster", F.ceil(F.greatest(F.col("m") / CLUSTER_ROWS, F.col("all") / CLUSTER_SHINGLES)).alias("nb"))
     sized = inside.join(total, "cluster").select("c", "cluster", "nb")
-    whole = blocks(sets.join(sized, "c").dropDuplicates(["c"]), "nb", "c", ["cluster"])
-    links = whole.select("cluster", "_i", "_j", "c", "set").mapInArrow(lambda it: exact_links(it, num, den), "a long, b long")
+    inside = cut(sets.join(sized, "c").dropDuplicates(["c"]))
+    exact = lambda rows: rows.select("cluster", "_i", "_j", "c", "set").mapInArrow(lambda it: exact_links(it, num, den), "a long, b long")
+    links = exact(blocks(inside.where("nb = 1"), "nb", "c", ["cluster"]))
+
+    # large clusters: members near the hub are one component; only the others meet all members
+    large = inside.where("nb > 1").withColumn("_own", F.pmod(F.xxhash64(F.lit(3), "c"), F.col("nb")).cast("int"))
+    hub = cut(large.groupBy("cluster").agg(F.min("c").alias("_hub")))
+    members = large.join(F.broadcast(hub) if hub.count() <= BROADCAST_ROWS else hub, "cluster")
+    stars = members.where("c <> _hub").select("cluster", "_own", F.lit(1).alias("_side"), "c", "set")
+    stars = stars.unionByName(members.where("c = _hub").select("cluster", F.explode(F.sequence(F.lit(0), F.col("nb").cast("int") - 1)).alias("_own"), F.lit(0).alias("_side"), "c", "set"))
+    stars = stars.repartition("cluster", "_own").sortWithinPartitions("cluster", "_own", "_side").select("cluster", "_own", "c", "set")
+    near = cut(stars.mapInArrow(lambda it: hub_links(it, num, den), "a long, b long"))
+    far = cut(members.where("c <> _hub").join(near.select(F.col("a").alias("c")), "c", "left_anti").drop("_hub"))
+    blocks_of = far.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / CLUSTER_ROWS).cast("int").alias("_n"), F.max("nb").cast("int").alias("_m"))
+    far = far.join(blocks_of, "cluster").withColumn("_i", F.pmod(F.xxhash64(F.lit(5), "c"), F.col("_n")).cast("int"))
+    # a block of the others with a block of all members; their own rows come as members as well, and once is enough
+    one = far.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_m") - 1))).where("_j <> _own")
+    all_ = large.join(blocks_of, "cluster").withColumnRenamed("_own", "_j").withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    both = one.select("cluster", "_i", "_j", "c", "set").unionByName(all_.select("cluster", "_i", "_j", "c", "set"))
+    links = links.unionByName(near).unionByName(exact(both.repartition("cluster", "_i", "_j").sortWithinPartitions("cluster", "_i", "_j")))
     linked = components(links).select(F.col("v").alias("c"), "comp").join(classes.select("c", "rep"), "c")
     least = cut(linked.groupBy("comp").agg(F.min("rep").alias("component_id")))  # joined by a key that a large component shares
     named = linked.join(least, "comp").select("c", "component_id")
@@ -243,10 +285,6 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
                       F.coalesce(F.col("_id") == comp, comp.isNull()).alias("kept"))
 
 
-#: Dropped rows whose numbers are broadcast (a few MB); more are joined by shuffle.
-BROADCAST_ROWS = 500_000
-
-
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
     """One row of each component of near copies, all columns as they were.
 

@@ -79,6 +79,27 @@ def test_near_duplicates_in_parts(docs, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, shingle=2).collect()} == whole
 
 
+def test_large_cluster_against_brute_force(spark, monkeypatch):
+    """A chain of near texts (few near the hub) and a group of near copies, in blocks of three."""
+    monkeypatch.setattr(minhash, "CLUSTER_ROWS", 3)
+    rng = random.Random(41)
+    texts, w = [], prose(rng, 60).split()
+    for _ in range(24):
+        texts.append(" ".join(w))
+        w = w[:]
+        for k in rng.sample(range(60), 2):
+            w[k] = rng.choice(WORDS)
+    base = prose(rng, 80).split()
+    texts += [" ".join(base[:k] + [rng.choice(WORDS)] + base[k + 1 :]) for k in range(0, 80, 3)]
+    texts += [prose(rng, 40) for _ in range(10)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets = [shingles(t, 2) for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    want = union_find(range(len(sets)), pairs)
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates(d, shingle=2).collect()} == want
+    assert max(list(want.values()).count(x) for x in set(want.values())) > 10
+
+
 def test_keep_one_by_row(spark):
     """Null and repeated ids: a row is judged by its own text, and one row of each group stays."""
     rng = random.Random(21)
