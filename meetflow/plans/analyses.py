@@ -99,35 +99,45 @@ def strong_liveness(effects: DataFrame, e: DataFrame, fn: Sequence[str] = (), *,
         return close_rows(seed, lambda d: before(d.join(hop, [*fn, "node"]).select(*fn, F.col("_prev").alias("node"), "var")))
 
 
-def points_to(address: DataFrame, copy: DataFrame, load: DataFrame | None = None, store: DataFrame | None = None, most_rounds: int = 1000) -> DataFrame:
+def points_to(address: DataFrame, copy: DataFrame, load: DataFrame | None = None, store: DataFrame | None = None, most_rounds: int = 10_000) -> DataFrame:
     """(p, x): what pointers may point to, over all program points together.
 
     address (p, x): p = &x; copy (p, q): p = q, also p = q + i; load (p, q):
     p = *q; store (p, q): *p = q.  Loads and stores are copy edges that what is
-    found so far opens: each round closes what the last round's new edges add.
+    found opens: targets found and edges are rows of one table, and each round
+    joins the new ones of either with all of the other.
     """
     if load is None and store is None:
         hop = copy.select("p", F.col("q").alias("_q")).distinct()
         with Tables(address.sparkSession) as t:
             hop = t.keep(hop)
-            return close_rows(address.select("p", "x"), lambda d: d.withColumnRenamed("p", "_q").join(hop, "_q").select("p", "x"))
+            return close_rows(address.select("p", "x"), lambda d: d.withColumnRenamed("p", "_q").join(hop, "_q").select("p", "x"), most_rounds)
+
+    def target(p: str, x: str) -> list[Column]:
+        return [F.lit(False).alias("edge"), F.col(p).alias("p"), F.col(x).alias("x")]
+
+    def edge(p: str, q: str) -> list[Column]:
+        return [F.lit(True).alias("edge"), F.col(p).alias("p"), F.col(q).alias("x")]
+
+    def step(delta: DataFrame, known: DataFrame) -> DataFrame:
+        found = delta.where("not edge").select(F.col("p").alias("_p"), F.col("x").alias("_x"))
+        opened = delta.where("edge").select(F.col("p").alias("_to"), F.col("x").alias("_p"))
+        edges = known.where("edge").select(F.col("p").alias("_to"), F.col("x").alias("_p"))
+        targets = known.where("not edge").select(F.col("p").alias("_p"), F.col("x").alias("_x"))
+        out = found.join(edges, "_p").unionByName(targets.join(opened, "_p")).select(*target("_to", "_x"))
+        if load is not None:
+            out = out.unionByName(loads.join(found, "_p").select(*edge("_to", "_x")))
+        if store is not None:
+            out = out.unionByName(stores.join(found, "_p").select(*edge("_x", "_from")))
+        return out
+
     with Tables(address.sparkSession) as t:
-        edges = t.keep(copy.select("p", F.col("q").alias("_q")).distinct())
-        found, known = points_to(address, copy), None
-        for _ in range(most_rounds):
-            more = edges.limit(0)
-            if load is not None:
-                more = more.unionByName(load.withColumnRenamed("q", "_p").join(found.withColumnRenamed("p", "_p"), "_p").select("p", F.col("x").alias("_q")))
-            if store is not None:
-                more = more.unionByName(store.select(F.col("p").alias("_p"), F.col("q").alias("_q")).join(found.withColumnRenamed("p", "_p"), "_p").select(F.col("x").alias("p"), "_q"))
-            added, path, n = t.put(more.distinct().join(edges, ["p", "_q"], "left_anti"))
-            if not n:
-                return found
-            edges = t.keep(edges.unionByName(added))
-            known = found
-            new = known.withColumnRenamed("p", "_q").join(added, "_q").select("p", "x")
-            found = close_rows(new, lambda d: d.withColumnRenamed("p", "_q").join(edges, "_q").select("p", "x"), known=known)
-    raise RuntimeError(f"points-to: new edges after {most_rounds} rounds")
+        if load is not None:
+            loads = t.keep(load.select(F.col("p").alias("_to"), F.col("q").alias("_p")).distinct())
+        if store is not None:
+            stores = t.keep(store.select(F.col("p").alias("_p"), F.col("q").alias("_from")).distinct())
+        seed = address.select(*target("p", "x")).unionByName(copy.select(*edge("p", "q")))
+        return close_rows(seed, step, most_rounds, with_known=True).where("not edge").select("p", "x")
 
 
 def interval(assigns: DataFrame, e: DataFrame, fn: Sequence[str] = (), *, entry: DataFrame, full: tuple[int, int],

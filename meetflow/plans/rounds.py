@@ -64,14 +64,17 @@ PATHS = 12
 HOPS, SHORT_ROUNDS = 4, 6
 
 
-def close_rows(seed: DataFrame, step: Callable[[DataFrame], DataFrame], most_rounds: int = 10_000, *, known: DataFrame | None = None) -> DataFrame:
+def close_rows(seed: DataFrame, step: Callable[..., DataFrame], most_rounds: int = 10_000, *, known: DataFrame | None = None,
+               with_known: bool = False) -> DataFrame:
     """Least set of rows that holds ``seed`` and is closed under ``step`` (semi-naive).
 
-    ``step`` must distribute over union: it sees only the rows new in the last
+    ``step(delta)`` must distribute over union: it sees only the rows new in the last
     round.  Right for sets of facts, where meet is union.  After some rounds each
     takes several steps before new rows are set apart from known ones.  ``known``:
-    rows that are closed already, to which ``seed`` adds.  Raises when
-    ``most_rounds`` do not suffice; a partial result is never returned.
+    rows that are closed already, to which ``seed`` adds.  For rules over two rows,
+    ``with_known``: ``step(delta, known)`` joins new rows with all known ones, new
+    ones included, one step a round.  Raises when ``most_rounds`` do not suffice; a
+    partial result is never returned.
     """
     t = Tables(seed.sparkSession)
     names = seed.columns
@@ -95,8 +98,9 @@ def close_rows(seed: DataFrame, step: Callable[[DataFrame], DataFrame], most_rou
             joined = t.put(t.read(seed.schema, paths[:-1]))[1]
             t.drop(*paths[:-1])
             paths = [joined, paths[-1]]
-        cand = last = step(delta).select(*names).distinct()
-        for _ in range(HOPS - 1 if done >= SHORT_ROUNDS else 0):
+        also = [t.read(seed.schema, paths)] if with_known else []
+        cand = last = step(delta, *also).select(*names).distinct()
+        for _ in range(HOPS - 1 if done >= SHORT_ROUNDS and not with_known else 0):
             last = step(last).select(*names).distinct()
             cand = cand.unionByName(last)
         if last is not cand:
