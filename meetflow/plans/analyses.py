@@ -159,8 +159,12 @@ def interval(assigns: DataFrame, e: DataFrame, fn: Sequence[str] = (), *, entry:
     if reached is not None:
         assigns, e = assigns.join(reached, node, "left_semi"), cascade(e, reached, fn)
     tables = Tables(e.sparkSession)
-    assigns, e = tables.keep(assigns), tables.keep(e)
-    assigned = assigns.where("not weak").select(*node, "var").distinct()
+    assigns, e = tables.keep(assigns.withColumn("_aid", F.monotonically_increasing_id())), tables.keep(e)
+    # what a value before a node is there for: operands of assignments, and whether it ends there
+    reads = [assigns.where(f"{x}_const is null and {x}_var is not null").select(*node, F.col(f"{x}_var").alias("var"), F.lit(False).alias("_ends"), F.struct("_aid", F.lit(x).alias("_side"), "var").alias("_use")) for x in "ab"]
+    ends = assigns.where("not weak").select(*node, "var", F.lit(True).alias("_ends"))
+    roles = reads[0].unionByName(reads[1]).unionByName(ends, allowMissingColumns=True).groupBy(*node, "var")
+    roles = tables.keep(roles.agg(F.bool_or("_ends").alias("_ends"), F.collect_list("_use").alias("_uses")))
     nodes_in = e.select(*fn, "src", F.col("dst"), *(["label"] if "label" in e.columns else []))
 
     def before(facts: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -169,17 +173,26 @@ def interval(assigns: DataFrame, e: DataFrame, fn: Sequence[str] = (), *, entry:
         own = entry.join(nodes, node, "left_semi")
         return flow.select(*fn, F.col("dst").alias("node"), "var", "lo", "hi").unionByName(own).groupBy(*node, "var").agg(*ranges.meet_all("lo", "hi"))
 
+    # expressions are built once: on the driver they cost more than a round's small joins
+    itself = F.array(F.struct(F.lit(None).cast("bigint").alias("_aid"), F.lit("").alias("_side"), F.col("var").alias("var")))
+    uses = F.when(F.col("_ends").isNull(), itself).when(F.col("_ends"), F.col("_uses")).otherwise(F.concat(itself, F.col("_uses")))
+    value = {f"{x}_{end}": F.max(F.when(F.col("_side") == x, F.col(end))) for x in ("", "a", "b") for end in ("lo", "hi")}
+    for x in "ab":
+        value |= {f"{x}_{end}": F.coalesce(F.max(f"{x}_const"), value[f"{x}_{end}"]) for end in ("lo", "hi")}
+    value = [F.max("xkind").alias("xkind"), *[v.alias(k) for k, v in value.items()]]
+    operands = [F.col(c) for c in ("a_lo", "a_hi", "b_lo", "b_hi")]
+    lo, hi = bounds_of(F.col("xkind"), *operands)
+    made = [*node, "var", F.col("_aid").isNull().alias("_own"), "_lo", "_hi", known_operands(F.col("xkind"), *operands).alias("_known"), lo.alias("lo"), hi.alias("hi")]
+    lo, hi = within(F.col("_known"), F.col("lo"), F.col("hi"), lo_all, hi_all)
+    made_in = [*node, "var", F.when(F.col("_own"), F.col("_lo")).otherwise(lo).alias("lo"), F.when(F.col("_own"), F.col("_hi")).otherwise(hi).alias("hi")]
+
     def after(inside: DataFrame, nodes: DataFrame) -> DataFrame:
-        passed = inside.join(assigned, [*node, "var"], "left_anti")
-        todo = assigns.join(nodes, node, "left_semi")
-        for side in "ab":
-            known = inside.select(*node, F.col("var").alias(f"{side}_var"), F.col("lo").alias(f"{side}_lo"), F.col("hi").alias(f"{side}_hi"))
-            todo = todo.join(known, [*node, f"{side}_var"], "left")
-            for end in ("lo", "hi"):
-                todo = todo.withColumn(f"{side}_{end}", F.coalesce(f"{side}_const", f"{side}_{end}"))
-        lo, hi = range_of(F.col("xkind"), *[F.col(c) for c in ("a_lo", "a_hi", "b_lo", "b_hi")], lo_all, hi_all)
-        made = todo.select(*node, "var", lo.alias("lo"), hi.alias("hi")).where("lo is not null")
-        return passed.unionByName(made).groupBy(*node, "var").agg(*ranges.meet_all("lo", "hi"))
+        """Values after nodes, several rows a variable; each value before them is looked at once."""
+        moved = inside.join(roles, [*node, "var"], "left").select(*node, "lo", "hi", F.explode(uses).alias("_u"))
+        moved = moved.select(*node, "_u.var", "_u._aid", "_u._side", "lo", "hi")
+        todo = assigns.join(nodes, node, "left_semi").select(*node, "var", "_aid", "xkind", "a_const", "b_const")
+        rows = moved.unionByName(todo, allowMissingColumns=True).groupBy(*node, "var", "_aid").agg(*value)
+        return rows.select(*made).select(*made_in).where("lo is not null")
 
     def step(facts: DataFrame, changed: DataFrame) -> DataFrame:
         touched = e.join(changed.select(*fn, F.col("node").alias("src")).distinct(), [*fn, "src"], "left_semi").select(*fn, F.col("dst").alias("node")).distinct()
@@ -196,11 +209,15 @@ def interval(assigns: DataFrame, e: DataFrame, fn: Sequence[str] = (), *, entry:
         return close_values(seed, [*node, "var"], ["lo", "hi"], ranges.meet_all("lo", "hi"), step, widen=widen, widen_after=widen_after)
 
 
-def range_of(x: Column, alo: Column, ahi: Column, blo: Column, bhi: Column, lo_all: Column, hi_all: Column) -> tuple[Column, Column]:
-    """Bounds of a op b; null (top) while an operand is top; the full range where a bound leaves it or the operator says nothing."""
+def known_operands(x: Column, alo: Column, ahi: Column, blo: Column, bhi: Column) -> Column:
+    """Whether no operand is top."""
+    return alo.isNotNull() & (blo.isNotNull() | x.isin(int(X.VAL), int(X.NEGATE)))
+
+
+def bounds_of(x: Column, alo: Column, ahi: Column, blo: Column, bhi: Column) -> tuple[Column, Column]:
+    """Bounds of a op b as wide decimals; null where the operator says nothing."""
     wide = "decimal(38,0)"
     a, b, c, d = (v.cast("decimal(19,0)") for v in (alo, ahi, blo, bhi))
-    known = alo.isNotNull() & (blo.isNotNull() | x.isin(int(X.VAL), int(X.NEGATE)))
     products = [(p * q).cast(wide) for p in (a, b) for q in (c, d)]
     cases = [(X.VAL, a, b), (X.NEGATE, -b, -a), (X.ADD, a + c, b + d), (X.SUB, a - d, b - c), (X.MUL, F.least(*products), F.greatest(*products))]
     lo = hi = None
@@ -209,6 +226,10 @@ def range_of(x: Column, alo: Column, ahi: Column, blo: Column, bhi: Column, lo_a
         lo = F.when(x == int(k), p) if lo is None else lo.when(x == int(k), p)
         hi = F.when(x == int(k), q) if hi is None else hi.when(x == int(k), q)
     truth = x.between(int(X.EQ), int(X.GE)) | (x == int(X.NOT))
-    lo, hi = lo.when(truth, F.lit(0).cast(wide)), hi.when(truth, F.lit(1).cast(wide))
+    return lo.when(truth, F.lit(0).cast(wide)), hi.when(truth, F.lit(1).cast(wide))
+
+
+def within(known: Column, lo: Column, hi: Column, lo_all: Column, hi_all: Column) -> tuple[Column, Column]:
+    """The bounds; the full range where one leaves it or there are none; null (top) while an operand is top."""
     bad = lo.isNull() | (lo < lo_all) | (hi > hi_all)
     return F.when(known & bad, lo_all).when(known, lo.cast("long")), F.when(known & bad, hi_all).when(known, hi.cast("long"))
