@@ -83,7 +83,19 @@ def op10_secret_formats(spark, sf_dir):
     return secrets(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op3_sentence_span_dedup, op2_chat_snapshot_collapse, op4_mix_sources, op5_toxicity, op6_kneser_ney, op7_shard_bytes, op8_minhash_components, op9_subspace_embedding_links, op10_secret_formats)}
+def op12_align_tokenizers(spark, sf_dir, tokenizers="/opt/tokenizers"):
+    from .align import alignment
+
+    return alignment(_table(spark, sf_dir, "documents"), f"{tokenizers}/byte_bpe_50k.json", f"{tokenizers}/piece_bpe_32k.model")
+
+
+def op13_filter_audit(spark, sf_dir):
+    from .audit import audit
+
+    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op3_sentence_span_dedup, op2_chat_snapshot_collapse, op4_mix_sources, op5_toxicity, op6_kneser_ney, op7_shard_bytes, op8_minhash_components, op9_subspace_embedding_links, op10_secret_formats, op12_align_tokenizers, op13_filter_audit)}
 
 SQL: dict[str, str] = {
     "op2_chat_snapshot_collapse": """WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM conversations),
@@ -101,4 +113,15 @@ SQL: dict[str, str] = {
  e AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.u, b.u) >= 0.9),
  r(vec_id, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, e.y FROM r JOIN e ON r.y = e.x), g AS (SELECT vec_id, min(y) AS component_id FROM r GROUP BY vec_id),
  k AS (SELECT x, count(*) AS n FROM e GROUP BY x) SELECT g.vec_id, coalesce(k.n, 0) AS n_links, component_id, g.vec_id = component_id AS kept FROM g LEFT JOIN k ON k.x = g.vec_id""",
+    "op13_filter_audit": r"""WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS x, coalesce(lang, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ s AS (SELECT x, min(doc_id) AS d FROM t GROUP BY x), l AS (SELECT doc_id, max(quality) AS g, max(toxic) AS h FROM labels GROUP BY doc_id),
+ f AS (SELECT part, g = 1 AS good, h = 1 AS tox, (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT + 4 * (100 * length(regexp_replace(t.x, '[^A-Z]', '', 'g')) > 10 * length(t.x))::INT
+ + 8 * regexp_matches(t.x, '[#$%&*|]')::INT + 16 * coalesce(s.d < t.doc_id, false)::INT AS m FROM t JOIN s ON s.x = t.x LEFT JOIN l ON l.doc_id = t.doc_id),
+ p(o) AS (SELECT '' UNION ALL SELECT o || c FROM p, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c) z WHERE length(o) < 5 AND instr(o, c) = 0),
+ k AS (SELECT o, step, 1 << (ascii(o[step]) - 65) AS own, list_sum([1 << (ascii(c) - 65) FOR c IN string_split(o[1:step], '')])::INT - (1 << (ascii(o[step]) - 65)) AS before FROM p, (SELECT unnest(generate_series(1, 5)) AS step) z WHERE length(o) = 5),
+ n AS (SELECT part, m, count(*) AS n, count_if(good) AS good, count_if(tox) AS tox FROM f GROUP BY part, m),
+ r AS (SELECT part, o, step, own, coalesce(sum(n) FILTER (m & (own | before) = 0), 0) AS kept, coalesce(sum(n) FILTER (m & own <> 0 AND m & before = 0), 0) AS removed, coalesce(sum(n) FILTER (m & own <> 0 AND m & before <> 0), 0) AS redundant,
+ coalesce(sum(n) FILTER (m = own), 0) AS unique_fails, coalesce(sum(good) FILTER (m & own <> 0 AND m & before = 0), 0) AS good_lost, coalesce(sum(tox) FILTER (m & own <> 0 AND m & before = 0), 0) AS toxic_lost FROM n, k GROUP BY part, o, step, own)
+ SELECT part, o AS filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+ (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r""",
 }
