@@ -5,7 +5,6 @@ Python only tokenises; everything after it is Spark's array functions.
 
 from __future__ import annotations
 
-import base64
 import json
 
 import numpy as np
@@ -18,7 +17,7 @@ from .cut import cut, stored
 
 #: Bytes of text that are tokenised before rows are handed on.
 PIECE = 1 << 20
-#: Bits of an id, the one that tells sides apart, and what stands for the end of a group.
+#: Bits below the end of a token; the one that is set for side B; all bits of an id.
 ID_BITS, SIDE, MARK = 20, 1 << 19, (1 << 19) - 1
 #: No token has more bytes, so no more tokens of one side lie in one of the other.
 LONGEST = 1 << 8
@@ -56,13 +55,14 @@ class ByteLevel:
         if plain and merged == sorted(merged) and len(ids) == len(merged) + 256:
             import tiktoken
 
-            self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ids, special_tokens={}).encode_ordinary
+            own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ids, special_tokens={})
+            self.encode = lambda text: own.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
         else:
             from tokenizers import Tokenizer
 
             own = Tokenizer.from_str(source.decode())
             own.encode_special_tokens = True
-            self.encode = lambda text: own.encode(text, add_special_tokens=False).ids
+            self.encode = lambda text: np.array(own.encode(text, add_special_tokens=False).ids, np.int64)
 
 
 class Pieces:
@@ -72,7 +72,7 @@ class Pieces:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_proto=source)
-        self.encode = lambda text: model.encode(text, num_threads=1)
+        self.encode = lambda text: np.array(model.encode(text, num_threads=1), np.int64)
         self.bytes = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode()
                       for i, p in enumerate(map(model.id_to_piece, range(model.get_piece_size())))]
 
@@ -105,9 +105,8 @@ def tokenised(docs: DataFrame, first: str, second: str, *, text_col: str = "text
             whole, out = b" " + text.encode(), []
             for v, (vocab, length) in enumerate(zip(vocabs, lengths)):
                 ids = vocab.encode(text if v else " " + text)
-                if b"".join(map(vocab.bytes.__getitem__, ids)) != whole:
+                if b"".join(map(vocab.bytes.__getitem__, ids.tolist())) != whole:
                     return none
-                ids = np.array(ids, np.int64)
                 ends = np.cumsum(length[ids], dtype=np.int64)
                 out += [ends, ends << ID_BITS | ids | v * SIDE]
             return out
@@ -131,40 +130,47 @@ def tokenised(docs: DataFrame, first: str, second: str, *, text_col: str = "text
 def aligned(tokens: DataFrame) -> DataFrame:
     """Replaces the token columns by n_a, n_b, n_groups, groups (text) and links (array of ``a id << 20 | b id``).
 
-    Ends that both sides have (``array_intersect``) close the groups.  Groups: a
-    mark for each common end is sorted in among the tokens of either side, whose
-    list of ids is then cut at the marks.  Links: tokens of both sides are sorted
-    together by end; a token is linked with the next one of the other side, which
-    it lies in up to its end, but for B tokens that end where an A token does and
-    were linked by it.  That next token is looked for among as many tokens as the
-    longest token of a vocabulary has bytes, so every step is linear in the text.
+    Ends that both sides have (``array_intersect``) close the groups.  Tokens of
+    both sides are sorted together by end; there a group closes where two entries
+    have the same end.  Most groups are one token of each side: one link.  In the
+    others a token is linked with the next one of the other side, which it lies in
+    up to its end, but for the last B token, which the last A token was linked
+    with.  That next token is looked for among as many as the longest token has
+    bytes, so every step is linear in the text.
     """
     rest = [c for c in tokens.columns if c not in ("a_ends", "a", "b_ends", "b")]
     number = lambda x: x.bitwiseAND(F.lit(MARK))
-    d = tokens.withColumns({"_line": F.sort_array(F.concat("a", "b")), "_common": F.array_intersect("a_ends", "b_ends")})
-    d = d.withColumn("_marks", F.transform("_common", lambda e: F.shiftleft(e.cast("long"), ID_BITS).bitwiseOR(F.lit(SIDE | MARK).cast("long"))))
-
-    def ids(side: str) -> Column:
-        """Ids of each group, comma-separated."""
-        row = F.transform(F.sort_array(F.concat(side, "_marks")), number).cast("array<string>")
-        return F.split(F.replace(F.array_join(row, ","), F.lit(f",{MARK}"), F.lit(";")), ";,?")
-
-    other = lambda x, y: x.bitwiseXOR(y).bitwiseAND(F.lit(SIDE)) != 0
     is_a = lambda x: x.bitwiseAND(F.lit(SIDE)) == 0
-
-    def linked(x: Column, j: Column) -> Column:
-        one, two, three = (F.get("_line", j + k) for k in (1, 2, 3))
-        far = F.get(F.filter(F.slice("_line", j + 5, F.lit(LONGEST)), lambda y: other(x, y)), F.lit(0))
-        near = F.when(other(x, one), one).when(other(x, two), two).when(other(x, three), three).otherwise(far)
-        shared = F.shiftright(F.get("_line", j - 1), ID_BITS) == F.shiftright(x, ID_BITS)
-        pair = lambda a, b: F.shiftleft(number(a), ID_BITS).bitwiseOR(number(b))
-        return F.when(is_a(x), pair(x, near)).when(shared, F.lit(None)).otherwise(pair(near, x))
-
-    links = F.array_compact(F.transform("_line", linked))
-    # the last of the parts is what follows the last mark: nothing
-    groups = F.array_join(F.slice(F.zip_with("_ga", "_gb", lambda a, b: F.concat(a, F.lit("|"), b)), F.lit(1), F.size("_common")), ";")
-    d = d.select(*rest, F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), "_common", links.alias("links"), ids("a").alias("_ga"), ids("b").alias("_gb"))
-    return d.select(*rest, "n_a", "n_b", F.size("_common").cast("long").alias("n_groups"), groups.alias("groups"), "links")
+    other = lambda x, y: x.bitwiseXOR(y).bitwiseAND(F.lit(SIDE)) != 0
+    pair = lambda a, b: F.shiftleft(number(a), ID_BITS).bitwiseOR(number(b))
+    end = lambda j: F.shiftright(F.get("_line", j), ID_BITS)
+    d = tokens.select(*rest, F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), F.size(F.array_intersect("a_ends", "b_ends")).cast("long").alias("n_groups"),
+                      F.sort_array(F.concat("a", "b")).alias("_line"))
+    places = F.when(F.size("_line") > 0, F.sequence(F.lit(0), F.size("_line") - 1)).otherwise(F.array().cast("array<int>"))
+    d = d.withColumn("_last", F.filter(places, lambda j: end(j - 1) == end(j)))
+
+    before = lambda g: F.coalesce(F.get("_last", g - 1), F.lit(-1))
+    entry = lambda j: F.get("_line", j)
+
+    def linked(q: Column) -> Column:
+        x = entry(q)
+        far = F.get(F.filter(F.slice("_line", q + 5, F.lit(LONGEST)), lambda y: other(entry(q), y)), F.lit(0))
+        near = F.when(other(x, entry(q + 1)), entry(q + 1)).when(other(x, entry(q + 2)), entry(q + 2)).when(other(x, entry(q + 3)), entry(q + 3)).otherwise(far)
+        return F.when(is_a(x), pair(x, near)).otherwise(pair(near, x))
+
+    def listed(entries: Column) -> Column:
+        ids = lambda keep: F.array_join(F.transform(F.filter(entries, keep), number).cast("array<string>"), ",")
+        return F.concat(ids(is_a), F.lit("|"), ids(lambda x: ~is_a(x)))
+
+    def text(j: Column, g: Column) -> Column:
+        both = F.concat(number(entry(j - 1)).cast("string"), F.lit("|"), number(entry(j)).cast("string"))
+        return F.when(j - before(g) == 2, both).otherwise(listed(F.slice("_line", before(g) + 2, j - before(g))))
+
+    single = F.transform("_last", lambda j, g: F.when(j - before(g) == 2, pair(entry(j - 1), entry(j))))
+    larger = F.array_compact(F.transform("_last", lambda j, g: F.when(j - before(g) > 2, F.transform(F.sequence(before(g) + 1, j - 1), linked))))
+    links = F.concat(F.array_compact(single), F.flatten(larger))
+    text = F.transform("_last", text)
+    return d.select(*rest, "n_a", "n_b", "n_groups", F.array_join(text, ";").alias("groups"), links.alias("links"))
 
 
 def pair_counts(links: DataFrame) -> DataFrame:

@@ -83,6 +83,12 @@ def op10_secret_formats(spark, sf_dir):
     return secrets(_table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_repeats(spark, sf_dir):
+    from .suffix import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op12_align_tokenizers(spark, sf_dir, tokenizers="/opt/tokenizers"):
     from .align import alignment
 
@@ -95,7 +101,7 @@ def op13_filter_audit(spark, sf_dir):
     return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op3_sentence_span_dedup, op2_chat_snapshot_collapse, op4_mix_sources, op5_toxicity, op6_kneser_ney, op7_shard_bytes, op8_minhash_components, op9_subspace_embedding_links, op10_secret_formats, op12_align_tokenizers, op13_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op3_sentence_span_dedup, op2_chat_snapshot_collapse, op4_mix_sources, op5_toxicity, op6_kneser_ney, op7_shard_bytes, op8_minhash_components, op9_subspace_embedding_links, op10_secret_formats, op11_suffix_repeats, op12_align_tokenizers, op13_filter_audit)}
 
 SQL: dict[str, str] = {
     "op2_chat_snapshot_collapse": """WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM conversations),
