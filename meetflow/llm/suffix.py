@@ -145,15 +145,23 @@ def common_prefixes(buf: np.ndarray, order: np.ndarray, most: int) -> np.ndarray
 
 
 def repeated_windows(contexts: list[bytes], windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, first, last): runs of windows, of the first ``windows`` of each context, that are equal to another one of them."""
-    raw = b"\0".join(contexts) + b"\0"
-    size = np.array([len(c) for c in contexts], np.int64)
+    """(context, first, last): runs of windows, of the first ``windows`` of each context, that are equal to another one of them.
+
+    Equal contexts, all of whose windows repeat, are sorted as one.
+    """
+    places: dict[bytes, int] = {}
+    which = np.array([places.setdefault(c, len(places)) for c in contexts], np.int64)
+    many = np.bincount(which, minlength=len(places))[which] > 1
+    size = np.array([len(c) for c in places], np.int64)
+    count = np.zeros(len(places), np.int64)
+    count[which] = windows
+    raw = b"\0".join(places) + b"\0"
     begin = np.concatenate([[0], np.cumsum(size + 1)])[:-1]
     buf = np.frombuffer(raw, np.uint8)
     t = buf.astype(np.int16) + 1
     t[begin + size] = 0
-    owner = np.repeat(np.arange(len(contexts)), windows)
-    wanted = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows) + begin[owner]
+    owner = np.repeat(np.arange(len(places)), count)
+    wanted = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + begin[owner]
     order = two_stage_sort(t, raw, wanted, length)
     equal = common_prefixes(buf, order, length) >= length
     found = np.zeros(len(t) + 1, bool)
@@ -162,9 +170,13 @@ def repeated_windows(contexts: list[bytes], windows: np.ndarray, length: int) ->
     edge = np.concatenate([[True], owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, bool)
     opens = hit & (edge | ~np.concatenate([[False], hit[:-1]]))
     closes = hit & (np.append(edge[1:], True) | ~np.append(hit[1:], False))
-    first, last = wanted[opens], wanted[closes]
-    who = owner[opens]
-    return who, first - begin[who], last - begin[who]
+    first, last, mine = wanted[opens], wanted[closes], owner[opens]
+    back = np.zeros(len(places), np.int64)
+    back[which] = np.arange(len(which))
+    alone = ~many[back[mine]]
+    who, first, last = back[mine][alone], (first - begin[mine])[alone], (last - begin[mine])[alone]
+    all_ = np.flatnonzero(many)
+    return np.concatenate([all_, who]), np.concatenate([np.zeros(len(all_), np.int64), first]), np.concatenate([windows[all_] - 1, last])
 
 
 def _binary(buf: np.ndarray, first: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -249,8 +261,9 @@ def repeated_ranges(texts: DataFrame, ids: list[str], length: int = LENGTH, gram
     ``texts``: (ids, _text, _digest).  Of equal texts one is looked into.  Anchors
     are counted by partial sums, rows of anchors that occur twice meet them by a
     join that may split its larger side, and texts meet their anchors by (digest,
-    id).  Groups of more than ``group`` rows are split until their blocks are whole
-    windows; such groups hold equal windows only and are dealt out in parts.
+    id).  In anchors' groups of more than ``group`` rows equal contexts become one
+    (all their windows repeat), and groups with more different ones than that are
+    split until they have fewer: once blocks are whole windows there is one.
     """
     (id_col,) = ids
     classes = cut(texts.groupBy("_digest").agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("_first"), F.max(F.octet_length("_text")).alias("_size")))
@@ -263,16 +276,20 @@ def repeated_ranges(texts: DataFrame, ids: list[str], length: int = LENGTH, gram
     found = long_.join(hits, (long_["_digest"] == hits["_d"]) & long_[id_col].eqNullSafe(hits["_first"])).select("_text", "_digest", "hits")
     rows, _ = stored(found.mapInArrow(_context_rows(length, gram), "key long, _digest binary, start int, windows int, block int, wide int, context binary, hot boolean"))
     ready, todo = rows.where("not hot").drop("hot"), rows.where("hot").drop("hot")
+    found = []
     while todo.limit(1).count():
-        todo, _ = stored(_split(todo, length))
-        count = cut(todo.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > group))
-        ready = ready.unionByName(todo.join(count, "key", "left_anti"))
-        again = todo.join(count, "key")
-        part = F.pmod(F.xxhash64("_digest", "start"), F.floor(F.col("_n") / group))
-        ready = ready.unionByName(again.where(F.col("wide") == length).withColumn("key", F.xxhash64("key", part)).drop("_n"))
-        todo = again.where(F.col("wide") < length).drop("_n")
+        rest = ["_digest", "start", "windows", "block", "wide"]
+        same, _ = stored(todo.groupBy("key", "context").agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in rest]))
+        twice = same.where("_n > 1").select("key", "context")
+        found.append(todo.join(twice.hint("merge"), ["key", "context"], "left_semi").select("_digest", F.col("start").alias("first"), (F.col("start") + F.col("windows") + length - 1).alias("stop")))
+        count = cut(same.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > group).select("key"))
+        ready = ready.unionByName(same.join(count, "key", "left_anti").drop("_n"))
+        todo, _ = stored(_split(same.join(count, "key", "left_semi"), length))
     dealt = ready.select("key", "_digest", "start", "windows", "context").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_sorted_rows(length), "_digest binary, first int, stop int"), classes
+    ranges = dealt.mapInArrow(_sorted_rows(length), "_digest binary, first int, stop int")
+    for d in found:
+        ranges = ranges.unionByName(d)
+    return ranges, classes
 
 
 def _cut_rows(rest: list[str]):
