@@ -74,19 +74,21 @@ def insn_edges(placed: DataFrame, bb_edges: DataFrame, fn: Sequence[str], seq: s
     return inner.unionByName(e.select(*fn, F.col("_last").alias("src"), F.col("_first").alias("dst"), "label"))
 
 
-def contract(e: DataFrame, drop: DataFrame, fn: Sequence[str], most: int = 64) -> DataFrame:
-    """Edges without the nodes in ``drop`` (fn, node), which only pass facts on: their ends are joined through."""
+def contract(e: DataFrame, drop: DataFrame, fn: Sequence[str], most: int = 10_000) -> DataFrame:
+    """Edges without the nodes in ``drop`` (fn, node), which only pass facts on: their ends are joined through.
+
+    An edge is followed over dropped nodes until it meets others, with the label it
+    began with; dropped nodes may form cycles, which lead nowhere by themselves.
+    Raises when ``most`` rounds do not suffice.
+    """
+    from ..plans.rounds import Tables, close_rows
+
     fn = list(fn)
-    for _ in range(most):
-        d = drop.select(*fn, F.col("node").alias("dst"))
-        through = e.join(d, [*fn, "dst"], "left_semi").where("src <> dst")
-        if not through.limit(1).count():
-            break
-        step = e.select(*fn, F.col("src").alias("dst"), F.col("dst").alias("_far"))
-        keep = e.join(d, [*fn, "dst"], "left_anti")
-        e = keep.unionByName(through.join(step, [*fn, "dst"]).select(*fn, "src", F.col("_far").alias("dst"), "label")).distinct()
-    s = drop.select(*fn, F.col("node").alias("src"))
-    return e.join(s, [*fn, "src"], "left_anti")
+    at = lambda name: drop.select(*fn, F.col("node").alias(name)).distinct()
+    with Tables(e.sparkSession) as t:
+        on = t.keep(e.join(at("src"), [*fn, "src"], "left_semi").select(*fn, F.col("src").alias("dst"), F.col("dst").alias("_far")).distinct())
+        rows = close_rows(e.join(at("src"), [*fn, "src"], "left_anti").select(*fn, "src", "dst", "label"), lambda d: d.join(on, [*fn, "dst"]).select(*fn, "src", F.col("_far").alias("dst"), "label"), most)
+    return rows.join(at("dst"), [*fn, "dst"], "left_anti").select(e.columns)
 
 
 def successors(e: DataFrame, fn: Sequence[str] = ()) -> DataFrame:

@@ -55,16 +55,18 @@ def free_ranges(ids: DataFrame, pool: Sequence[str], value: str) -> DataFrame:
 
 
 def reserve(ranges: DataFrame, taken: DataFrame, pool: Sequence[str], value: str) -> DataFrame:
-    """Free ranges without the taken ids: each range splits at them."""
+    """Free ranges without the taken ids: each range splits at them.
+
+    Starts of ranges and taken ids lie on one line a pool; each begins a piece that
+    ends before the next of them, or with the range.  Nothing is compared with more than its neighbours.
+    """
     pool = list(pool)
-    t = taken.select(*pool, F.col(value).alias("_t")).distinct()
-    inside = ranges.join(t, pool, "left").where("_t is null or _t between lo and hi")
-    cuts = inside.groupBy(*pool, "lo", "hi").agg(F.sort_array(F.collect_set("_t")).alias("_c"))
-    missed = ranges.join(cuts.select(*pool, "lo", "hi"), [*pool, "lo", "hi"], "left_anti").withColumn("_c", F.array().cast(f"array<{dict(t.dtypes)['_t']}>"))
-    all_ = cuts.unionByName(missed)
-    lows, highs = F.concat(F.array("lo"), F.transform("_c", lambda x: x + 1)), F.concat(F.transform("_c", lambda x: x - 1), F.array("hi"))
-    out = all_.select(*pool, F.explode(F.arrays_zip(lows.alias("lo"), highs.alias("hi"))).alias("_r"))
-    return out.select(*pool, F.col("_r.lo").alias("lo"), F.col("_r.hi").alias("hi")).where("lo <= hi")
+    starts = ranges.select(*pool, F.col("lo").alias("_at"), F.lit(0).alias("_taken"), F.col("hi").alias("_hi"))
+    events = starts.unionByName(taken.select(*pool, F.col(value).alias("_at"), F.lit(1).alias("_taken")).distinct(), allowMissingColumns=True)
+    w = Window.partitionBy(*pool).orderBy("_at", "_taken")
+    hi = F.last("_hi", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    pieces = events.select(*pool, (F.col("_at") + F.col("_taken")).alias("lo"), F.least(hi, F.lead("_at").over(w) - 1).alias("hi"))
+    return pieces.where("lo <= hi")
 
 
 def register_files(paths: DataFrame, path: str = "path") -> DataFrame:

@@ -17,6 +17,10 @@ from .rounds import Tables, close_rows, close_values
 from .views import cascade
 
 
+#: A variable that stands for a whole set of variables (the globals of a unit).
+UNIVERSE = -2
+
+
 def reach(e: DataFrame, start: DataFrame, fn: Sequence[str] = (), *, backward: bool = False, through: DataFrame | None = None) -> DataFrame:
     """Nodes (fn, node) reached from ``start``: where bottom flows.  ``through`` lists nodes that pass nothing on (barriers)."""
     fn = list(fn)
@@ -71,7 +75,7 @@ def liveness(insn: DataFrame, uses: DataFrame, e: DataFrame, fn: Sequence[str],
     return grid.withColumn("_live", F.coalesce(~nxt, F.col("_out"), F.lit(False))).where("_live").select(*fn, "seq", "var")
 
 
-def strong_liveness(effects: DataFrame, e: DataFrame, fn: Sequence[str] = (), *, exit_live: DataFrame | None = None) -> DataFrame:
+def strong_liveness(effects: DataFrame, e: DataFrame, fn: Sequence[str] = (), *, exit_live: DataFrame | None = None, universe: DataFrame | None = None) -> DataFrame:
     """(fn, node, var): strongly live before a node.
 
     ``effects``: (fn, node, target, source, always).  A row with ``always`` makes
@@ -79,24 +83,57 @@ def strong_liveness(effects: DataFrame, e: DataFrame, fn: Sequence[str] = (), *,
     target makes its source live only if the target is live after the node, and
     the target's own fact ends there (source null: kill alone, target ``*`` or -1:
     kill everything).  ``exit_live``: (fn, node, var) live after exit nodes.
+
+    ``universe`` (one or more of fn, var): what the variable ``UNIVERSE`` stands for, in
+    ``effects`` and ``exit_live`` and in the result, where it means all of them that
+    the function doesn't assign (``expanded`` gives rows for each).  Those that it
+    assigns are followed one by one, so rows depend on the functions' own
+    instructions and not on the size of the universe.
     """
     fn = list(fn)
-    kill = effects.where("target is not null").select(*fn, "node", F.col("target").alias("var")).distinct()
-    kill_all = kill.where("cast(var as string) in ('*', '-1')").select(*fn, "node").distinct()
-    kill_one = kill.where("cast(var as string) not in ('*', '-1')")
-    feed = effects.where("target is not null and source is not null and not always").select(*fn, "node", F.col("target").alias("var"), F.col("source").alias("_src")).distinct()
-    seed = effects.where("always and source is not null").select(*fn, "node", F.col("source").alias("var"))
-    hop = e.select(*fn, F.col("dst").alias("node"), F.col("src").alias("_prev")).distinct()
-
-    def before(out: DataFrame) -> DataFrame:
-        passed = out.join(kill_one, [*fn, "node", "var"], "left_anti").join(kill_all, [*fn, "node"], "left_anti")
-        return passed.unionByName(out.join(feed, [*fn, "node", "var"]).select(*fn, "node", F.col("_src").alias("var")))
-
-    if exit_live is not None:
-        seed = seed.unionByName(before(exit_live.select(*fn, "node", "var")))
     with Tables(e.sparkSession) as t:
-        hop, kill_one, kill_all, feed = (t.keep(x) for x in (hop, kill_one, kill_all, feed))
-        return close_rows(seed, lambda d: before(d.join(hop, [*fn, "node"]).select(*fn, F.col("_prev").alias("node"), "var")))
+        effects = t.keep(effects.select(*fn, "node", "target", "source", "always"))
+        kill = effects.where("target is not null").select(*fn, "node", F.col("target").alias("var")).distinct()
+        kill_all = t.keep(kill.where("cast(var as string) in ('*', '-1')").select(*fn, "node").distinct())
+        kill_one = t.keep(kill.where("cast(var as string) not in ('*', '-1')"))
+        feed = t.keep(effects.where("target is not null and source is not null and not always").select(*fn, "node", F.col("target").alias("var"), F.col("source").alias("_src")).distinct())
+        seed = effects.where("always and source is not null").select(*fn, "node", F.col("source").alias("var"))
+        hop = t.keep(e.select(*fn, F.col("dst").alias("node"), F.col("src").alias("_prev")).distinct())
+
+        def before(out: DataFrame) -> DataFrame:
+            passed = out.join(kill_one, [*fn, "node", "var"], "left_anti").join(kill_all, [*fn, "node"], "left_anti")
+            return passed.unionByName(out.join(feed, [*fn, "node", "var"]).select(*fn, "node", F.col("_src").alias("var")))
+
+        ends = None if exit_live is None else exit_live.select(*fn, "node", "var")
+        if universe is not None:
+            universe = t.keep(universe)
+            own = t.keep(assigned(effects, universe, fn))
+            each = lambda d: d.unionByName(d.where(F.col("var") == UNIVERSE).select(*fn, "node").join(own, fn).select(*fn, "node", "var"))
+            seed, ends = each(seed), None if ends is None else each(ends)
+        if ends is not None:
+            seed = seed.unionByName(before(ends))
+        live = close_rows(seed, lambda d: before(d.join(hop, [*fn, "node"]).select(*fn, F.col("_prev").alias("node"), "var")))
+        if universe is None:
+            return live
+        # one by one, variables of the universe that aren't assigned say nothing where all of them are live
+        within = [c for c in universe.columns if c in fn]
+        spare = live.join(universe, [*within, "var"], "left_semi").join(own, [*fn, "var"], "left_anti").join(live.where(F.col("var") == UNIVERSE).select(*fn, "node"), [*fn, "node"], "left_semi")
+        return Tables(e.sparkSession).keep(live.join(spare.select(*fn, "node", "var"), [*fn, "node", "var"], "left_anti"))
+
+
+def assigned(effects: DataFrame, universe: DataFrame, fn: Sequence[str]) -> DataFrame:
+    """(fn, var): variables of the universe that a function's own instructions assign."""
+    within = [c for c in universe.columns if c in fn]
+    return effects.where("target is not null").select(*fn, F.col("target").alias("var")).distinct().join(universe, [*within, "var"], "left_semi")
+
+
+def expanded(live: DataFrame, effects: DataFrame, universe: DataFrame, fn: Sequence[str]) -> DataFrame:
+    """Rows of ``UNIVERSE`` as rows of its variables; as many as there are, for small results."""
+    fn = list(fn)
+    within = [c for c in universe.columns if c in fn]
+    many = live.where(F.col("var") == UNIVERSE).drop("var").join(universe, within)
+    many = many.join(assigned(effects, universe, fn), [*fn, "var"], "left_anti").select(*fn, "node", "var")
+    return live.where(F.col("var") != UNIVERSE).unionByName(many).distinct()
 
 
 def points_to(address: DataFrame, copy: DataFrame, load: DataFrame | None = None, store: DataFrame | None = None, most_rounds: int = 10_000) -> DataFrame:

@@ -14,7 +14,7 @@ from .functions import scalars as S
 from .functions.kinds import ChangeCode, EntityKind, ExprKind, InsnKind, Qualifier, ValueKind
 from .operators import graph, ids, maps, ranges, sets, types
 from .plans import analyses, clients, link, views
-from .plans.framework import Analysis, BackwardBottom, Context, ForwardBottom, Solver, close_together, run_cooperating, run_staged
+from .plans.framework import Analysis, BackwardBottom, Context, ForwardBottom, GenKill, Solver, close_together, run_cooperating, run_staged
 from .registry import query, table
 from .sources import build, text, wire
 
@@ -260,6 +260,30 @@ def live_blocks(spark, sf_dir):
     return analyses.liveness(placed.select("fid", "bb", "seq"), uses, e, ["fid"])
 
 
+@query(f"""WITH RECURSIVE {BLOCK_SQL}, gk AS (SELECT fid, bb, seq, k % 5 AS var, ikind = 7 AS made FROM pl WHERE ikind IN (7, 12)), la2 AS (SELECT fid, bb, var, arg_max(made, seq) AS made FROM gk GROUP BY 1, 2, 3),
+ i(fid, bb, var) AS (SELECT be.fid, be.dst, var FROM la2 JOIN be ON be.fid = la2.fid AND be.src = la2.bb WHERE made UNION SELECT be.fid, be.dst, i.var FROM i JOIN be ON be.fid = i.fid AND be.src = i.bb LEFT JOIN la2 ON la2.fid = i.fid AND la2.bb = i.bb AND la2.var = i.var WHERE la2.fid IS NULL),
+ g AS (SELECT pl.fid, pl.bb, pl.seq, v.var, gk.made FROM pl CROSS JOIN (SELECT unnest(generate_series(0, 4)) AS var) v LEFT JOIN gk ON gk.fid = pl.fid AND gk.seq = pl.seq AND gk.var = v.var),
+ o AS (SELECT *, last_value(made IGNORE NULLS) OVER (PARTITION BY fid, bb, var ORDER BY seq) AS af, last_value(made IGNORE NULLS) OVER (PARTITION BY fid, bb, var ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bf FROM g)
+ SELECT o.fid, seq AS node, point, o.var FROM (SELECT fid, bb, seq, var, 'IN' AS point, bf AS m FROM o UNION ALL SELECT fid, bb, seq, var, 'OUT', af FROM o) o LEFT JOIN i ON i.fid = o.fid AND i.bb = o.bb AND i.var = o.var WHERE coalesce(m, i.fid IS NOT NULL)""")
+def solver_blocks(spark, sf_dir):
+    """Assignments of k mod 5 that may reach a node; calls end them.  Block transfers are composed, rounds follow blocks."""
+    placed, e = block_graph(spark, sf_dir)
+    events = placed.where("ikind in (7, 12)").select("fid", F.col("seq").alias("node"), F.expr("k % 5").alias("var"), (F.col("ikind") == 7).alias("made"))
+    solver = Solver(GenKill(events, ["fid"]), e.where("dst >= 0"), entries(placed), ["fid"], blocks=placed.select("fid", "bb", F.col("seq").alias("node")))
+    return solver.run().select("fid", "node", "point", "var")
+
+
+@query(f"""WITH RECURSIVE {BLOCK_SQL}, i AS (SELECT fid, seq AS src, lead(seq) OVER (PARTITION BY fid, bb ORDER BY seq) AS dst, 0 AS label FROM pl), b AS (SELECT fid, bb, min(seq) AS f, max(seq) AS l FROM pl GROUP BY 1, 2),
+ ie AS (SELECT fid, src, dst, CAST(label AS TINYINT) AS label FROM i WHERE dst IS NOT NULL UNION ALL SELECT be.fid, p.l, q.f, be.label FROM be JOIN b p ON p.fid = be.fid AND p.bb = be.src JOIN b q ON q.fid = be.fid AND q.bb = be.dst),
+ sk AS (SELECT fid, seq FROM pl WHERE ikind IN (13, 15)), t(fid, src, dst, label) AS (SELECT fid, src, dst, label FROM ie WHERE (fid, src) NOT IN (SELECT (fid, seq) FROM sk)
+ UNION SELECT t.fid, t.src, ie.dst, t.label FROM t JOIN ie ON ie.fid = t.fid AND ie.src = t.dst WHERE (t.fid, t.dst) IN (SELECT (fid, seq) FROM sk)) SELECT DISTINCT * FROM t WHERE (fid, dst) NOT IN (SELECT (fid, seq) FROM sk)""")
+def contract_skips(spark, sf_dir):
+    """Instruction graphs without labels and gotos, which form chains and cycles."""
+    placed, e = block_graph(spark, sf_dir)
+    drop = placed.where(S.skipped(F.col("ikind"))).select("fid", F.col("seq").alias("node"))
+    return graph.contract(graph.insn_edges(placed, e, ["fid"]), drop, ["fid"])
+
+
 @query(f"""WITH RECURSIVE {BLOCK_SQL}, f(fid, node) AS (SELECT DISTINCT fid, 0 FROM pl UNION SELECT be.fid, dst FROM be JOIN f ON f.fid = be.fid AND src = node), b(fid, node) AS (SELECT DISTINCT fid, -1 FROM pl UNION SELECT be.fid, src FROM be JOIN b ON b.fid = be.fid AND dst = node)
  SELECT fid, node, 'forward' AS way FROM f UNION ALL SELECT fid, node, 'backward' FROM b""")
 def lock_step(spark, sf_dir):
@@ -308,7 +332,7 @@ def unit_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Lines as instructions over parts as entities: (insn, entity)."""
     p = table(spark, sf_dir, "part")
     kinds = F.array(*[F.lit(int(x)) for x in (E.VAR_GLBL, E.VAR_LOCL, E.LIT_NUM, E.LIT_NUM_IMM, E.FUNC, E.VAR_LOCL_ARG)])
-    entity = p.select(F.lit(1).cast("bigint").alias("tu_id"), F.col("p_partkey").alias("eid"), F.element_at(kinds, F.expr("cast(p_partkey % 6 + 1 as int)")).alias("ekind"),
+    entity = p.select(F.lit(1).cast("bigint").alias("tu_id"), F.col("p_partkey").alias("eid"), F.get(kinds, F.expr("cast(p_partkey % 6 as int)")).alias("ekind"),
                       F.when(F.expr("p_partkey % 7 = 0"), 25).otherwise(4).alias("vkind"), F.col("p_size").cast("decimal(20,0)").alias("low_val"))
     n = F.col("l_linenumber")
     kind = F.when(n == 1, 7).when(n == 2, 8).when(n == 3, 9).when(n == 4, 10).when(n == 5, 12).when(n == 6, 16).otherwise(4)
@@ -327,9 +351,38 @@ def unit_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
  r AS (SELECT DISTINCT s.* FROM s JOIN v ON v.eid = s.source UNION SELECT fid, seq, NULL, eid, true FROM inn, g WHERE ikind IN (10, 12) UNION SELECT fid, seq, a, NULL, false FROM inn WHERE ikind IN (7, 8, 10) UNION SELECT fid, seq, -1, NULL, false FROM inn WHERE ikind = 4)
  SELECT CAST(coalesce(target, -2) AS BIGINT) AS target, always, count(*) AS n, CAST(coalesce(sum(source), 0) AS BIGINT) AS sources, CAST(sum(fid * 10 + seq) AS BIGINT) AS nodes FROM r GROUP BY 1, 2""")
 def client_liveness(spark, sf_dir):
-    """What each instruction reads and writes, added up by target."""
-    d = clients.liveness_effects(*unit_tables(spark, sf_dir))
-    return d.groupBy(F.coalesce("target", F.lit(-2)).alias("target"), "always").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("source"), F.lit(0)).alias("sources"), F.sum(F.col("fid") * 10 + F.col("node")).alias("nodes"))
+    """What each instruction reads and writes, added up by target; a call's row for all globals counts as often as there are globals."""
+    insn, entity = unit_tables(spark, sf_dir)
+    d = clients.liveness_effects(insn, entity, globals_as_one=True)
+    many = clients.globals_of(entity).groupBy("tu_id").agg(F.count(F.lit(1)).alias("_n"), F.sum("var").alias("_sum"))
+    d = d.withColumn("_all", F.col("source").eqNullSafe(analyses.UNIVERSE)).join(F.broadcast(many), "tu_id", "left")
+    n = F.when(F.col("_all"), F.coalesce("_n", F.lit(0))).otherwise(1)
+    source = F.when(F.col("_all"), F.coalesce("_sum", F.lit(0))).otherwise(F.col("source"))
+    sums = [F.sum(n).alias("n"), F.coalesce(F.sum(source), F.lit(0)).alias("sources"), F.sum((F.col("fid") * 10 + F.col("node")) * n).alias("nodes")]
+    return d.groupBy(F.coalesce("target", F.lit(-2)).alias("target"), "always").agg(*sums)
+
+
+@query(f"""WITH RECURSIVE {INSN_SQL}, v AS (SELECT eid FROM en WHERE ekind BETWEEN 1 AND 7), g AS (SELECT eid FROM en WHERE ekind = 1),
+ s AS (SELECT fid, seq, CAST(NULL AS BIGINT) AS target, unnest(CASE ikind WHEN 9 THEN [a, b] WHEN 12 THEN [a, b] WHEN 16 THEN [b] WHEN 10 THEN [b] END) AS source FROM inn WHERE ikind IN (9, 10, 12, 16)
+ UNION ALL SELECT fid, seq, a, unnest(CASE WHEN ikind = 8 AND m = 0 THEN [b, a] ELSE [b] END) FROM inn WHERE ikind IN (7, 8)), es AS (SELECT DISTINCT s.* FROM s JOIN v ON v.eid = s.source),
+ kl AS (SELECT DISTINCT fid, seq AS node, a AS var FROM inn WHERE ikind IN (7, 8, 10)), ka AS (SELECT DISTINCT fid, seq AS node FROM inn WHERE ikind = 4),
+ mg AS (SELECT DISTINCT fid, eid AS var FROM (SELECT fid, a AS eid FROM inn UNION SELECT fid, b FROM inn) x WHERE eid IN (SELECT eid FROM g) UNION SELECT DISTINCT fid, -2 FROM inn),
+ own AS (SELECT DISTINCT kl.fid, var FROM kl JOIN g ON eid = var), ex AS (SELECT fid, max(seq) AS node FROM inn GROUP BY fid),
+ nx AS (SELECT DISTINCT fid, seq AS src, (SELECT min(z.seq) FROM inn z WHERE z.fid = inn.fid AND z.seq > inn.seq) AS dst FROM inn), ed AS (SELECT fid, src, coalesce(dst, 99) AS dst FROM nx),
+ li(fid, node, var) AS (SELECT * FROM (SELECT fid, seq, source FROM es WHERE target IS NULL UNION SELECT i.fid, i.seq, mg.var FROM inn i JOIN mg ON mg.fid = i.fid WHERE ikind IN (10, 12) UNION SELECT ex.fid, 99, mg.var FROM ex JOIN mg ON mg.fid = ex.fid WHERE ex.fid <> (SELECT min(fid) FROM inn)) q
+ UNION SELECT ed.fid, ed.src, CASE WHEN kl.var IS NULL THEN li.var ELSE es.source END FROM li JOIN ed ON ed.fid = li.fid AND ed.dst = li.node LEFT JOIN kl ON kl.fid = ed.fid AND kl.node = ed.src AND kl.var = li.var
+ LEFT JOIN es ON es.fid = ed.fid AND es.seq = ed.src AND es.target = li.var LEFT JOIN ka ON ka.fid = ed.fid AND ka.node = ed.src WHERE ka.node IS NULL AND (kl.var IS NULL OR es.source IS NOT NULL))
+ SELECT fid, node, var FROM li WHERE node <> 99 AND NOT (var IN (SELECT eid FROM g) AND NOT EXISTS (SELECT 1 FROM own o WHERE o.fid = li.fid AND o.var = li.var) AND EXISTS (SELECT 1 FROM li z WHERE z.fid = li.fid AND z.node = li.node AND z.var = -2))""")
+def client_live_facts(spark, sf_dir):
+    """From instruction rows to facts: strongly live variables before each line, globals live at the exits of all functions but the first; -2: all globals that the function doesn't assign."""
+    insn, entity = unit_tables(spark, sf_dir)
+    fn = ["tu_id", "fid"]
+    nodes = insn.select(*fn, F.col("seq").alias("src")).distinct()
+    e = nodes.withColumn("dst", F.lead("src").over(Window.partitionBy(*fn).orderBy("src"))).where("dst is not null")
+    exits = insn.groupBy(*fn).agg(F.max("seq").alias("node"))
+    main = insn.groupBy("tu_id").agg(F.min("fid").alias("fid"))
+    live = analyses.strong_liveness(clients.liveness_effects(insn, entity, globals_as_one=True), e, fn, exit_live=clients.exit_live(exits, entity, main, globals_as_one=True), universe=clients.globals_of(entity))
+    return live.select("fid", "node", "var")
 
 
 @query(f"""WITH {INSN_SQL}, j AS (SELECT i.*, x.ekind AS xe, x.vkind AS xv, y.ekind AS ye, y.vkind AS yv, y.number AS yn, x.number AS xn FROM inn i LEFT JOIN en x ON x.eid = a LEFT JOIN en y ON y.eid = b),
