@@ -33,6 +33,44 @@ def reach(e: DataFrame, start: DataFrame, fn: Sequence[str] = (), *, backward: b
         return close_rows(start.select(*fn, "node"), lambda d: d.join(hop, [*fn, "node"]).select(*fn, F.col("_next").alias("node")))
 
 
+def reach_contracted(e: DataFrame, start: DataFrame, fn: Sequence[str] = (), most_levels: int = 64) -> DataFrame:
+    """What ``reach`` gives, in rounds that follow the logarithm of chains.
+
+    A node with one predecessor that is no start is reached exactly if that is.
+    Such nodes hang on it, and doubling jumps find what each hangs on in the end;
+    nodes of cycles that hang on each other are never reached.  Edges between what
+    others hang on are the next, smaller graph.  Levels end when few nodes are
+    saved; what is left is walked, and nodes follow what they hang on.
+    Each level adds one row a node, no edges.
+    """
+    fn = list(fn)
+    node = [*fn, "node"]
+    with Tables(e.sparkSession) as t:
+        here = t.keep(start.select(*node).distinct())
+        edges, path, n = t.put(e.select(*fn, "src", "dst").where("src <> dst").distinct())
+        hangs = []
+        for _ in range(most_levels):
+            one = edges.groupBy(*fn, F.col("dst").alias("node")).agg(F.min("src").alias("up"), F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
+            up, _, hung = t.put(one.join(here, node, "left_anti"))
+            if hung * 8 < n or not hung:
+                break
+            for _ in range(hung.bit_length() + 1):  # a node's jump becomes that of what it jumps to
+                far = up.select(*fn, F.col("node").alias("up"), F.col("up").alias("_far"))
+                up, _, moved = t.put(up.select(*node, "up").join(far, [*fn, "up"], "left").select(*node, F.coalesce("_far", "up").alias("up"), F.col("_far").isNotNull().alias("_moved")), "_moved")
+                if not moved:
+                    break
+            up = up.where("not _moved").drop("_moved")  # after so many jumps only cycles go on
+            hangs.append(up)
+            top = up.select(*fn, F.col("node").alias("src"), F.col("up").alias("_top"))
+            kept = edges.join(one.join(here, node, "left_anti").select(*fn, F.col("node").alias("dst")), [*fn, "dst"], "left_anti")
+            kept = kept.join(top, [*fn, "src"], "left").select(*fn, F.coalesce("_top", "src").alias("src"), "dst").where("src <> dst").distinct()
+            edges, path, n = t.put(kept)
+        found = reach(edges, here, fn)
+        for up in reversed(hangs):
+            found = t.keep(found.unionByName(up.join(found.select(*fn, F.col("node").alias("up")), [*fn, "up"]).select(*node)).distinct())
+        return Tables(e.sparkSession).keep(found)
+
+
 def block_liveness(uses: DataFrame, e: DataFrame, fn: Sequence[str], *, exit_live: DataFrame | None = None) -> DataFrame:
     """Live variables at the entry of blocks, from composed transfers of blocks.
 

@@ -260,6 +260,17 @@ def live_blocks(spark, sf_dir):
     return analyses.liveness(placed.select("fid", "bb", "seq"), uses, e, ["fid"])
 
 
+@query("""WITH k AS (SELECT o_orderkey AS n, o_orderpriority = '5-LOW' AS st, o_orderstatus = 'P' AS br FROM orders),
+ w AS (SELECT n, max(CASE WHEN st THEN n END) OVER (ORDER BY n) AS s, max(CASE WHEN br OR nx IS NULL THEN n END) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b
+ FROM (SELECT *, CASE WHEN lead(n) OVER (ORDER BY n) = n + 1 THEN 1 END AS nx FROM k) x) SELECT n AS node FROM w WHERE s > coalesce(b, -1)""")
+def reach_long_chains(spark, sf_dir):
+    """Each order leads to the next number, but pending ones; low priorities are starts.  Chains are as long as there are orders between pending ones."""
+    o = table(spark, sf_dir, "orders")
+    n = o.select(F.col("o_orderkey").alias("dst"))
+    e = o.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("src"), (F.col("o_orderkey") + 1).alias("dst")).join(n, "dst", "left_semi")
+    return analyses.reach_contracted(e, o.where("o_orderpriority = '5-LOW'").select(F.col("o_orderkey").alias("node")))
+
+
 @query(f"""WITH RECURSIVE {BLOCK_SQL}, gk AS (SELECT fid, bb, seq, k % 5 AS var, ikind = 7 AS made FROM pl WHERE ikind IN (7, 12)), la2 AS (SELECT fid, bb, var, arg_max(made, seq) AS made FROM gk GROUP BY 1, 2, 3),
  i(fid, bb, var) AS (SELECT be.fid, be.dst, var FROM la2 JOIN be ON be.fid = la2.fid AND be.src = la2.bb WHERE made UNION SELECT be.fid, be.dst, i.var FROM i JOIN be ON be.fid = i.fid AND be.src = i.bb LEFT JOIN la2 ON la2.fid = i.fid AND la2.bb = i.bb AND la2.var = i.var WHERE la2.fid IS NULL),
  g AS (SELECT pl.fid, pl.bb, pl.seq, v.var, gk.made FROM pl CROSS JOIN (SELECT unnest(generate_series(0, 4)) AS var) v LEFT JOIN gk ON gk.fid = pl.fid AND gk.seq = pl.seq AND gk.var = v.var),
