@@ -91,6 +91,11 @@ def contract(e: DataFrame, drop: DataFrame, fn: Sequence[str], most: int = 10_00
     return rows.join(at("dst"), [*fn, "dst"], "left_anti").select(e.columns)
 
 
+def loop_heads(e: DataFrame, fn: Sequence[str] = ()) -> DataFrame:
+    """(fn, node): where an edge leads back, or to itself, in the order of node numbers; every cycle has such a node."""
+    return e.where("dst <= src").select(*fn, F.col("dst").alias("node")).distinct()
+
+
 def successors(e: DataFrame, fn: Sequence[str] = ()) -> DataFrame:
     """Ordered lists, true before false."""
     return e.groupBy(*fn, "src").agg(F.transform(F.sort_array(F.collect_list(F.struct("label", "dst"))), lambda x: x["dst"]).alias("succ"))

@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.kinds import EdgeLabel
 from ..functions.kinds import ExprKind as X
 from ..operators import ranges
 from .rounds import Tables, close_rows, close_values
@@ -216,7 +217,7 @@ def points_to(address: DataFrame, copy: DataFrame, load: DataFrame | None = None
 
 
 def interval(assigns: DataFrame, e: DataFrame, fn: Sequence[str] = (), *, entry: DataFrame, full: tuple[int, int],
-             widen_after: int = 8, refine: Callable | None = None, reached: DataFrame | None = None) -> DataFrame:
+             widen_after: int = 8, refine: Callable | None = None, reached: DataFrame | None = None, heads: DataFrame | None = None, narrow: int = 0) -> DataFrame:
     """(fn, node, var, lo, hi): ranges after each node, forward; missing rows are top.
 
     ``assigns``: (fn, node, var, xkind, a_var, a_const, b_var, b_const, weak): var =
@@ -225,7 +226,10 @@ def interval(assigns: DataFrame, e: DataFrame, fn: Sequence[str] = (), *, entry:
     outside ``full`` widen to ``full`` (C leaves overflow open).  ``entry``: (fn,
     node, var, lo, hi) before entry nodes.  ``refine`` may narrow what flows
     along an edge: it gets rows (fn, src, dst, label, var, lo, hi) and returns them.
-    ``reached`` (fn, node): the only nodes that take part, if given.
+    ``reached`` (fn, node): the only nodes that take part, if given.  ``heads`` (fn,
+    node): only there values widen, each end by itself (``graph.loop_heads`` meets every cycle).  Up to
+    ``narrow`` rounds then take back what widening lost: values are found anew from
+    those before them, which only makes them smaller, until none changes.
     The transfer of operators follows C on bounds; what the domain cannot say is ``full``.
     """
     fn = list(fn)
@@ -275,13 +279,82 @@ def interval(assigns: DataFrame, e: DataFrame, fn: Sequence[str] = (), *, entry:
 
     def widen(rows: DataFrame) -> DataFrame:
         lo, hi = ranges.widen(F.col("old_lo"), F.col("old_hi"), F.col("lo"), F.col("hi"), lo_all, hi_all)
-        had = F.col("_had").isNotNull()
-        return rows.withColumn("_lo", F.when(had, lo).otherwise(F.col("lo"))).withColumn("_hi", F.when(had, hi).otherwise(F.col("hi"))).drop("lo", "hi").withColumnsRenamed({"_lo": "lo", "_hi": "hi"})
+        may = F.col("_had").isNotNull()
+        if heads is not None:  # an end that doesn't move stays, or narrowing could not find it again
+            rows = rows.join(at, node, "left")
+            may = may & F.col("_head").isNotNull()
+            lo, hi = F.when(F.col("lo") < F.col("old_lo"), lo_all).otherwise(F.col("lo")), F.when(F.col("hi") > F.col("old_hi"), hi_all).otherwise(F.col("hi"))
+        rows = rows.withColumn("_lo", F.when(may, lo).otherwise(F.col("lo"))).withColumn("_hi", F.when(may, hi).otherwise(F.col("hi")))
+        return rows.drop("lo", "hi", "_head").withColumnsRenamed({"_lo": "lo", "_hi": "hi"})
 
     start = entry.select(*node).unionByName(assigns.select(*node)).distinct()
     seed = after(entry.groupBy(*node, "var").agg(*ranges.meet_all("lo", "hi")), start)
     with tables:
-        return close_values(seed, [*node, "var"], ["lo", "hi"], ranges.meet_all("lo", "hi"), step, widen=widen, widen_after=widen_after)
+        if heads is not None:
+            at = tables.keep(heads.select(*node).distinct().withColumn("_head", F.lit(True)))
+        facts = close_values(seed, [*node, "var"], ["lo", "hi"], ranges.meet_all("lo", "hi"), step, widen=widen, widen_after=widen_after)
+        result, again = Tables(e.sparkSession), tables.keep(start.unionByName(e.select(*fn, F.col("dst").alias("node"))).distinct())
+        for _ in range(narrow):
+            anew = after(before(facts, again), again).groupBy(*node, "var").agg(*ranges.meet_all("lo", "hi")).withColumn("_new", F.lit(True))
+            old = facts.withColumnsRenamed({"lo": "_lo", "hi": "_hi"}).join(again, node, "left_semi")
+            same = F.col("lo").eqNullSafe(F.col("_lo")) & F.col("hi").eqNullSafe(F.col("_hi"))
+            both = old.join(anew, [*node, "var"], "left").withColumn("_moved", ~same)
+            found, _, moved = tables.put(both, "_moved")
+            if not moved:
+                break
+            rest = facts.join(again, node, "left_anti")
+            facts = result.keep(rest.unionByName(found.where("_new").select(facts.columns)))
+            again = tables.keep(e.join(found.where("_moved").select(*fn, F.col("node").alias("src")).distinct(), [*fn, "src"], "left_semi").select(*fn, F.col("dst").alias("node")).distinct())
+        return facts
+
+
+def branch_limits(conditions: DataFrame, fn: Sequence[str] = ()) -> Callable[[DataFrame], DataFrame]:
+    """``refine`` of ``interval``: a comparison that a branch is taken by bounds its operands on either side.
+
+    ``conditions``: (fn, node, xkind, a_var, a_const, b_var, b_const): node branches on a op b
+    (see ``comparisons``).  x < y bounds x by y's upper end and y by x's lower end;
+    the false side has the opposite comparison.  A side on which nothing remains of
+    a range passes nothing of that variable on.
+    """
+    fn = list(fn)
+    opposite = {int(X.LT): int(X.GE), int(X.GE): int(X.LT), int(X.EQ): int(X.NE), int(X.NE): int(X.EQ)}
+    side = lambda s: (F.col(f"{s}_var"), F.col(f"{s}_const"))
+
+    def limits(op: Column, label: EdgeLabel) -> list[Column]:
+        """At most / at least rows: var, other, constant, upper, distance."""
+        row = lambda s, o, upper, when, d: F.when(when, F.struct(F.lit(int(label)).alias("label"), side(s)[0].alias("var"), side(o)[0].alias("_other"), side(o)[1].alias("_const"), F.lit(upper).alias("_upper"), d.alias("_by")))
+        lt, ge, eq = op == int(X.LT), op == int(X.GE), op == int(X.EQ)
+        d = F.when(lt, 1).otherwise(0)
+        return [row("a", "b", True, lt | eq, d), row("b", "a", False, lt | eq, d), row("a", "b", False, ge | eq, d), row("b", "a", True, ge | eq, d)]
+
+    op = F.col("xkind")
+    negated = F.coalesce(*[F.when(op == k, v) for k, v in opposite.items()])
+    rows = conditions.select(*fn, F.col("node").alias("src"), F.inline(F.array_compact(F.array(*limits(op, EdgeLabel.TRUE), *limits(negated, EdgeLabel.FALSE))))).where("var is not null")
+
+    def refine(flow: DataFrame) -> DataFrame:
+        other = flow.select(*fn, "src", "label", F.col("var").alias("_other"), F.col("lo").alias("_olo"), F.col("hi").alias("_ohi")).distinct()
+        at = [*fn, "src", "label"]
+        own = rows.withColumn("label", F.col("label").cast(flow.schema["label"].dataType)).join(other, [*at, "_other"], "left")
+        upper, lower = F.coalesce("_const", "_ohi") - F.col("_by"), F.coalesce("_const", "_olo") + F.col("_by")
+        own = own.groupBy(*at, "var").agg(F.min(F.when(F.col("_upper"), upper)).alias("_most"), F.max(F.when(~F.col("_upper"), lower)).alias("_least"))
+        out = flow.join(own, [*at, "var"], "left").withColumns({"lo": F.greatest("lo", "_least"), "hi": F.least("hi", "_most")}).where("lo <= hi")
+        return out.select(flow.columns)
+
+    return refine
+
+
+def comparisons(branches: DataFrame, assigns: DataFrame, e: DataFrame, fn: Sequence[str] = ()) -> DataFrame:
+    """``conditions`` of ``branch_limits`` for branches (fn, node, var) on a variable that a comparison was put in.
+
+    The comparison must be the variable's only assignment and lie right before the
+    branch on every way to it, so that its operands still are what was compared.
+    """
+    fn = list(fn)
+    only = assigns.join(assigns.groupBy(*fn, "var").agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n"), [*fn, "var"], "left_semi")
+    only = only.where(F.col("xkind").between(int(X.EQ), int(X.GE)) & ~F.col("a_var").eqNullSafe(F.col("var")) & ~F.col("b_var").eqNullSafe(F.col("var")))
+    before = e.groupBy(*fn, F.col("dst").alias("node")).agg(F.min("src").alias("_def"), F.max("src").alias("_last")).where("_def = _last").drop("_last")
+    found = branches.select(*fn, "node", "var").join(before, [*fn, "node"])
+    return found.join(only.withColumnRenamed("node", "_def"), [*fn, "_def", "var"]).select(*fn, "node", "xkind", "a_var", "a_const", "b_var", "b_const")
 
 
 def known_operands(x: Column, alo: Column, ahi: Column, blo: Column, bhi: Column) -> Column:
