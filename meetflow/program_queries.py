@@ -962,23 +962,24 @@ def dump_units(spark, sf_dir):
     return text.dump(t).join(t["tu"].select("tu_id", F.col("name").alias("unit")), "tu_id").select("unit", "part", "text")
 
 
-@query("""SELECT * FROM (VALUES ('sum.c', 0, 'x = y + 10'), ('branch.c', 0, 'if c'), ('branch.c', 1, 'yes:'), ('branch.c', 2, 'x = 1'), ('branch.c', 3, 'goto end'), ('branch.c', 4, 'no:'), ('branch.c', 5, 'x = 2'), ('branch.c', 6, 'end:'), ('branch.c', 7, 'return x'),
- ('all.c', 0, 'nop'), ('all.c', 1, 'barrier'), ('all.c', 2, 'use'), ('all.c', 3, 'a'), ('all.c', 4, 'f:callee(a)'), ('all.c', 5, 'a = f:callee(b)'), ('all.c', 6, '*a = b')) t(unit, seq, text)""")
-def example_units(spark, sf_dir):
-    """Units built by hand, as text; instructions of every constructor."""
-    every = build.Unit("all.c")
-    f = every.function("f:main")
-    g, a, b = every.function("callee"), every.var("v:main:a", f), every.var("v:main:b", f)
-    every.nop(f), every.barrier(f), every.use(f, a, b), every.self_assign(f, a), every.call(f, g, a)
-    every.assign(f, build.value(a), build.expr(X.CALL, g, None, [b]))
-    every.assign(f, build.expr(X.DEREF, a), build.value(b))
-    out = None
-    for u in (build.example_sum(), build.example_branch(), every):
-        t = u.tables(spark)
-        ops = text.operand_text(t["entity"], text.names(t["entity"], t["name_id"], t["data_type"]))
-        d = text.insn_text(t["insn"], ops).select(F.lit(u.rows["tu"][0]["name"]).alias("unit"), "seq", F.replace("text", F.lit("callee("), F.lit("f:callee(")).alias("text"))
-        out = d if out is None else out.unionByName(d)
-    return out
+@query(f"""WITH {PROG_SQL}, n AS (SELECT n_nationkey AS i, n_name AS s FROM nation), o AS (SELECT ins.*, a.s AS a, b.s AS b, c.s AS c, k % 10 AS m FROM ins JOIN n a ON a.i = k % 25 JOIN n b ON b.i = (k + 7) % 25 JOIN n c ON c.i = (k + 11) % 25)
+ SELECT fid, seq, CAST(CASE t WHEN 'view' THEN CASE WHEN k % 2 = 0 THEN 15 ELSE 13 END WHEN 'click' THEN 14 WHEN 'signup' THEN CASE m WHEN 0 THEN 7 WHEN 1 THEN 8 WHEN 2 THEN 9 WHEN 3 THEN 10 ELSE 6 END WHEN 'purchase' THEN CASE WHEN m < 5 THEN 12 ELSE 16 END
+ ELSE CASE m WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 5 END END AS INT) AS ikind,
+ CASE t WHEN 'view' THEN CASE WHEN k % 2 = 0 THEN a || ':' ELSE 'goto ' || a END WHEN 'click' THEN 'if ' || a WHEN 'signup' THEN CASE m WHEN 0 THEN a || ' = ' || b WHEN 1 THEN a || ' = ' || b || ' + ' || c WHEN 2 THEN '*' || a || ' = ' || b WHEN 3 THEN a || ' = ' || b || '(' || c || ', ' || a || ')' ELSE a END
+ WHEN 'purchase' THEN CASE WHEN m < 5 THEN a || '(' || b || ')' ELSE 'return ' || a END ELSE CASE m WHEN 0 THEN 'nop' WHEN 1 THEN 'barrier' WHEN 2 THEN 'use_kill' ELSE 'use' END END AS text FROM o""")
+def constructed_insns(spark, sf_dir):
+    """Events as instructions of every constructor over names of nations, as text."""
+    R, k, m = build.Rows, F.col("k"), F.col("k") % 10
+    a, b, c = k % 25, (k + 7) % 25, (k + 11) % 25
+    signup = (F.when(m == 0, R.assign(R.value(a), R.value(b))).when(m == 1, R.assign(R.value(a), R.expr(X.ADD, b, c))).when(m == 2, R.assign(R.expr(X.DEREF, a), R.value(b)))
+              .when(m == 3, R.assign(R.value(a), R.expr(X.CALL, b, None, c, a))).otherwise(R.self_assign(a)))
+    other = F.when(m == 0, R.one(I.NOP)).when(m == 1, R.one(I.BARRIER)).when(m == 2, R.use(a, b, c, kill=True)).otherwise(R.use(a, b))
+    made = (F.when(F.col("t") == "view", F.when(k % 2 == 0, R.one(I.LABEL, a)).otherwise(R.one(I.GOTO, a))).when(F.col("t") == "click", R.cond(a, b, c)).when(F.col("t") == "signup", signup)
+            .when(F.col("t") == "purchase", F.when(m < 5, R.call(a, b)).otherwise(R.one(I.RETURN, a))).otherwise(other))
+    one = F.lit(1).cast("bigint").alias("tu_id")
+    insn = program(spark, sf_dir).select(one, "fid", "seq", made.alias("i")).select("tu_id", "fid", "seq", "i.*")
+    names = table(spark, sf_dir, "nation").select(one, F.col("n_nationkey").cast("bigint").alias("eid"), F.col("n_name").alias("text"))
+    return text.insn_text(insn, names).select("fid", "seq", "ikind", "text")
 
 
 @query("SELECT user_id AS fn, max(CAST(value AS INT)) AS version, count(*) FILTER (WHERE CAST(value AS INT) = m) AS n FROM (SELECT *, max(CAST(value AS INT)) OVER (PARTITION BY user_id) AS m FROM events) x GROUP BY 1")

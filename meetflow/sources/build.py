@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.kinds import EntityKind, ExprKind, InsnKind, ValueKind
+from ..functions.scalars import assign_kind
 from .schema import SCHEMAS
 from .wire import unit_bytes
 
@@ -23,6 +25,57 @@ def simple(e: dict) -> bool:
     return e["xkind"] == X.VAL
 
 
+class Rows:
+    """Instructions from columns: struct<ikind, expr1, expr2>, for programs that are rows of tables."""
+
+    EXPR = "struct<xkind:int,op1:bigint,op2:bigint,args:array<bigint>>"
+
+    @staticmethod
+    def expr(kind: Column | int, op1: Column | None = None, op2: Column | None = None, *args: Column) -> Column:
+        none = F.lit(None)
+        x = kind if isinstance(kind, Column) else F.lit(int(kind))
+        return F.struct(x.alias("xkind"), (none if op1 is None else op1).alias("op1"), (none if op2 is None else op2).alias("op2"), F.array(*args).alias("args")).cast(Rows.EXPR)
+
+    @staticmethod
+    def value(op1: Column, op2: Column | None = None) -> Column:
+        return Rows.expr(X.VAL, op1, op2)
+
+    @staticmethod
+    def insn(kind: Column | int, expr1: Column | None = None, expr2: Column | None = None) -> Column:
+        none = F.lit(None).cast(Rows.EXPR)
+        k = kind if isinstance(kind, Column) else F.lit(int(kind))
+        return F.struct(k.alias("ikind"), (none if expr1 is None else expr1).alias("expr1"), (none if expr2 is None else expr2).alias("expr2"))
+
+    @staticmethod
+    def use(a: Column, b: Column | None = None, c: Column | None = None, kill: bool = False) -> Column:
+        return Rows.insn(I.USE_KILL if kill else I.USE, Rows.value(a, b), None if c is None else Rows.value(c))
+
+    @staticmethod
+    def assign(left: Column, right: Column) -> Column:
+        """The kind follows from the sides; an error if both are compound."""
+        plain = lambda e: e["xkind"] == int(X.VAL)
+        kind = assign_kind(plain(left), plain(right), right["xkind"] == int(X.CALL))
+        both = F.raise_error(F.lit("both sides are compound")).cast("int")
+        return Rows.insn(F.when(~plain(left) & ~plain(right), both).otherwise(kind), left, right)
+
+    @staticmethod
+    def self_assign(a: Column) -> Column:
+        return Rows.insn(I.ASGN_SELF, Rows.value(a))
+
+    @staticmethod
+    def call(callee: Column, *args: Column) -> Column:
+        return Rows.insn(I.CALL, Rows.expr(X.CALL, callee, None, *args))
+
+    @staticmethod
+    def cond(a: Column, true: Column, false: Column) -> Column:
+        return Rows.insn(I.COND, Rows.value(a), Rows.value(true, false))
+
+    @staticmethod
+    def one(kind: InsnKind, a: Column | None = None) -> Column:
+        """Nops and barriers; gotos, labels and returns with their operand."""
+        return Rows.insn(kind, None if a is None else Rows.value(a))
+
+
 class Unit:
     """Collects rows; ids are handed out in order of use, names to ids must be unique."""
 

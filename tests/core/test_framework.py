@@ -132,3 +132,28 @@ def test_stores(spark):
     w = spark.createDataFrame([("a",), ("b",)], "k string")
     assert {r["k"]: r["v"] for r in maps.with_default(d, w, ["k"], {"v": 7}).collect()} == {"a": 1, "b": 7}
     assert maps.scoped(d, w.where("k = 'b'"), ["k"]).count() == 0
+
+
+def test_units_as_text(spark):
+    """Units built by hand, as text; instructions of the other constructors."""
+    from meetflow.functions.kinds import ExprKind as X
+    from meetflow.sources import text
+
+    every = build.Unit("all.c")
+    f = every.function("f:main")
+    g, a, b = every.function("callee"), every.var("v:main:a", f), every.var("v:main:b", f)
+    every.nop(f), every.barrier(f), every.use(f, a, b), every.self_assign(f, a), every.call(f, g, a)
+    every.assign(f, build.value(a), build.expr(X.CALL, g, None, [b]))
+    every.assign(f, build.expr(X.DEREF, a), build.value(b))
+
+    def lines(u):
+        t = u.tables(spark)
+        ops = text.operand_text(t["entity"], text.names(t["entity"], t["name_id"], t["data_type"]))
+        return [r["text"] for r in text.insn_text(t["insn"], ops).orderBy("seq").collect()]
+
+    assert lines(build.example_sum()) == ["x = y + 10"]
+    assert lines(build.example_branch()) == ["if c", "yes:", "x = 1", "goto end", "no:", "x = 2", "end:", "return x"]
+    assert lines(every) == ["nop", "barrier", "use", "a", "callee(a)", "a = callee(b)", "*a = b"]
+    bad = build.Rows.assign(build.Rows.expr(X.DEREF, F.col("id")), build.Rows.expr(X.ADD, F.col("id"), F.col("id")))
+    with pytest.raises(Exception, match="both sides are compound"):
+        spark.range(1).select(bad["ikind"]).collect()
