@@ -26,6 +26,8 @@ def test_sql(spark, sf, name):
     ("op6_kneser_ney", ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]),
     ("op7_shard_bytes", ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]),
     ("op10_secret_formats", ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]),
+    ("op11_suffix_repeats", ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]),
+    ("op12_align_tokenizers", ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]),
 ])
 def test_contracts(spark, sf, name, columns):
     rows = queries.QUERIES[name](spark, sf)
