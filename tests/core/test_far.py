@@ -43,30 +43,31 @@ def test_rounds_of_a_long_chain(spark, monkeypatch):
     assert len(jobs) < 35  # eighteen jumps, the rest tables that are read again
 
 
-def loop(spark, step, limit, kind="LT", swapped=False):
-    """x = 0; while (x < limit) x += step; y = x; with the limit in a variable n where ``limit`` is a pair of bounds."""
+def loops(spark, cases):
+    """x = 0; while (x < limit) x += step; y = x; a function each; with the limit in a variable n where it is a pair of bounds; GE: while not (x >= limit)."""
     from meetflow.functions.kinds import ExprKind as X
     from meetflow.operators import graph
 
-    var = isinstance(limit, tuple)
-    n = ("n", None) if var else (None, limit)
-    test = ("f", 1, "t", int(X[kind]), *(n if swapped else ("x", None)), *(("x", None) if swapped else n), False)
-    a = spark.createDataFrame([("f", 0, "x", int(X.VAL), None, 0, None, None, False), test, ("f", 3, "x", int(X.ADD), "x", None, None, step, False), ("f", 4, "y", int(X.VAL), "x", None, None, None, False)],
-                              "f string, node int, var string, xkind int, a_var string, a_const long, b_var string, b_const long, weak boolean")
-    yes, no = (2, 1) if kind == "GE" and not swapped else (1, 2)
-    e = spark.createDataFrame([("f", 0, 1, 0), ("f", 1, 2, 0), ("f", 2, 3, yes), ("f", 3, 1, 0), ("f", 2, 4, no)], "f string, src int, dst int, label int")
-    entry = spark.createDataFrame([("f", 0, "n", *limit)] if var else [], "f string, node int, var string, lo long, hi long")
-    conditions = analyses.comparisons(spark.createDataFrame([("f", 2, "t")], "f string, node int, var string"), a, e, ["f"])
-    assert conditions.count() == 1
+    assigns, edges, entry = [], [], []
+    for f, (step, limit, kind) in cases.items():
+        var = isinstance(limit, tuple)
+        n = ("n", None) if var else (None, limit)
+        assigns += [(f, 0, "x", int(X.VAL), None, 0, None, None, False), (f, 1, "t", int(X[kind]), "x", None, *n, False), (f, 3, "x", int(X.ADD), "x", None, None, step, False), (f, 4, "y", int(X.VAL), "x", None, None, None, False)]
+        yes, no = (2, 1) if kind == "GE" else (1, 2)
+        edges += [(f, 0, 1, 0), (f, 1, 2, 0), (f, 2, 3, yes), (f, 3, 1, 0), (f, 2, 4, no)]
+        entry += [(f, 0, "n", *limit)] if var else []
+    a = spark.createDataFrame(assigns, "f string, node int, var string, xkind int, a_var string, a_const long, b_var string, b_const long, weak boolean")
+    e = spark.createDataFrame(edges, "f string, src int, dst int, label int")
+    conditions = analyses.comparisons(spark.createDataFrame([(f, 2, "t") for f in cases], "f string, node int, var string"), a, e, ["f"])
+    assert conditions.count() == len(cases)
+    entry = spark.createDataFrame(entry, "f string, node int, var string, lo long, hi long")
     got = analyses.interval(a, e, ["f"], entry=entry, full=(-(2**31), 2**31 - 1), refine=analyses.branch_limits(conditions, ["f"]), heads=graph.loop_heads(e, ["f"]), widen_after=2, narrow=8)
-    return {(r["node"], r["var"]): (r["lo"], r["hi"]) for r in got.collect()}
+    return {(r["f"], r["node"], r["var"]): (r["lo"], r["hi"]) for r in got.collect()}
 
 
 def test_counted_loops(spark):
-    """The bound of a counted loop is exact, by a constant, by a variable on either side, by the false side of x >= n."""
-    got = loop(spark, 1, 10)
-    assert (got[1, "x"], got[3, "x"], got[4, "y"], got[1, "t"]) == ((0, 10), (1, 10), (10, 10), (0, 1))
-    got = loop(spark, 3, (5, 20))
-    assert (got[1, "x"], got[3, "x"], got[4, "y"], got[4, "n"]) == ((0, 22), (3, 22), (5, 22), (5, 20))
-    got = loop(spark, 1, 7, "GE")
-    assert (got[1, "x"], got[4, "y"]) == ((0, 7), (7, 7))
+    """The bound of a counted loop is exact, by a constant, by a variable, by the false side of x >= n."""
+    got = loops(spark, {"f": (1, 10, "LT"), "g": (3, (5, 20), "LT"), "h": (1, 7, "GE")})
+    assert (got["f", 1, "x"], got["f", 3, "x"], got["f", 4, "y"], got["f", 1, "t"]) == ((0, 10), (1, 10), (10, 10), (0, 1))
+    assert (got["g", 1, "x"], got["g", 3, "x"], got["g", 4, "y"], got["g", 4, "n"]) == ((0, 22), (3, 22), (5, 22), (5, 20))
+    assert (got["h", 1, "x"], got["h", 4, "y"]) == ((0, 7), (7, 7))
