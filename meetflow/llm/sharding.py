@@ -2,42 +2,65 @@
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cut import cut, stored
 
-#: A group of equal texts of more than this part of a shard is placed by itself; so there are at most 100 a shard.
-GROUP_PART = 100
 GROUP = ["_h", "size", "text_crc32"]
+#: Places a shard at which group borders are looked up; a cut may move to any of them less than a shard away.
+LOOKS = 8
 
 
 def prefix(column: str, order: Window) -> Column:
     return F.coalesce(F.sum(column).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
-def shard_at(place: Column, fills: list[float]) -> Column:
-    """The last shard whose fill begins at or before a place, by halving."""
-    n, begins = len(fills), F.array(*[F.lit(x) for x in fills])
+def shard_at(place: Column, begins: list[int]) -> Column:
+    """The last shard that begins at or before a place, by halving."""
+    n, at_ = len(begins), F.array(*[F.lit(x) for x in begins])
     steps = [1 << k for k in reversed(range(n.bit_length()))]
     return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0),
-                       lambda at, x: F.when((at + x < n) & (F.get(begins, at + x) <= place), at + x).otherwise(at))
+                       lambda at, x: F.when((at + x < n) & (F.get(at_, at + x) <= place), at + x).otherwise(at))
+
+
+def choose_cuts(borders: dict[int, int], near: dict[int, list[int]], total: int, n: int) -> list[tuple[int, int]]:
+    """(byte, row) at which each shard begins.
+
+    ``borders`` gives the rows before each known border, ``near`` the borders about
+    each of the targets 1 to n-1.  Of all ascending choices the one with the least
+    sum of (size / mean - 1) ** 4 is taken, target by target.
+    """
+    cost = lambda a, b: ((b - a) * n / total - 1) ** 4
+    best, back = {0: 0.0}, []
+    for k in range(1, n):
+        found = {}
+        for b in near[k]:
+            found[b] = min(((c + cost(a, b), a) for a, c in best.items() if a <= b), default=None)
+        found = {b: x for b, x in found.items() if x is not None}
+        back.append({b: x[1] for b, x in found.items()})
+        best = {b: x[0] for b, x in found.items()}
+    at = min(best, key=lambda b: (best[b] + cost(b, total), b))
+    cuts = [at]
+    for step in reversed(back):
+        cuts.append(step[cuts[-1]])
+    return [(b, borders[b]) for b in reversed(cuts)]
 
 
 def balanced_shards(docs: DataFrame, n_shards: int, *, id_col: str = "doc_id", text_col: str = "text",
                     overhead: int = 16) -> DataFrame:
     """Contiguous shards of nearly equal bytes that keep equal texts together.
 
-    Equal texts are a group.  A group of at most one shard stays whole; a larger
-    one is cut.  Groups of more than 1/100 of a shard (at most 100 a shard, so
-    tables of them are small) are dealt out first, by size, to and fro over the
-    shards; what a shard has left is its fill.  All other groups lie in order of
-    (xxhash64(text), size, crc32) on one line of bytes: groups larger than a shard
-    first, then range partitions whose totals become offsets.  The line is cut
-    where the fills say, groups go where their middle lies, and only rows of a
-    group larger than a shard are placed one by one.
+    All rows lie on one line of bytes in the order of (xxhash64(text), size, crc32,
+    id): range partitions, whose totals become offsets, and running sums inside.
+    Equal texts are neighbours there and form a group.  The line is cut near equal
+    targets, and only at borders of groups; a group larger than a shard may be cut
+    between any two of its rows.  Borders are looked up at eight places a shard
+    (the last at or before a place, the first after it), so the driver sees at
+    most sixteen numbers a shard; among those less than a shard from a target the
+    cuts are chosen together, so that what one shard has too much the next ones
+    lack.  A row's shard is the last that begins at or before it, its slot what
+    rows lie between.  A group, whatever its size, never meets in one task.
 
     Returns id, ``size`` (UTF-8 bytes + ``overhead``), ``text_crc32``, ``shard``
     and ``slot`` (0, 1, ... in each shard).  Null text counts as empty; null and
@@ -72,62 +95,34 @@ def _placed(src: DataFrame, n: int, overhead: int) -> DataFrame:
         F.xxhash64(F.coalesce("_text", F.lit(""))).alias("_h"),
         F.spark_partition_id().alias("_part"),
     ))
-    groups = base.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_bytes", F.col("_rows") * F.col("size"))
-    groups = cut(groups.repartitionByRange(*GROUP).withColumn("_pid", F.spark_partition_id()))
-    total = groups.agg(F.coalesce(F.sum("_bytes"), F.lit(0))).first()[0]
-    share = F.col("_bytes") * n
-    large = cut(groups.where(share * GROUP_PART > total).withColumn("_huge", share > total))
-
-    # groups of at most a shard, largest first, to and fro over the shards
-    turn = F.row_number().over(Window.orderBy(F.desc("_bytes"), *GROUP)) - 1
-    lap, at = F.floor(turn / n), turn % n
-    dealt = large.where("not _huge").withColumn("shard", F.when(lap % 2 == 0, at).otherwise(n - 1 - at).cast("int"))
-    dealt = cut(dealt.withColumn("_row0", prefix("_rows", Window.partitionBy("shard").orderBy(F.desc("_bytes"), *GROUP))))
-    held = {r["shard"]: r for r in dealt.groupBy("shard").agg(F.sum("_bytes").alias("b"), F.sum("_rows").alias("n")).collect()}  # a row a shard
-    room = [max(total / n - (held[k]["b"] if k in held else 0), 0.0) for k in range(n)]
-    line = total - sum(r["b"] for r in held.values())
-    fills = [x * (line / sum(room) if sum(room) else 1.0) for x in accumulate(room, initial=0.0)][:n]
-    first = large.where("_huge").agg(F.coalesce(F.sum("_bytes"), F.lit(0))).first()[0]
-
-    # small groups: totals of range partitions, then places inside
-    small = groups.where(share * GROUP_PART <= total)
-    totals = small.groupBy("_pid").agg(F.sum("_bytes").alias("_sum"))
-    totals = totals.select("_pid", prefix("_sum", Window.orderBy("_pid")).alias("_byte0"))
-    middle = first + F.col("_byte0") + prefix("_bytes", Window.partitionBy("_pid").orderBy(*GROUP)) + F.col("_bytes") / 2
-    small = small.join(F.broadcast(totals), "_pid").withColumn("_mid", middle)
-    small = cut(small.select(*GROUP, "_rows", "_pid", shard_at(F.col("_mid"), fills).alias("shard")))
-    counts = small.groupBy("shard", "_pid").agg(F.sum("_rows").alias("_n"))
-    nsmall = counts.groupBy("shard").agg(F.sum("_n").alias("_nsmall"))
-    counts = counts.select("shard", "_pid", prefix("_n", Window.partitionBy("shard").orderBy("_pid")).alias("_row0"))
-    inside = prefix("_rows", Window.partitionBy("_pid", "shard").orderBy(*GROUP))
-    small = small.withColumn("_slot0", inside).join(counts, ["shard", "_pid"]).select(*GROUP, "shard", (F.col("_row0") + F.col("_slot0")).alias("_slot0"))
-
-    # rows of small groups meet their group; each group is at most 1/100 of a shard
-    names = F.broadcast(large.select(*GROUP, "_huge"))
-    nth = F.row_number().over(Window.partitionBy(*GROUP).orderBy("_id")) - 1
-    few = base.join(names, GROUP, "left_anti").withColumn("_nth", nth).join(small, GROUP)
-    few = few.select("_id", "size", "text_crc32", "shard", (F.col("_slot0") + F.col("_nth")).alias("slot"))
-
-    # rows of large groups: the place in a group by range partitions of it
-    many = cut(base.join(names, GROUP).repartitionByRange(*GROUP, "_id", "_part").withColumn("_pid", F.spark_partition_id()))
-    part = many.groupBy(*GROUP, "_pid").agg(F.count(F.lit(1)).alias("_n"))
-    part = part.select(*GROUP, "_pid", prefix("_n", Window.partitionBy(*GROUP).orderBy("_pid")).alias("_before"))
-    nth = F.row_number().over(Window.partitionBy(*GROUP, "_pid").orderBy("_id")) - 1
-    many = many.withColumn("_in", nth).join(part, [*GROUP, "_pid"]).withColumn("_nth", F.col("_before") + F.col("_in"))
-    above = src.sparkSession.createDataFrame([(k, held[k]["n"] if k in held else 0) for k in range(n)], "shard int, _nheld long")
-    above = above.join(nsmall, "shard", "left").withColumn("_nsmall", F.coalesce("_nsmall", F.lit(0)))
-    above = F.broadcast(cut(above.withColumn("_above", F.col("_nsmall") + F.col("_nheld"))))
-    single = many.where("not _huge").join(F.broadcast(dealt.select(*GROUP, "shard", "_row0")), GROUP).join(above, "shard")
-    single = single.select("_id", "size", "text_crc32", "shard", (F.col("_nsmall") + F.col("_row0") + F.col("_nth")).alias("slot"))
-    huge = large.where("_huge").select(*GROUP, prefix("_bytes", Window.orderBy(*GROUP)).alias("_byte0"))
-    cutup = many.where("_huge").join(F.broadcast(huge), GROUP)
-    cutup = cut(cutup.withColumn("shard", shard_at(F.col("_byte0") + (F.col("_nth") + F.lit(0.5)) * F.col("size"), fills)).select(
-        "_id", "size", "text_crc32", *[F.col(c).alias(f"_{c}") for c in GROUP], "_nth", "shard"))
-    mine = ["__h", "_size", "_text_crc32"]
-    first = cutup.groupBy("shard", *mine).agg(F.min("_nth").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    first = first.withColumn("_over", prefix("_n", Window.partitionBy("shard").orderBy(*mine))).drop("_n")
-    cutup = cutup.join(F.broadcast(first), ["shard", *mine]).join(above, "shard")
-    cutup = cutup.select("_id", "size", "text_crc32", "shard", (F.col("_above") + F.col("_over") + F.col("_nth") - F.col("_first")).alias("slot"))
-    out = few.unionByName(single).unionByName(cutup)
-    return out.withColumn("shard", F.col("shard").cast("int")).withColumn("slot", F.col("slot").cast("long"))
-
+    line = [*GROUP, "_id", "_part"]
+    rows = cut(base.repartitionByRange(*line).withColumn("_pid", F.spark_partition_id()))
+    totals = rows.groupBy("_pid").agg(F.sum("size").alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
+    parts = Window.orderBy("_pid")  # a row a partition
+    totals = totals.select("_pid", prefix("_bytes", parts).alias("_byte0"), prefix("_rows", parts).alias("_row0"))
+    inside = Window.partitionBy("_pid").orderBy(*line)
+    rows = rows.withColumn("_byte", prefix("size", inside)).withColumn("_nth", F.row_number().over(inside) - 1).join(F.broadcast(totals), "_pid")
+    rows = cut(rows.select("_id", *GROUP, (F.col("_byte0") + F.col("_byte")).alias("_byte"), (F.col("_row0") + F.col("_nth")).alias("_nth")))
+    total = rows.agg(F.coalesce(F.max(F.col("_byte") + F.col("size")), F.lit(0))).first()[0]
+
+    # of each place that is looked at, the border at or before it and the one after it
+    groups = rows.groupBy(*GROUP).agg(F.min("_byte").alias("_from"), F.min("_nth").alias("_row0"), F.count(F.lit(1)).alias("_rows"))
+    groups = groups.withColumn("_bytes", F.col("_rows") * F.col("size"))
+    groups = groups.withColumn("_unit", F.when(F.col("_bytes") * n > total, F.lit(1)).otherwise(F.col("_rows")))
+    looks = n * LOOKS
+    first, last = F.expr(f"(_from * {looks}L + {total - 1}L) div {max(total, 1)}L"), F.expr(f"((_from + _bytes) * {looks}L - 1) div {max(total, 1)}L")
+    found = groups.select("*", first.alias("_a"), last.alias("_b")).where("_a <= _b").withColumn("_look", F.explode(F.sequence("_a", "_b")))
+    units = F.expr(f"((_look * {total}L) div {looks}L - _from) div (size * _unit)")
+    found = found.select("_look", "size", "_from", "_row0", "_unit", "_rows", (units * F.col("_unit")).alias("_before"))
+    borders, near = {0: 0}, {k: [] for k in range(1, n)}
+    for r in found.collect():  # at most n * LOOKS
+        for count in (r["_before"], min(r["_before"] + r["_unit"], r["_rows"])):
+            byte = r["_from"] + count * r["size"]
+            borders[byte] = r["_row0"] + count
+            for k in range(max(1, r["_look"] // LOOKS), min(n - 1, -(-r["_look"] // LOOKS)) + 1):
+                near[k].append(byte)
+    cuts = choose_cuts(borders, {k: sorted(set(x)) for k, x in near.items()}, total, n) if total else [(0, 0)] * n
+    shard = shard_at(F.col("_byte"), [b for b, _ in cuts])
+    out = rows.withColumn("shard", shard.cast("int"))
+    start = F.get(F.array(*[F.lit(r).cast("long") for _, r in cuts]), F.col("shard"))
+    return out.select("_id", "size", "text_crc32", "shard", (F.col("_nth") - start).cast("long").alias("slot"))

@@ -46,7 +46,36 @@ def test_shards_keep_groups_whole(spark):
     d = spark.createDataFrame([(i % 50 if i % 3 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(6)
     groups, sizes = shards_of(d, 8)
     parted = [g for g, s in groups.items() if len(s) > 1]
-    assert parted == [(48, zlib.crc32(b"hot " * 8))] and max(sizes) - min(sizes) <= sum(sizes) / 8 / 20
+    whole = collections.Counter(t for t in texts if t != "hot " * 8)
+    largest = max(n * (len(t or "") + 16) for t, n in whole.items())
+    assert parted == [(48, zlib.crc32(b"hot " * 8))] and all(abs(s - sum(sizes) / 8) <= largest / 2 for s in sizes)
+
+
+def test_shards_of_few_large_texts(spark):
+    """Texts of up to most of a shard: no shard is further from the mean than cuts at the nearest borders would leave it."""
+    from meetflow.llm.sharding import choose_cuts
+
+    rng = random.Random(9)
+    texts = [f"{k} " + "x" * int(rng.paretovariate(0.9) * 40) for k in range(300)]
+    texts = [t[:6000] for t in texts]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    groups, sizes = shards_of(d, 12)
+    mean, largest = sum(sizes) / 12, max(len(t) for t in texts) + 16
+    assert largest <= mean and all(len(s) == 1 for s in groups.values())
+    assert max(sizes) <= mean + largest / 2 and min(sizes) >= mean - largest / 2
+    # all borders known: no other choice of cuts has a smaller sum
+    step = [rng.randint(1, 9) for _ in range(9)]
+    borders = {sum(step[:k]): k for k in range(10)}
+    total = sum(step)
+    cuts = [b for b, _ in choose_cuts(borders, {k: sorted(borders) for k in (1, 2)}, total, 3)]
+    cost = lambda at: sum(((b - a) * 3 / total - 1) ** 4 for a, b in zip(at, at[1:]))
+    assert cost([*cuts, total]) == pytest.approx(min(cost([0, a, b, total]) for a in borders for b in borders if a <= b))
+
+
+def test_shards_of_one_group_and_of_one_row(spark):
+    d = spark.createDataFrame([(i % 3, "same text") for i in range(1000)], "doc_id long, text string").repartition(4)
+    assert shards_of(d, 8)[1] == [125 * 25] * 8
+    assert sorted(shards_of(d.limit(1), 8)[1]) == [0] * 7 + [25]
 
 
 def test_shard_documents(spark):
