@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .cut import cut
 from .text import U64, Words, mix, pieces
 
-#: Sentences and words a run must have (two sentences of usual length), and words that make a sentence a run of its own.
-LEAST_SENTENCES, LEAST_WORDS, LONG_SENTENCE = 2, 20, 25
+#: Sentences and words a run must have (under eight words "Yes. No." and the like repeat), and words that make a sentence a run of its own.
+LEAST_SENTENCES, LEAST_WORDS, LONG_SENTENCE = 2, 8, 25
 
 
 def sentences(w: Words, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
