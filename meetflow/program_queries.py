@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from .functions import scalars as S
 from .functions.kinds import ChangeCode, EntityKind, ExprKind, InsnKind, Qualifier, ValueKind
 from .operators import graph, ids, maps, ranges, sets, types
-from .plans import analyses, clients, link, views
+from .plans import analyses, clients, dominance, link, views
 from .plans.framework import Analysis, BackwardBottom, Context, ForwardBottom, GenKill, Solver, close_together, run_cooperating, run_staged
+from .plans.rounds import Tables
 from .registry import query, table
 from .sources import build, text, wire
 
@@ -311,6 +312,31 @@ def contract_skips(spark, sf_dir):
     return graph.contract(graph.insn_edges(placed, e, ["fid"]), drop, ["fid"])
 
 
+DOM_SQL = BLOCK_SQL + """, g AS (SELECT DISTINCT fid, src, dst FROM be), f(fid, node) AS (SELECT DISTINCT fid, 0 FROM pl UNION SELECT g.fid, dst FROM g JOIN f ON f.fid = g.fid AND src = node),
+ av(fid, d, node) AS (SELECT fid, node, 0 FROM f WHERE node <> 0 UNION SELECT g.fid, d, dst FROM g JOIN av ON av.fid = g.fid AND src = node WHERE dst <> d),
+ dm AS (SELECT n.fid, n.node, d.node AS d FROM f n JOIN f d ON d.fid = n.fid AND d.node <> n.node WHERE NOT EXISTS (SELECT 1 FROM av WHERE av.fid = n.fid AND av.d = d.node AND av.node = n.node))"""
+
+
+@query(f"""WITH RECURSIVE {DOM_SQL}, c AS (SELECT fid, node, count(*) AS c FROM dm GROUP BY 1, 2) SELECT dm.fid, dm.node, CAST(arg_max(dm.d, coalesce(c.c, 0)) AS INT) AS idom
+ FROM dm LEFT JOIN c ON c.fid = dm.fid AND c.node = dm.d GROUP BY dm.fid, dm.node""")
+def dominator_tree(spark, sf_dir):
+    """The immediate dominator of every block that its function's first block reaches, the exit too."""
+    placed, e = block_graph(spark, sf_dir)
+    return dominance.dominators(e, entries(placed), ["fid"])
+
+
+@query(f"""WITH RECURSIVE {DOM_SQL}, x AS (SELECT fid, node, d FROM dm UNION ALL SELECT fid, node, node FROM f),
+ df AS (SELECT DISTINCT g.fid, x.d AS node, g.dst AS jn FROM g JOIN x ON x.fid = g.fid AND x.node = g.src LEFT JOIN dm ON dm.fid = g.fid AND dm.node = g.dst AND dm.d = x.d WHERE dm.fid IS NULL),
+ ph(fid, var, node) AS (SELECT DISTINCT pl.fid, k % 5, df.jn FROM pl JOIN df ON df.fid = pl.fid AND df.node = pl.bb WHERE ikind = 7 UNION SELECT df.fid, var, df.jn FROM ph JOIN df ON df.fid = ph.fid AND df.node = ph.node)
+ SELECT fid, var, node FROM ph""")
+def phi_nodes(spark, sf_dir):
+    """Blocks where assignments of k mod 5 meet, and those where they meet again."""
+    placed, e = block_graph(spark, sf_dir)
+    e, at = Tables(spark).keep(e), entries(placed)
+    front = dominance.frontiers(e, dominance.dominators(e, at, ["fid"]), at, ["fid"])
+    return dominance.phi_places(placed.where("ikind = 7").select("fid", F.expr("k % 5").alias("var"), F.col("bb").alias("node")), front, ["fid"])
+
+
 @query(f"""WITH RECURSIVE {BLOCK_SQL}, f(fid, node) AS (SELECT DISTINCT fid, 0 FROM pl UNION SELECT be.fid, dst FROM be JOIN f ON f.fid = be.fid AND src = node), b(fid, node) AS (SELECT DISTINCT fid, -1 FROM pl UNION SELECT be.fid, src FROM be JOIN b ON b.fid = be.fid AND dst = node)
  SELECT fid, node, 'forward' AS way FROM f UNION ALL SELECT fid, node, 'backward' FROM b""")
 def lock_step(spark, sf_dir):
