@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalars as S
 from .functions.kinds import ChangeCode, EntityKind, ExprKind, InsnKind, Qualifier, ValueKind
-from .operators import graph, ids, maps, ranges, sets, types
+from .operators import bitsets, graph, ids, maps, ranges, sets, types
 from .plans import analyses, clients, dominance, link, views
 from .plans.framework import Analysis, BackwardBottom, Context, ForwardBottom, GenKill, Solver, close_together, run_cooperating, run_staged
 from .plans.rounds import Tables
@@ -1021,3 +1021,24 @@ def stream_latest(spark, sf_dir):
     rows = rows.select(F.col("user_id").alias("fn"), F.round("value").cast("int").alias("version"), "event_id")
     analyse_stream(rows, ["fn"], "version", lambda d: d.groupBy("fn").agg(F.count(F.lit(1)).alias("n")), f"{top}/facts", f"{top}/checkpoint").awaitTermination()
     return current(spark.read.parquet(f"{top}/facts"), ["fn"], "version", spark.read.parquet(f"{top}/facts-versions")).select("fn", "version", "n")
+
+
+@query("""WITH s AS (SELECT DISTINCT l_suppkey AS s, l_returnflag AS f, l_partkey AS e FROM lineitem), a AS (SELECT s, e FROM s WHERE f = 'A'), n AS (SELECT s, e FROM s WHERE f = 'N'), r AS (SELECT s, e FROM s WHERE f = 'R'),
+ o AS (SELECT 'all' AS op, s, e FROM (SELECT DISTINCT s, e FROM s) z UNION ALL SELECT 'returned twice', * FROM (SELECT * FROM a INTERSECT SELECT * FROM r) z
+ UNION ALL SELECT 'only returned', * FROM ((SELECT * FROM a UNION SELECT * FROM r) EXCEPT SELECT * FROM n) z)
+ SELECT op, CAST(s AS BIGINT) AS supplier, count(*)::BIGINT AS n, sum(e)::BIGINT AS total, bool_or(op = 'only returned') AS beyond FROM o GROUP BY op, s""")
+def word_sets(spark, sf_dir):
+    """Parts of each supplier by return flag as sets of words: all flags met, A and R, A or R without N."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("bigint").alias("supplier"), F.col("l_returnflag").alias("flag"), F.col("l_partkey").alias("part"))
+    words, key = Tables(spark).keep(bitsets.pack(rows, ["supplier", "flag"], "part")), ["supplier"]
+    a, n, r = (words.where(F.col("flag") == f) for f in "ANR")
+    returned = bitsets.union(a, r, key)
+    found = {"all": bitsets.meet_all(words, key), "returned twice": bitsets.intersection(a, r, key), "only returned": bitsets.difference(returned, n, key)}
+    out = None
+    for name, w in found.items():
+        sums = bitsets.unpack(w, key, "e").groupBy(*key).agg(F.sum("e").alias("total"))
+        part = bitsets.lengths(w, key).join(sums, key).select(F.lit(name).alias("op"), "supplier", "n", "total")
+        beyond = bitsets.not_within(w, bitsets.meet_all(words, key) if name != "only returned" else n, key).withColumn("beyond", F.lit(True))
+        part = part.join(beyond, key, "left").withColumn("beyond", F.coalesce("beyond", F.lit(False)))
+        out = part if out is None else out.unionByName(part)
+    return out
