@@ -491,3 +491,4 @@ def simple_names(spark, sf_dir):
 
 from . import program_queries  # noqa: E402, F401  registers more
 from . import call_queries  # noqa: E402, F401
+from . import product_queries  # noqa: E402, F401
