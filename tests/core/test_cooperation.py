@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from meetflow.functions.kinds import EdgeLabel
 from meetflow.functions.kinds import ExprKind as X
@@ -22,26 +21,37 @@ def op(node, name, x=None, a=None, c=None):
     return node, name, x, a, c, None, None, None
 
 
-def solve(spark, insn, edges, entry=(), *, views=("deref", "condition"), many=None):
-    i = spark.createDataFrame([("f", *r) for r in insn], INSN)
-    e = spark.createDataFrame([("f", *(r if len(r) == 3 else (*r, 0))) for r in edges], "fn string, src int, dst int, label int")
-    held = spark.createDataFrame([("f", *r) for r in entry], "fn string, var bigint, target bigint, lo bigint, hi bigint")
-    arrays = None if many is None else spark.createDataFrame([("f", v) for v in many], "fn string, var bigint")
-    got = cooperate(i, held, e, spark.createDataFrame([("f", 0)], "fn string, node int"), ["fn"], full=FULL, views=views, many=arrays).collect()
-    ranges = {(r["node"], r["var"]): (r["lo"], r["hi"]) for r in got if r["domain"] == "range"}
-    targets = {}
+def solve(spark, programs, views=("deref", "condition")):
+    """programs: name -> (instructions, edges, entry, arrays), solved together; results by name."""
+    rows = [[(name, *r) for name, p in programs.items() for r in (p[part] if len(p) > part else [])] for part in range(3)]
+    i = spark.createDataFrame(rows[0], INSN)
+    e = spark.createDataFrame([r if len(r) == 4 else (*r, 0) for r in rows[1]], "fn string, src int, dst int, label int")
+    held = spark.createDataFrame(rows[2], "fn string, var bigint, target bigint, lo bigint, hi bigint")
+    arrays = spark.createDataFrame([(name, v) for name, p in programs.items() for v in (p[3] if len(p) > 3 else [])], "fn string, var bigint")
+    ends = spark.createDataFrame([(name, 0) for name in programs], "fn string, node int")
+    got = cooperate(i, held, e, ends, ["fn"], full=FULL, views=views, many=arrays).collect()
+    out = {name: (set(), {}, {}) for name in programs}
     for r in got:
-        if r["domain"] == "target":
+        reached, ranges, targets = out[r["fn"]]
+        if r["domain"] == "reach":
+            reached.add(r["node"])
+        elif r["domain"] == "range":
+            ranges[r["node"], r["var"]] = (r["lo"], r["hi"])
+        else:
             targets.setdefault((r["node"], r["var"]), set()).add(r["target"])
-    return {r["node"] for r in got if r["domain"] == "reach"}, ranges, targets
+    assert len(got) == sum(len(a) + len(b) + sum(map(len, c.values())) for a, b, c in out.values())
+    return out
+
+
+def in_a_row(n):
+    return [(i, i + 1) for i in range(n)]
 
 
-def test_pointer_into_an_array(spark):
-    """char a[10], *b = a; *(b++) = 1: the elements are 1, b still points to a."""
+def array_pointer():
+    """char a[10], *b = a; *(b++) = 1."""
     a, b, t = 0, 1, 2
     insn = [op(0, "addr", b, a), assign(1, t, b), assign(2, b, b, None, None, 1, X.ADD), op(3, "store", t, None, 1), op(4, "load", 5, t)]
-    _, ranges, targets = solve(spark, insn, [(i, i + 1) for i in range(5)], many=[a])
-    assert ranges[4, a] == (1, 1) and targets[4, b] == {a} and ranges[5, 5] == (1, 1)
+    return insn, in_a_row(5), [], [a]
 
 
 def function_pointers():
@@ -55,47 +65,76 @@ def function_pointers():
     return [*insn, assign(30, b, one, None, two, None, X.ADD)], [*edges, (30, 31)]
 
 
-def test_calls_through_pointers(spark):
-    """With targets b is 100, without it isn't known."""
-    insn, edges = function_pointers()
-    reached, ranges, _ = solve(spark, insn, edges)
-    assert ranges[31, 0] == (100, 100) and 5 not in reached and 14 not in reached
-    reached, ranges, _ = solve(spark, insn, edges, views=())
-    assert ranges[31, 0] == (0, 200) and {4, 5, 14, 15} <= reached
-
-
-def test_each_helps_the_other(spark):
-    """The condition loaded through p is 0, so the side that would point p elsewhere is closed, so what is loaded later is exact."""
+def each_helps():
+    """What is loaded through p is 0, so the side that would point p elsewhere is closed, so what is loaded later is exact."""
     a, b, x, p = 0, 1, 2, 3
     insn = [op(0, "addr", p, a), op(1, "load", x, p), op(2, "branch", None, x), op(3, "addr", p, b), op(4, "load", x, p)]
-    edges = [(0, 1), (1, 2), (2, 3, T), (2, 4, N), (3, 4), (4, 5)]
-    entry = [(a, None, 0, 0), (b, None, 7, 7)]
-    reached, ranges, targets = solve(spark, insn, edges, entry)
-    assert reached == {0, 1, 2, 4, 5} and ranges[5, x] == (0, 0) and targets[5, p] == {a}
-    reached, ranges, targets = solve(spark, insn, edges, entry, views=["deref"])
-    assert 3 in reached and ranges[5, x] == (0, 7) and targets[5, p] == {a, b}
-    _, ranges, _ = solve(spark, insn, edges, entry, views=["condition"])
-    assert ranges[5, x] == FULL
-
-
-def test_no_targets_is_a_barrier(spark):
-    reached, _, _ = solve(spark, [op(0, "load", 2, 3), assign(1, 2, None, 1)], [(0, 1), (1, 2)])
-    assert reached == {0}
-    assert solve(spark, [], [(0, 1)])[0] == {0, 1}
-    with pytest.raises(ValueError):
-        solve(spark, [], [(0, 1)], views=["dead"])
+    return insn, [(0, 1), (1, 2), (2, 3, T), (2, 4, N), (3, 4), (4, 5)], [(a, None, 0, 0), (b, None, 7, 7)]
 
 
-def test_stores_of_pointers_and_lost_stores(spark):
-    """pp = &p; *pp = q makes p point where q does; a store that isn't resolved touches all variables whose address is taken."""
+def pointer_stores():
+    """pp = &p; *pp = q makes p point where q does."""
     a, b, p, q, pp = range(5)
     insn = [op(0, "addr", p, a), op(1, "addr", q, b), op(2, "addr", pp, p), op(3, "store", pp, q), op(4, "store", p, None, 9)]
-    edges = [(i, i + 1) for i in range(5)]
-    entry = [(a, None, 1, 1), (b, None, 2, 2)]
-    _, ranges, targets = solve(spark, insn, edges, entry)
-    assert targets[5, p] == {b} and ranges[5, a] == (1, 1) and ranges[5, b] == (9, 9)
-    _, ranges, _ = solve(spark, insn, edges, entry, views=())
-    assert ranges[5, a] == ranges[5, b] == FULL
+    return insn, in_a_row(5), [(a, None, 1, 1), (b, None, 2, 2)]
+
+
+#: x grows in a loop until it is anything; y does not.
+LOOP = [assign(1, 0, 0, None, None, 1, X.ADD)], [(0, 1), (1, 1), (1, 2)], [(0, None, 0, 0), (1, None, 5, 5)]
+NOWHERE = [op(0, "load", 2, 3), assign(1, 2, None, 1)], in_a_row(2), []
+
+
+def test_all_views_and_random_programs(spark):
+    """Small programs by what must hold, random ones against one node at a time in random order, all in one run."""
+    rng = random.Random(1)
+    randoms = {f"r{n}": random_program(rng) for n in range(40)}
+    small = {"array": array_pointer(), "calls": function_pointers(), "each": each_helps(), "stores": pointer_stores(), "nowhere": NOWHERE, "empty": ([], [(0, 1)], []), "loop": LOOP}
+    got = solve(spark, small | randoms)
+    _, ranges, targets = got["array"]
+    assert ranges[4, 0] == (1, 1) and targets[4, 1] == {0} and ranges[5, 5] == (1, 1)
+    reached, ranges, _ = got["calls"]
+    assert ranges[31, 0] == (100, 100) and 5 not in reached and 14 not in reached
+    reached, ranges, targets = got["each"]
+    assert reached == {0, 1, 2, 4, 5} and ranges[5, 2] == (0, 0) and targets[5, 3] == {0}
+    _, ranges, targets = got["stores"]
+    assert targets[5, 2] == {1} and ranges[5, 0] == (1, 1) and ranges[5, 1] == (9, 9)
+    assert got["nowhere"][0] == {0} and got["empty"][0] == {0, 1}  # a pointer without targets is a barrier
+    assert got["loop"][1][2, 0] == FULL and got["loop"][1][2, 1] == (5, 5)
+    for name, (insn, edges, entry) in randoms.items():
+        states = [brute(insn, edges, entry, s) for s in (1, 2)]
+        assert states[0] == states[1]
+        reached, ranges, targets = got[name]
+        held = {n: s for n, s in states[0].items() if s is not None}
+        assert reached == set(held), name
+        assert ranges == {(n, v): r for n, s in held.items() for v, r in s[0].items()}, name
+        assert targets == {(n, v): t for n, s in held.items() for v, t in s[1].items() if t}, name
+
+
+def test_fewer_views(spark):
+    """Without targets loads, stores and calls are anything; without conditions both sides are possible."""
+    none = solve(spark, {"calls": function_pointers(), "stores": pointer_stores()}, ())
+    assert none["calls"][1][31, 0] == (0, 200) and {4, 5, 14, 15} <= none["calls"][0]
+    assert none["stores"][1][5, 0] == none["stores"][1][5, 1] == FULL
+    reached, ranges, targets = solve(spark, {"each": each_helps()}, ["deref"])["each"]
+    assert 3 in reached and ranges[5, 2] == (0, 7) and targets[5, 3] == {0, 1}
+    with pytest.raises(ValueError):
+        solve(spark, {"each": each_helps()}, ["dead"])
+
+
+def random_program(rng):
+    """Ten nodes without cycles: assignments, addresses, loads, stores, branches over five variables."""
+    insn, edges, v = [], [], lambda: rng.randrange(5)
+    for n in range(9):
+        kind = rng.choice(["assign", "assign", "addr", "load", "store", "store", "branch"])
+        if kind == "assign":
+            k = rng.choice([X.VAL, X.ADD, X.SUB])
+            insn.append((n, "assign", v(), v(), None, None if k == X.VAL else v(), None, int(k)))
+        elif kind == "store" and rng.random() < 0.5:
+            insn.append(op(n, "store", v(), None, rng.randrange(3)))
+        else:
+            insn.append(op(n, kind, None if kind == "branch" else v(), v()))
+        edges += [(n, n + 1, T), (n, min(9, n + rng.randrange(2, 4)), N)] if kind == "branch" else [(n, n + 1, 0)]
+    return insn, edges, [(x, None, 0, rng.randrange(2)) for x in range(5)] + [(x, rng.randrange(5), None, None) for x in range(5) if rng.random() < 0.7]
 
 
 def brute(insn, edges, entry, seed):
@@ -178,38 +217,3 @@ def brute(insn, edges, entry, seed):
                     into[dst] = new
                     todo.add(dst)
     return into
-
-
-@pytest.mark.parametrize("seed", range(2))
-def test_random_programs(spark, seed):
-    """Acyclic programs of stores, loads and branches, many functions at once, against one node at a time."""
-    rng, rows, edges, entry, want = random.Random(seed), [], [], [], {}
-    for f in range(12):
-        insn, e = [], []
-        for n in range(9):
-            kind = rng.choice(["assign", "assign", "addr", "load", "store", "store", "branch"])
-            v = lambda: rng.randrange(5)
-            if kind == "assign":
-                k = rng.choice([X.VAL, X.ADD, X.SUB])
-                insn.append((n, "assign", v(), v(), None, None if k == X.VAL else v(), None, int(k)))
-            elif kind == "store" and rng.random() < 0.5:
-                insn.append(op(n, "store", v(), None, rng.randrange(3)))
-            else:
-                insn.append(op(n, kind, None if kind == "branch" else v(), v()))
-            far = min(9, n + rng.randrange(2, 4))
-            e += [(n, n + 1, T), (n, far, N)] if kind == "branch" else [(n, n + 1, 0)]
-        here = [(v, None, 0, rng.randrange(2)) for v in range(5)] + [(v, rng.randrange(5), None, None) for v in range(5) if rng.random() < 0.7]
-        states = [brute(insn, e, here, s) for s in (1, 2)]
-        assert states[0] == states[1]
-        for n, s in states[0].items():
-            if s is not None:
-                want |= {(f, n, "range", v, None, *r): 1 for v, r in s[0].items()} | {(f, n, "target", v, t, 0, 0): 1 for v, ts in s[1].items() for t in ts} | {(f, n, "reach", None, None, 0, 0): 1}
-        rows += [(str(f), *r) for r in insn]
-        edges += [(str(f), *r) for r in e]
-        entry += [(str(f), *r) for r in here]
-    i = spark.createDataFrame(rows, INSN)
-    e = spark.createDataFrame(edges, "fn string, src int, dst int, label int")
-    held = spark.createDataFrame(entry, "fn string, var bigint, target bigint, lo bigint, hi bigint")
-    ends = spark.range(12).select(F.col("id").cast("string").alias("fn"), F.lit(0).alias("node"))
-    got = cooperate(i, held, e, ends, ["fn"], full=FULL).collect()
-    assert {(int(r["fn"]), *tuple(r)[1:]) for r in got} == set(want) and len(got) == len(want)
