@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .functions.kinds import EdgeLabel
 from .functions.kinds import ExprKind as X
 from .plans import cooperation
+from .plans.framework import Analysis, Solver
 from .program_queries import CHUNK_SQL, chunks
 from .registry import query
 
@@ -42,8 +43,9 @@ _NEW = {
 _STATE = ("r", *_NUM, *_AIM, "r2", *[f"{c}2" for c in (*_NUM, *_AIM)])
 _NIL = ", ".join(["false", *["CAST(NULL AS BIGINT)"] * 6, "false", "false"])
 
+LAST_SQL = f"""{CHUNK_SQL}, lst AS (SELECT fid, chunk, max(node) AS ln FROM ch GROUP BY 1, 2), cl AS (SELECT ch.fid, ch.chunk, CAST(ch.node AS BIGINT) AS node, t, k, node = ln AS lastone FROM ch JOIN lst ON lst.fid = ch.fid AND lst.chunk = ch.chunk)"""
 #: One row a function and node: the whole state, walked from node to node.
-STATE_SQL = f"""WITH RECURSIVE {CHUNK_SQL}, lst AS (SELECT fid, chunk, max(node) AS ln FROM ch GROUP BY 1, 2), cl AS (SELECT ch.fid, ch.chunk, CAST(ch.node AS BIGINT) AS node, t, k, node = ln AS lastone FROM ch JOIN lst ON lst.fid = ch.fid AND lst.chunk = ch.chunk),
+STATE_SQL = f"""WITH RECURSIVE {LAST_SQL},
  st(fid, chunk, node, {', '.join(_STATE)}) AS (SELECT fid, chunk, CAST(0 AS BIGINT), true, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(1 AS BIGINT), CAST(1 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), chunk % 2 = 0, false, {_NIL} FROM lst
  UNION ALL SELECT fid, chunk, node + 1, {_next_state()} FROM (
  SELECT *, ok AND (t <> 'click' OR NOT (xl = 0 AND xh = 0)) AS go1, ok AND t = 'click' AND xl <= 0 AND xh >= 0 AS go0 FROM (
@@ -83,3 +85,37 @@ def cooperating_facts(spark, sf_dir):
     """Ranges and targets before every node, found together: targets decide what loads and stores are, ranges which sides of branches there are."""
     facts = cooperation.cooperate(*pointer_functions(spark, sf_dir), ["fid", "chunk"], full=(-(2**31), 2**31 - 1))
     return facts.select("fid", "chunk", F.col("node").cast("bigint").alias("node"), "domain", F.coalesce("var", F.lit(-1)).cast("int").alias("var"), F.coalesce("target", F.lit(-1)).cast("int").alias("target"), "lo", "hi")
+
+
+class Mirror(Analysis):
+    """Purchases turn v into 100 + k - v, signups add k; where ways meet the greatest counts."""
+
+    name, values = "mirror", ("v",)
+
+    def __init__(self, insn) -> None:
+        self.insn = insn
+
+    def boundary(self, nodes):
+        return nodes.withColumn("v", F.lit(0).cast("bigint"))
+
+    def transfer(self, facts):
+        j = facts.join(self.insn, ["fid", "chunk", "node"], "left")
+        v = F.when(F.col("t") == "purchase", 100 + F.col("k") - F.col("v")).when(F.col("t") == "signup", F.col("v") + F.col("k")).otherwise(F.col("v"))
+        return j.select("fid", "chunk", "node", v.alias("v"))
+
+    def meet(self):
+        return [F.max("v").alias("v")]
+
+
+def mirrored(spark, sf_dir, **how):
+    _, _, edges, ends = pointer_functions(spark, sf_dir)
+    facts = Solver(Mirror(chunks(spark, sf_dir)), edges.drop("label").distinct(), ends, ["fid", "chunk"], **how).run()
+    return facts.where("point = 'IN'").select("fid", "chunk", F.col("node").cast("bigint").alias("node"), "v")
+
+
+@query(f"""WITH RECURSIVE {LAST_SQL}, st(fid, chunk, node, v, v2) AS (SELECT fid, chunk, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT) FROM lst
+ UNION ALL SELECT fid, chunk, node + 1, greatest(nv, v2), CASE WHEN t = 'click' AND NOT lastone THEN nv END FROM (SELECT st.*, t, lastone, CASE t WHEN 'purchase' THEN 100 + k - v WHEN 'signup' THEN v + k ELSE v END AS nv
+ FROM st JOIN cl ON cl.fid = st.fid AND cl.chunk = st.chunk AND cl.node = st.node) s) SELECT fid, chunk, node, v FROM st""")
+def solver_replace_joins(spark, sf_dir):
+    """New values replace old ones where ways of different length meet: a greater value before a node may be a smaller one after it, and meeting would keep both."""
+    return mirrored(spark, sf_dir, meet_at_blocks=False)

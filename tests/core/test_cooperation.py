@@ -7,6 +7,8 @@ import pytest
 from meetflow.functions.kinds import EdgeLabel
 from meetflow.functions.kinds import ExprKind as X
 from meetflow.plans.cooperation import CALLS, cooperate
+from meetflow.plans.framework import Solver
+from meetflow.product_queries import Mirror
 
 FULL = (-(2**31), 2**31 - 1)
 T, N = int(EdgeLabel.TRUE), int(EdgeLabel.FALSE)
@@ -217,3 +219,12 @@ def brute(insn, edges, entry, seed):
                     into[dst] = new
                     todo.add(dst)
     return into
+
+
+def test_replacing_differs_from_meeting(spark):
+    """0 -> 1 -> 2 and 0 -> 2; node 1 adds 7, node 2 mirrors: the greater value comes later and makes a smaller one, which meeting hides."""
+    c = spark.createDataFrame([("f", 0, 0, "view", 0), ("f", 0, 1, "signup", 7), ("f", 0, 2, "purchase", 0)], "fid string, chunk int, node int, t string, k bigint")
+    e = spark.createDataFrame([("f", 0, a, b) for a, b in [(0, 1), (1, 2), (0, 2), (2, 3)]], "fid string, chunk int, src int, dst int")
+    ends = c.where("node = 0").select("fid", "chunk", "node")
+    got = [{r["node"]: r["v"] for r in Solver(Mirror(c), e, ends, ["fid", "chunk"], meet_at_blocks=m).run().where("point = 'IN'").collect()} for m in (False, True)]
+    assert got[0] == {0: 0, 1: 0, 2: 7, 3: 93} and got[1] == {0: 0, 1: 0, 2: 7, 3: 100}
