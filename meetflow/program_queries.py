@@ -698,9 +698,9 @@ def instruction_texts(spark, sf_dir):
     e1 = F.when(n >= 7, expr(int(X.CALL), a, none, F.array(b, F.lit(-(10**9)).cast("bigint")))).otherwise(expr(1, a, none, F.array()))
     # lines of one order and number are told apart by their part
     li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.min("l_suppkey").alias("l_suppkey"))
-    li = li.select(one, (F.col("l_orderkey") * 100000 + a).alias("fid"), (n - 1).cast("int").alias("seq"), kind.alias("ikind"), e1.alias("expr1"), F.when(n == 1, expr(int(X.ADD), b, a, F.array())).alias("expr2"))
+    li = li.select(one, F.struct("l_orderkey", "l_partkey").alias("fid"), (n - 1).cast("int").alias("seq"), kind.alias("ikind"), e1.alias("expr1"), F.when(n == 1, expr(int(X.ADD), b, a, F.array())).alias("expr2"))
     t = text.insn_text(li, ops)
-    return t.select(F.expr("fid div 100000").alias("fid"), "seq", F.expr("fid % 100000").alias("k"), "text")
+    return t.select(F.col("fid.l_orderkey").alias("fid"), "seq", F.col("fid.l_partkey").alias("k"), "text")
 
 
 # lattices
