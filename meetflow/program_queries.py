@@ -1018,7 +1018,8 @@ def stream_latest(spark, sf_dir):
 
     top = f"{shared_dir(spark)}/stream-{uuid4().hex}"
     rows = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
-    rows = rows.select(F.col("user_id").alias("fn"), F.round("value").cast("int").alias("version"), "event_id")
+    # rint takes halves to the even integer, as the cast in SQL does
+    rows = rows.select(F.col("user_id").alias("fn"), F.rint("value").cast("int").alias("version"), "event_id")
     analyse_stream(rows, ["fn"], "version", lambda d: d.groupBy("fn").agg(F.count(F.lit(1)).alias("n")), f"{top}/facts", f"{top}/checkpoint").awaitTermination()
     return current(spark.read.parquet(f"{top}/facts"), ["fn"], "version", spark.read.parquet(f"{top}/facts-versions")).select("fn", "version", "n")
 
