@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ids import numbered
+from ..operators.sets import expand
 
 
 def link(units: Sequence[DataFrame], name: str, defined: str) -> DataFrame:
@@ -33,11 +34,19 @@ def call_graph(calls: DataFrame, address_taken: DataFrame | None = None) -> Data
     """(caller, callee): direct calls, and for calls through a pointer every function whose address is taken.
 
     ``calls``: (caller, callee, pointer); ``address_taken``: (pointer, callee), what each pointer may be.
+    Functions that the same pointers may be are a class, so every function is in one; callers meet
+    classes once, and their pairs, far more rows than went in, are distinct as they are made.
     """
-    direct = calls.where("callee is not null").select("caller", "callee")
-    if address_taken is not None:
-        direct = direct.unionByName(calls.where("callee is null").select("caller", "pointer").join(address_taken, "pointer").select("caller", "callee"))
-    return direct.distinct()
+    direct = calls.where("callee is not null").select("caller", "callee").distinct()
+    if address_taken is None:
+        return direct
+    alike = address_taken.where("pointer is not null").groupBy("callee").agg(F.array_sort(F.collect_set("pointer")).alias("_class"))
+    classes = alike.select("_class").distinct().select("_class", F.explode("_class").alias("pointer"))
+    through = calls.where("callee is null").select("caller", "pointer").distinct().join(classes, "pointer").select("caller", "_class").distinct()
+    t = through.select(F.col("caller").alias("_caller"), F.col("_class").alias("_reached"))
+    only = direct.join(alike, "callee", "left").join(t, F.col("caller").eqNullSafe(F.col("_caller")) & (F.col("_class") == F.col("_reached")), "left_anti")
+    pairs = expand(through, alike, "_class", "caller")
+    return only.select("caller", "callee").unionByName(pairs.select("caller", "callee"))
 
 
 def contexts(call_edges: DataFrame, entry: str, depth: int = 2) -> DataFrame:
