@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from meetflow.plans import link
+from meetflow import queries
+from meetflow.plans import link, views
 
 
 def pairs(calls, taken):
@@ -29,6 +30,25 @@ def test_call_graph_shuffles_no_pairs(spark):
     assert 0 < shuffled(spark) - before < 20_000
 
 
+def test_deref_shared(spark):
+    """The same rows as from pairs, for sets of none, one and many targets."""
+    insn = spark.range(40).selectExpr("id as c", "id % 7 as p", "named_struct('xkind', 13, 'op1', id % 7, 'op2', cast(null as bigint), 'args', cast(array() as array<bigint>)) as expr1")
+    shares = spark.range(40).selectExpr("id as c", "id % 7 as p", "id % 4 as set")
+    members = spark.createDataFrame([(0, 5), (1, 6), (1, 7), (2, 8), (2, 9), (2, 5)], "set bigint, target bigint")
+    got = views.deref_shared(insn, shares, members, ["c"], "p", "expr1")
+    want = views.deref(insn, shares.join(members, "set").drop("set"), ["c"], "p", "expr1")
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())) and got.count() == 60
+
+
+def test_view_deref_shuffles_no_pairs(spark, tmp_path):
+    """200 customers and 300 suppliers of one nation: 60,000 rows, none of which is written to a shuffle."""
+    spark.range(200).selectExpr("id as c_custkey", "3 as c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(300).selectExpr("id as s_suppkey", "3 as s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    before = shuffled(spark)
+    queries.view_deref(spark, str(tmp_path)).write.format("noop").mode("overwrite").save()
+    assert shuffled(spark) - before < 20_000
+
+
 def shuffled(spark) -> int:
     """Rows written to shuffles so far."""
     none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
