@@ -1,15 +1,17 @@
 """Cross-tokenizer alignment: groups and links of two tokenizers' tokens over the same bytes.
 
-Python only tokenises; everything after it is Spark's array functions.
+Texts are tokenised and aligned in Arrow batches; links are counted and met with
+their counts by Spark's joins and aggregates.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,10 +19,8 @@ from .cut import cut, stored
 
 #: Bytes of text that are tokenised before rows are handed on.
 PIECE = 1 << 20
-#: Bits below the end of a token; the one that is set for side B; all bits of an id.
-ID_BITS, SIDE, MARK = 20, 1 << 19, (1 << 19) - 1
-#: No token has more bytes, so no more tokens of one side lie in one of the other.
-LONGEST = 1 << 8
+#: Bits of an id in a pair of ids.
+ID_BITS = 20
 #: Id pairs that hold more than one in so many of all links are broadcast: there can't be more of them.
 FREQUENT = 1 << 18
 #: Fixed value: how byte-level BPE cuts text before merging.
@@ -77,40 +77,75 @@ class Pieces:
                       for i, p in enumerate(map(model.id_to_piece, range(model.get_piece_size())))]
 
 
-def tokenised(docs: DataFrame, first: str, second: str, *, text_col: str = "text") -> DataFrame:
-    """Adds a_ends, b_ends (byte offsets at which the tokens of space+text end) and a, b (``end << 20 | id``; b also has bit 19 set).
+def aligned_ends(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Ends of links, their pairs, ends of groups, and all tokens in the order of the groups' text, of texts laid one after another.
+
+    ``a``, ``b``: ids; ``a_ends``, ``b_ends``: byte offsets, which end at the same byte.  Every
+    end of either side closes a stretch of bytes that one token of each side covers: one link.
+    Ends of both sides close groups.  Tokens come as ``2 * id``, plus 1 for the last of its side
+    in a group, B's as -1 less that.  Every step is linear in the bytes.
+    """
+    size = max(int(a_ends[-1]) if len(a_ends) else 0, int(b_ends[-1]) if len(b_ends) else 0) + 1
+    at_a, at_b = np.zeros(size, bool), np.zeros(size, bool)
+    at_a[a_ends], at_b[b_ends] = True, True
+    both = at_a & at_b
+    upto_a, upto_b, upto = (np.cumsum(x, dtype=np.int32) for x in (at_a, at_b, both))
+    link, group = np.flatnonzero(at_a | at_b), np.flatnonzero(both)
+    pairs = a[upto_a[link] - at_a[link]] << ID_BITS | b[upto_b[link] - at_b[link]]
+    # before an A token in the text are the B tokens of earlier groups, before a B token the A tokens of its group, too
+    begun = np.concatenate([np.zeros(1, np.int64), group])
+    order = np.empty(len(a) + len(b), np.int64)
+    order[np.arange(len(a)) + upto_b[begun[upto[a_ends] - both[a_ends]]]] = 2 * a + both[a_ends]
+    order[np.arange(len(b)) + upto_a[group[upto[b_ends] - both[b_ends]]]] = -1 - (2 * b + both[b_ends])
+    return link, pairs, group, order
+
+
+def aligned(docs: DataFrame, first: str, second: str, *, text_col: str = "text") -> DataFrame:
+    """Replaces the text by n_a, n_b, n_groups, groups_sha256 and links (array of ``a id << 20 | b id``) of the tokens of space+text.
 
     No tokens where the text is null or empty or a tokenizer changes its bytes.
     The two vocabularies (some MB, whatever the corpus) are read on the driver and
-    sent to the workers.  Texts are taken one at a time, rows are given on in batches.
+    sent to the workers.  Texts are tokenised one at a time and aligned and given
+    on some at a time.
     """
     files = docs.sparkSession.sparkContext.broadcast([open(p, "rb").read() for p in (first, second)])
     rest = [c for c in docs.columns if c != text_col]
-    kinds = {"a_ends": T.IntegerType(), "a": T.LongType(), "b_ends": T.IntegerType(), "b": T.LongType()}
-    schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField(c, T.ArrayType(k, False)) for c, k in kinds.items()])
+    made = {"n_a": T.LongType(), "n_b": T.LongType(), "n_groups": T.LongType(), "groups_sha256": T.StringType(), "links": T.ArrayType(T.LongType(), False)}
+    schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField(c, k) for c, k in made.items()])
 
-    def column(parts: list[np.ndarray], kind) -> pa.Array:
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
-        values = np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values), type=pa.list_(pa.field("element", pa.from_numpy_dtype(kind), False)))
-
-    def tokens(batches):
+    def align(batches):
         vocabs = ByteLevel(files.value[0]), Pieces(files.value[1])
-        if max(len(v.bytes) for v in vocabs) >= MARK or max(len(w) for v in vocabs for w in v.bytes) > LONGEST:
-            raise ValueError(f"ids of {MARK} and more and tokens over {LONGEST} bytes are not supported")
-        lengths = [np.array([len(w) for w in v.bytes], np.int32) for v in vocabs]
-        none = [np.zeros(0, np.int64)] * 4
+        if max(len(v.bytes) for v in vocabs) > 1 << ID_BITS:
+            raise ValueError(f"ids of {1 << ID_BITS} and more are not supported")
+        tables = [np.array([*v.bytes, None], object)[:-1] for v in vocabs]
+        lengths = [np.array([len(w) for w in v.bytes], np.int64) for v in vocabs]
+        # texts of tokens by 2 * id, those of B from the end
+        shown = [f"{i}{mark}" for i in range(len(tables[0])) for mark in ",|"] + [f"{i}{mark}" for i in reversed(range(len(tables[1]))) for mark in ";,"]
+        shown, none = np.array(shown, object), [np.zeros(0, np.int64)] * 2
 
         def of(text: str) -> list[np.ndarray]:
             whole, out = b" " + text.encode(), []
-            for v, (vocab, length) in enumerate(zip(vocabs, lengths)):
-                ids = vocab.encode(text if v else " " + text)
-                if b"".join(map(vocab.bytes.__getitem__, ids.tolist())) != whole:
+            for side, (vocab, table) in enumerate(zip(vocabs, tables)):
+                ids = vocab.encode(text if side else " " + text)
+                if b"".join(table[ids].tolist()) != whole:
                     return none
-                ends = np.cumsum(length[ids], dtype=np.int64)
-                out += [ends, ends << ID_BITS | ids | v * SIDE]
+                out.append(ids)
             return out
 
+        def columns(found: list[list[np.ndarray]]) -> list[pa.Array]:
+            n = np.array([[len(x) for x in sides] for sides in found], np.int64).reshape(-1, 2)
+            ids = [np.concatenate([none[0], *side]) for side in zip(*found)]
+            ends = [np.cumsum(length[x]) for length, x in zip(lengths, ids)]
+            link, pairs, group, order = aligned_ends(ids[0], ends[0], ids[1], ends[1])
+            last = np.cumsum(n, axis=0)  # of each text, the tokens up to its end; texts without tokens end where the one before does
+            bytes_ = np.concatenate([np.zeros(1, np.int64), ends[0]])[last[:, 0]]
+            links, groups = np.searchsorted(link, bytes_, "right"), np.searchsorted(group, bytes_, "right")
+            upto, sha = [0, *last.sum(axis=1).tolist()], []
+            for lo, hi in zip(upto, upto[1:]):
+                sha.append(hashlib.sha256("".join(shown[order[lo:hi]].tolist())[:-1].encode()).hexdigest() if hi > lo else "")
+            listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], links]).astype(np.int32)), pa.array(pairs), type=pa.list_(pa.field("element", pa.int64(), False)))
+            return [pa.array(n[:, 0]), pa.array(n[:, 1]), pa.array(np.diff(groups, prepend=0)), pa.array(sha), listed]
+
         for batch in batches:
             lo, text = 0, batch.column(text_col)
             while lo < batch.num_rows:
@@ -120,57 +155,10 @@ def tokenised(docs: DataFrame, first: str, second: str, *, text_col: str = "text
                     found.append(of(t) if t else none)
                     size, hi = size + len(t or ""), hi + 1
                 part = batch.slice(lo, hi - lo)
-                made = [column(list(x), np.int32 if c.endswith("_ends") else np.int64) for c, x in zip(kinds, zip(*found))]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), *made], names=[*rest, *kinds])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), *columns(found)], names=[*rest, *made])
                 lo = hi
 
-    return docs.mapInArrow(tokens, schema)
-
-
-def aligned(tokens: DataFrame) -> DataFrame:
-    """Replaces the token columns by n_a, n_b, n_groups, groups (text) and links (array of ``a id << 20 | b id``).
-
-    Ends that both sides have (``array_intersect``) close the groups.  Tokens of
-    both sides are sorted together by end; there a group closes where two entries
-    have the same end.  Most groups are one token of each side: one link.  In the
-    others a token is linked with the next one of the other side, which it lies in
-    up to its end, but for the last B token, which the last A token was linked
-    with.  That next token is looked for among as many as the longest token has
-    bytes, so every step is linear in the text.
-    """
-    rest = [c for c in tokens.columns if c not in ("a_ends", "a", "b_ends", "b")]
-    number = lambda x: x.bitwiseAND(F.lit(MARK))
-    is_a = lambda x: x.bitwiseAND(F.lit(SIDE)) == 0
-    other = lambda x, y: x.bitwiseXOR(y).bitwiseAND(F.lit(SIDE)) != 0
-    pair = lambda a, b: F.shiftleft(number(a), ID_BITS).bitwiseOR(number(b))
-    end = lambda j: F.shiftright(F.get("_line", j), ID_BITS)
-    d = tokens.select(*rest, F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), F.size(F.array_intersect("a_ends", "b_ends")).cast("long").alias("n_groups"),
-                      F.sort_array(F.concat("a", "b")).alias("_line"))
-    places = F.when(F.size("_line") > 0, F.sequence(F.lit(0), F.size("_line") - 1)).otherwise(F.array().cast("array<int>"))
-    d = d.withColumn("_last", F.filter(places, lambda j: end(j - 1) == end(j)))
-
-    before = lambda g: F.coalesce(F.get("_last", g - 1), F.lit(-1))
-    entry = lambda j: F.get("_line", j)
-
-    def linked(q: Column) -> Column:
-        x = entry(q)
-        far = F.get(F.filter(F.slice("_line", q + 5, F.lit(LONGEST)), lambda y: other(entry(q), y)), F.lit(0))
-        near = F.when(other(x, entry(q + 1)), entry(q + 1)).when(other(x, entry(q + 2)), entry(q + 2)).when(other(x, entry(q + 3)), entry(q + 3)).otherwise(far)
-        return F.when(is_a(x), pair(x, near)).otherwise(pair(near, x))
-
-    def listed(entries: Column) -> Column:
-        ids = lambda keep: F.array_join(F.transform(F.filter(entries, keep), number).cast("array<string>"), ",")
-        return F.concat(ids(is_a), F.lit("|"), ids(lambda x: ~is_a(x)))
-
-    def text(j: Column, g: Column) -> Column:
-        both = F.concat(number(entry(j - 1)).cast("string"), F.lit("|"), number(entry(j)).cast("string"))
-        return F.when(j - before(g) == 2, both).otherwise(listed(F.slice("_line", before(g) + 2, j - before(g))))
-
-    single = F.transform("_last", lambda j, g: F.when(j - before(g) == 2, pair(entry(j - 1), entry(j))))
-    larger = F.array_compact(F.transform("_last", lambda j, g: F.when(j - before(g) > 2, F.transform(F.sequence(before(g) + 1, j - 1), linked))))
-    links = F.concat(F.array_compact(single), F.flatten(larger))
-    text = F.transform("_last", text)
-    return d.select(*rest, "n_a", "n_b", "n_groups", F.array_join(text, ";").alias("groups"), links.alias("links"))
+    return docs.mapInArrow(align, schema)
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -194,9 +182,8 @@ def alignment(docs: DataFrame, first: str, second: str, *, id_col: str = "doc_id
     their own; other columns are not looked at; an empty table gives no rows.
     """
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_row", F.monotonically_increasing_id())
-    d = aligned(tokenised(src, first, second, text_col="_text"))
-    sha = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
-    rows, _ = stored(d.select("_row", "_id", "n_a", "n_b", "n_groups", sha.alias("groups_sha256"), F.size("links").cast("long").alias("n_links"), "links"))
+    d = aligned(src, first, second, text_col="_text")
+    rows, _ = stored(d.select("_row", "_id", "n_a", "n_b", "n_groups", "groups_sha256", F.size("links").cast("long").alias("n_links"), "links"))
     counts = cut(pair_counts(rows))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     frequent = F.broadcast(counts.where(F.col("n") * FREQUENT > total))
