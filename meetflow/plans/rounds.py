@@ -25,6 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: A table of up to so many rows is sent whole to a join's tasks.  Parquet packs sorted ids so tightly that Spark, which goes by
+#: the size of files, would send tables of many million rows, which the driver has to hold.
+FEW = 50_000
+#: Known rows from here on are read, not shuffled, where few new ones are set apart from them.
+MANY = 1_000_000
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """The table, with what joins may do with it by its count of rows."""
+    return df.hint("broadcast" if rows <= FEW else "merge")
+
+
 class Tables:
     """Tables of one computation, written once and removed when they are no longer read."""
 
@@ -44,8 +56,8 @@ class Tables:
     def put(self, df: DataFrame, counted: str = "true") -> tuple[DataFrame, str, int]:
         """The table, its path and how many of its rows meet ``counted``, from one job."""
         path, seen = f"{self.top}/{uuid.uuid4().hex}", Observation()
-        df.observe(seen, F.count_if(F.expr(counted)).alias("n")).write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path), path, seen.get["n"]
+        df.observe(seen, F.count_if(F.expr(counted)).alias("n"), F.count(F.lit(1)).alias("rows")).write.parquet(path)
+        return sized(self.spark.read.schema(df.schema).parquet(path), seen.get["rows"]), path, seen.get["n"]
 
     def read(self, schema, paths: Sequence[str]) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*paths)
@@ -56,6 +68,27 @@ class Tables:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def lacking(rows: DataFrame, known: DataFrame, how: str = "left_anti") -> DataFrame:
+    """Rows that aren't among ``known`` ones, nulls being equal."""
+    k = known.select(*[F.col(c).alias(f"_k_{c}") for c in rows.columns])
+    same = None
+    for c in rows.columns:
+        ok = rows[c].eqNullSafe(k[f"_k_{c}"])
+        same = ok if same is None else same & ok
+    return rows.join(k, same, how)
+
+
+def put_new(t: Tables, rows: DataFrame, known: DataFrame, n_known: int, n_delta: int) -> tuple[DataFrame, str, int]:
+    """Table of the distinct ``rows`` that ``known`` lacks.  Where few meet many, known rows are read once and only those that meet are joined."""
+    if n_known <= MANY or n_delta > FEW:
+        return t.put(lacking(rows, sized(known, n_known)))
+    rows, path, n = t.put(rows)
+    known = lacking(known, rows, "left_semi") if n <= FEW else sized(known, n_known)
+    got = t.put(lacking(rows, known))
+    t.drop(path)
+    return got
+
+
 #: Tables of known rows that are read together before they are joined into one.
 PATHS = 12
 
@@ -79,33 +112,30 @@ def close_rows(seed: DataFrame, step: Callable[..., DataFrame], most_rounds: int
     t = Tables(seed.sparkSession)
     names = seed.columns
 
-    def new(rows: DataFrame, old: DataFrame) -> DataFrame:
-        k = old.select(*[F.col(c).alias(f"_k_{c}") for c in names])
-        same = None
-        for c in names:
-            ok = rows[c].eqNullSafe(k[f"_k_{c}"])
-            same = ok if same is None else same & ok
-        return rows.join(k, same, "left_anti")
-
-    paths = [] if known is None else [t.put(known.select(*names))[1]]
+    paths, total = [], 0
+    if known is not None:
+        known, path, total = t.put(known.select(*names))
+        paths.append(path)
     first = seed.distinct()
-    delta, path, n = t.put(new(first, t.read(seed.schema, paths)) if paths else first)
+    delta, path, n = t.put(lacking(first, known) if paths else first)
     paths.append(path)
     for done in range(most_rounds):
         if not n:
             return t.read(seed.schema, paths)
+        total += n
         if len(paths) > PATHS:  # the last is delta, which is still read
             joined = t.put(t.read(seed.schema, paths[:-1]))[1]
             t.drop(*paths[:-1])
             paths = [joined, paths[-1]]
-        also = [t.read(seed.schema, paths)] if with_known else []
+        also = [sized(t.read(seed.schema, paths), total)] if with_known else []
         cand = last = step(delta, *also).select(*names).distinct()
-        for _ in range(HOPS - 1 if done >= SHORT_ROUNDS and not with_known else 0):
+        few = total > MANY and n <= FEW  # a step is quick then, since nothing large moves
+        for _ in range(HOPS - 1 if done >= SHORT_ROUNDS and not with_known and not few else 0):
             last = step(last).select(*names).distinct()
             cand = cand.unionByName(last)
         if last is not cand:
             cand = cand.distinct()
-        delta, path, n = t.put(new(cand, t.read(seed.schema, paths)))
+        delta, path, n = put_new(t, cand, t.read(seed.schema, paths), total, n)
         paths.append(path)
     raise RuntimeError(f"no fixed point after {most_rounds} rounds")
 
@@ -130,7 +160,7 @@ def close_values(seed: DataFrame, keys: Sequence[str], values: Sequence[str], me
         facts = merged.select(*keys, *values)
         if not moves:
             return facts
-        cand = step(facts, merged.where("_moved").select(*keys)).select(*keys, *values)
+        cand = step(facts, sized(merged.where("_moved").select(*keys), moves)).select(*keys, *values)
         old = facts.select("*", *[F.col(v).alias(f"old_{v}") for v in values], F.lit(True).alias("_had"))
         if replace:
             cand = cand.groupBy(*keys).agg(*meet)

@@ -51,6 +51,12 @@ def block_graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return placed, graph.edges(placed, ["fid"])
 
 
+def kept_graph(t: Tables, spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The same as tables, for queries that read them often."""
+    placed = t.keep(graph.blocks(program(spark, sf_dir), ["fid"]))
+    return placed, t.keep(graph.edges(placed, ["fid"]))
+
+
 @query(f"WITH {BLOCK_SQL} SELECT * FROM be")
 def cfg_edges(spark, sf_dir):
     return block_graph(spark, sf_dir)[1]
@@ -295,10 +301,11 @@ def reach_long_chains(spark, sf_dir):
  SELECT o.fid, seq AS node, point, o.var FROM (SELECT fid, bb, seq, var, 'IN' AS point, bf AS m FROM o UNION ALL SELECT fid, bb, seq, var, 'OUT', af FROM o) o LEFT JOIN i ON i.fid = o.fid AND i.bb = o.bb AND i.var = o.var WHERE coalesce(m, i.fid IS NOT NULL)""")
 def solver_blocks(spark, sf_dir):
     """Assignments of k mod 5 that may reach a node; calls end them.  Block transfers are composed, rounds follow blocks."""
-    placed, e = block_graph(spark, sf_dir)
-    events = placed.where("ikind in (7, 12)").select("fid", F.col("seq").alias("node"), F.expr("k % 5").alias("var"), (F.col("ikind") == 7).alias("made"))
-    solver = Solver(GenKill(events, ["fid"]), e.where("dst >= 0"), entries(placed), ["fid"], blocks=placed.select("fid", "bb", F.col("seq").alias("node")))
-    return solver.run().select("fid", "node", "point", "var")
+    with Tables(spark) as t:
+        placed, e = kept_graph(t, spark, sf_dir)
+        events = placed.where("ikind in (7, 12)").select("fid", F.col("seq").alias("node"), F.expr("k % 5").alias("var"), (F.col("ikind") == 7).alias("made"))
+        solver = Solver(GenKill(events, ["fid"]), e.where("dst >= 0"), entries(placed), ["fid"], blocks=placed.select("fid", "bb", F.col("seq").alias("node")))
+        return solver.run().select("fid", "node", "point", "var")
 
 
 @query(f"""WITH RECURSIVE {BLOCK_SQL}, i AS (SELECT fid, seq AS src, lead(seq) OVER (PARTITION BY fid, bb ORDER BY seq) AS dst, 0 AS label FROM pl), b AS (SELECT fid, bb, min(seq) AS f, max(seq) AS l FROM pl GROUP BY 1, 2),
