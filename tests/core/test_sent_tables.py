@@ -38,3 +38,23 @@ def test_few_new_rows_among_many(spark, monkeypatch, with_known):
 
     got = rounds.close_rows(seed, step, with_known=with_known).collect()
     assert sorted(map(str, got)) == sorted(f"Row(fn={f}, node={i})" for f in (1, 2, None) for i in range(23))
+
+
+def test_lock_step_sees_new_rows(spark):
+    """Where steps distribute over union, a round joins what the last one added, not all that is known; the result is the same."""
+    from meetflow.plans.framework import close_together
+
+    hop = spark.createDataFrame([(i, i + 1) for i in range(15)] + [(15, 3), (4, 9)], "node int, nxt int")
+    seeds = {"on": spark.createDataFrame([(0,)], "node int"), "back": spark.createDataFrame([(2,)], "node int")}
+    seen = []
+
+    def on(t):
+        seen.append(t["on"].count())
+        return t["on"].join(hop, "node").select(hop["nxt"].alias("node"))
+
+    steps = {"on": on, "back": lambda t: t["back"].withColumnRenamed("node", "nxt").join(hop, "nxt").select("node")}
+    for distributive in (True, False):
+        got = close_together(seeds, steps, distributive=distributive)
+        assert {k: sorted(r["node"] for r in f.collect()) for k, f in got.items()} == {"on": list(range(16)), "back": [0, 1, 2]}
+        if distributive:
+            assert max(seen) <= 2 and sum(seen) == 16  # every row once
