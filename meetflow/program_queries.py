@@ -259,16 +259,19 @@ def interval_loops(spark, sf_dir):
  CAST(CASE WHEN var = 't' THEN 1 WHEN var = 'y' THEN 0 WHEN node = 0 THEN 0 ELSE p_size END AS BIGINT) AS hi FROM part, (SELECT unnest([0, 1, 1, 2, 2, 3, 3, 4, 4, 4]) AS node, unnest(['x', 'x', 't', 'x', 't', 'x', 't', 'x', 't', 'y']) AS var) v""")
 def interval_counted_loops(spark, sf_dir):
     """x = 0; while (t = x < size) x = x + 1; y = x - size, for every part: widened at loop heads only, bounded by the branch, narrowed to the exact bound."""
-    p, fn = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("f"), F.col("p_size").cast("bigint").alias("n")), ["f"]
+    t, fn = Tables(spark), ["f"]
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("f"), F.col("p_size").cast("bigint").alias("n"))
     row = lambda node, var, kind, a, ac, b, bc: F.struct(F.lit(node).alias("node"), F.lit(var).alias("var"), F.lit(int(kind)).alias("xkind"), F.lit(a).cast("string").alias("a_var"), ac.cast("bigint").alias("a_const"), F.lit(b).cast("string").alias("b_var"), bc.cast("bigint").alias("b_const"), F.lit(False).alias("weak"))
     none, n = F.lit(None), F.col("n")
-    a = p.select("f", F.inline(F.array(row(0, "x", X.VAL, None, F.lit(0), None, none), row(1, "t", X.LT, "x", none, None, n), row(3, "x", X.ADD, "x", none, None, F.lit(1)), row(4, "y", X.SUB, "x", none, None, n))))
+    a = t.keep(p.select("f", F.inline(F.array(row(0, "x", X.VAL, None, F.lit(0), None, none), row(1, "t", X.LT, "x", none, None, n), row(3, "x", X.ADD, "x", none, None, F.lit(1)), row(4, "y", X.SUB, "x", none, None, n)))))
     edge = lambda s, d, label: F.struct(F.lit(s).alias("src"), F.lit(d).alias("dst"), F.lit(label).alias("label"))
-    e = p.select("f", F.inline(F.array(edge(0, 1, 0), edge(1, 2, 0), edge(2, 3, 1), edge(3, 1, 0), edge(2, 4, 2))))
+    e = t.keep(p.select("f", F.inline(F.array(edge(0, 1, 0), edge(1, 2, 0), edge(2, 3, 1), edge(3, 1, 0), edge(2, 4, 2)))))
     # the comparison is before the branch on every way, though not before the loop's head
-    conditions = analyses.comparisons(p.select("f", F.lit(2).alias("node"), F.lit("t").alias("var")), a, e, fn)
-    entry = a.limit(0).select("f", "node", "var", F.col("a_const").alias("lo"), F.col("a_const").alias("hi"))
-    return analyses.interval(a, e, fn, entry=entry, full=(-(2**31), 2**31 - 1), refine=analyses.branch_limits(conditions, fn), heads=graph.loop_heads(e, fn), widen_after=2, narrow=16)
+    with t:
+        branches = t.keep(p.select("f", F.lit(2).alias("node"), F.lit("t").alias("var")))
+        conditions = t.keep(analyses.comparisons(branches, a, e, fn))
+        entry = a.limit(0).select("f", "node", "var", F.col("a_const").alias("lo"), F.col("a_const").alias("hi"))
+        return analyses.interval(a, e, fn, entry=entry, full=(-(2**31), 2**31 - 1), refine=analyses.branch_limits(conditions, fn), heads=graph.loop_heads(e, fn), widen_after=2, narrow=16)
 
 
 @query(f"""WITH RECURSIVE {BLOCK_SQL}, us AS (SELECT fid, bb, seq, k % 5 AS var, ikind = 7 AS is_def FROM pl WHERE ikind IN (7, 12, 14)), fe AS (SELECT fid, bb, var, arg_min(is_def, seq) AS kills FROM us GROUP BY 1, 2, 3),
