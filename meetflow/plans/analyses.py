@@ -7,9 +7,11 @@ those before ``src``/``dst`` of an edge table.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.kinds import EdgeLabel
 from ..functions.kinds import ExprKind as X
@@ -175,14 +177,32 @@ def expanded(live: DataFrame, effects: DataFrame, universe: DataFrame, fn: Seque
     return live.where(F.col("var") != UNIVERSE).unionByName(many).distinct()
 
 
-def points_to(address: DataFrame, copy: DataFrame, load: DataFrame | None = None, store: DataFrame | None = None, most_rounds: int = 10_000) -> DataFrame:
+def points_to(address: DataFrame, copy: DataFrame, load: DataFrame | None = None, store: DataFrame | None = None, most_rounds: int = 10_000,
+              near: Sequence[str] = (), most_rows: int = 1_000) -> DataFrame:
     """(p, x): what pointers may point to, over all program points together.
 
     address (p, x): p = &x; copy (p, q): p = q, also p = q + i; load (p, q):
     p = *q; store (p, q): *p = q.  Loads and stores are copy edges that what is
     found opens: targets found and edges are rows of one table, and each round
     joins the new ones of either with all of the other.
+
+    ``near``: columns of all tables that deal rows into units, say files.  A unit
+    of at most ``most_rows`` rows that holds no name of another's depends on no other
+    and is solved in the task that holds it, without rounds; all other rows go by
+    rounds, together.  The result is the same.
     """
+    if near:
+        with_units = [(kind, d) for kind, d in enumerate((address, copy, load, store)) if d is not None]
+        rows = reduce(DataFrame.unionByName, [d.select(F.xxhash64(*near).alias("unit"), F.lit(kind).alias("kind"), "p", F.col("q" if kind else "x").alias("x")) for kind, d in with_units])
+        t = Tables(address.sparkSession)  # the result reads them
+        rows = t.keep(rows)
+        rest, n = t.put(entangled(t, rows, most_rows))[::2]
+        if not n:
+            return solved(rows)
+        back = rows.join(rest, "unit", "left_semi")
+        back = [back.where(F.col("kind") == kind).select("p", F.col("x").alias("q" if kind else "x")) for kind in range(4)]
+        by_rounds = points_to(*back[:2], None if load is None else back[2], None if store is None else back[3], most_rounds)
+        return solved(rows.join(rest, "unit", "left_anti")).unionByName(by_rounds)
     if load is None and store is None:
         hop = copy.select("p", F.col("q").alias("_q")).distinct()
         with Tables(address.sparkSession) as t:
@@ -216,6 +236,99 @@ def points_to(address: DataFrame, copy: DataFrame, load: DataFrame | None = None
         return close_rows(seed, step, most_rounds, with_known=True).where("not edge").select("p", "x")
 
 
+def entangled(t: Tables, rows: DataFrame, most_rows: int) -> DataFrame:
+    """Units of rows (unit, kind, p, x) that hold a name which another holds, too, or point to null, or hold more than ``most_rows`` rows."""
+    names = rows.select("unit", F.explode(F.array("p", "x")).alias("v"))
+    shared = names.where("v is not null").groupBy("v").agg(F.min("unit").alias("_a"), F.max("unit").alias("_b")).where("_a <> _b").select("v")
+    shared, _, n = t.put(shared)
+    null = F.expr("kind = 0 and x is null")  # a null name that holds null may come from any of them
+    own = rows.groupBy("unit").agg(F.count(F.lit(1)).alias("_n"), F.bool_or(null).alias("_null")).where((F.col("_n") > most_rows) | F.col("_null")).select("unit")
+    return own.unionByName(names.join(shared, "v", "left_semi").select("unit")).distinct() if n else own
+
+
+def solved(rows: DataFrame) -> DataFrame:
+    """(p, x) of ``points_to`` for rows (unit, kind, p, x), kind 0 to 3 for address, copy, load and store, of units that depend on no other.
+
+    Spark brings a unit's rows together; a task reads one unit after the other.
+    Names are numbered within a unit, sets are bits of an integer, and a name
+    passes on what it got since it last did.  A null name gets, but gives nothing,
+    as null keys join with nothing.
+    """
+
+    def solve(batches):
+        from itertools import groupby
+
+        import pyarrow as pa
+
+        def bits(m):
+            while m:
+                low = m & -m
+                yield low.bit_length() - 1
+                m ^= low
+
+        def unit(rows):
+            ids: dict = {}
+            rows = [(kind, ids.setdefault(p, len(ids)), ids.setdefault(x, len(ids))) for _, kind, p, x in rows]
+            none, todo = ids.get(None), []
+            holds, new, to = ([0] * len(ids) for _ in range(3))
+            loads, stores = ([[] for _ in ids] for _ in range(2))
+
+            def give(p, targets):
+                fresh = targets & ~holds[p]
+                if fresh:
+                    holds[p] |= fresh
+                    if not new[p] and p != none:
+                        todo.append(p)
+                    new[p] |= fresh
+
+            def link(q, p):
+                if q != none and not to[q] >> p & 1:
+                    to[q] |= 1 << p
+                    give(p, holds[q])
+
+            for kind, p, x in rows:
+                if kind == 0:
+                    give(p, 1 << x)
+                elif kind == 1:
+                    link(x, p)
+                else:
+                    (loads[x] if kind == 2 else stores[p]).append(p if kind == 2 else x)
+            while todo:
+                v = todo.pop()
+                got, new[v] = new[v], 0
+                for p in bits(to[v]):
+                    give(p, got)
+                for x in bits(got) if loads[v] or stores[v] else ():
+                    for p in loads[v]:
+                        link(x, p)
+                    for q in stores[v]:
+                        link(q, x)
+            return list(ids), holds
+
+        kinds = []
+
+        def read():
+            for b in batches:
+                kinds[:] = b.schema.types[2:]
+                yield from zip(*[c.to_pylist() for c in b.columns])
+
+        found: tuple[list, list] = ([], [])
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(found, kinds)], ["p", "x"])
+        for _, group in groupby(read(), lambda r: r[0]):
+            names, holds = unit(group)
+            for p, targets in zip(names, holds):
+                found[0].extend([p] * targets.bit_count())
+                found[1].extend([names[x] for x in bits(targets)])
+                if len(found[0]) >= 50_000:
+                    yield batch()
+                    found = ([], [])
+        if found[0]:
+            yield batch()
+
+    dealt = rows.repartition("unit").sortWithinPartitions("unit")
+    return dealt.mapInArrow(solve, StructType([StructField(f.name, f.dataType) for f in rows.schema if f.name in ("p", "x")]))
+
+
 def interval(assigns: DataFrame, e: DataFrame, fn: Sequence[str] = (), *, entry: DataFrame, full: tuple[int, int],
              widen_after: int = 8, refine: Callable | None = None, reached: DataFrame | None = None, heads: DataFrame | None = None, narrow: int = 0) -> DataFrame:
     """(fn, node, var, lo, hi): ranges after each node, forward; missing rows are top.
